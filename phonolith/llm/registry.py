@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from phonolith.llm import decontaminate, simhash
+from phonolith.llm import decontaminate, packing, simhash
 
-MODULES = (decontaminate, simhash)
+MODULES = (decontaminate, simhash, packing)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
