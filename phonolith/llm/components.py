@@ -18,10 +18,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step over rows (u, v) with u > v."""
     if large:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        # Written out, so that the join shuffles both sides and Spark can split a node with very many links.
+        least = staged(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
         linked = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        least = staged(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
         linked = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return linked.where(F.col("u") > F.col("v")).distinct()
 

@@ -96,7 +96,8 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     fps: distinct fingerprints, column fp.
     """
     stored = fps.select("fp", F.explode(F.array(*[_segment(F.col("fp"), i) for i in range(SEGMENTS)])).alias("key"))
-    sizes = stored.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket)
+    # Written out, so that the join shuffles both sides and Spark can split a hot segment.
+    sizes = staged(stored.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket), "buckets")
     flagged = stored.join(sizes, "key", "left").select("key", F.when(F.col("n").isNull(), F.col("fp")).alias("other"))
     shelf = flagged.where(F.col("other").isNotNull()).unionByName(sizes.select("key", F.lit(None).cast("long").alias("other")))
 
@@ -125,7 +126,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = staged(marked.groupBy("fp").agg(F.min("id").alias("first")), "classes")
     roots = components(links(classes.select("fp"), bucket)).withColumnRenamed("node", "fp")
     named = staged(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
-    least = named.groupBy("root").agg(F.min("first").alias("component"))
+    least = staged(named.groupBy("root").agg(F.min("first").alias("component")), "components")
     by_fp = named.join(least, "root").select("fp", "root", "component")
     return marked.join(by_fp, "fp").select("id", "text_key", "fp", "root", "component")
 

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonolith.llm.common import new_folder, table
+from phonolith.llm.common import new_folder, staged, table
 
 #: Fixed values of the formats.
 SKIPPABLE = 0x184D2A5D
@@ -151,6 +151,8 @@ def with_originals(pages: DataFrame, min_bytes: int, id_col: str, url_col: str,
     light = rows.select("id", "sha", F.length("payload").alias("size")).where(F.col("size") >= min_bytes)
     groups = light.groupBy("sha").agg(F.max("id").alias("most"), F.min("id").alias("least"), F.count("*").alias("n"), F.count("id").alias("named"))
     groups = groups.where((F.col("n") > 1) & ((F.col("most") != F.col("least")) | (F.col("named") < F.col("n"))) & F.col("most").isNotNull()).select("sha", "most")
+    # Written out, so that the join shuffles both sides and Spark can split a payload that very many pages share.
+    groups = staged(groups, "originals")
     joined = rows.join(groups, "sha", "left")
     refers = F.when(~F.col("id").eqNullSafe(F.col("most")), F.col("most"))
     return joined.select("id", "url", "payload", refers.alias("refers_to"))
