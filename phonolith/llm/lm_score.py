@@ -140,12 +140,13 @@ def trie(grams: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
     escape together; down: the share of that which is escape, as a count.
     """
     nodes, contexts, below = [], [], None
-    levels = {order: grams}
+    # Each level is written out once: it is read several times, and plans stay small.
+    levels = {order: staged(grams, "level")}
     for k in range(order - 1, -1, -1):
-        levels[k] = levels[k + 1].groupBy(_low(F.col("gram"), k + 1).alias("gram")).agg(F.sum("n").alias("n"))
+        levels[k] = staged(levels[k + 1].groupBy(_low(F.col("gram"), k + 1).alias("gram")).agg(F.sum("n").alias("n")), "level")
     for k in range(order + 1):
         own = levels[k]
-        ctx = own.groupBy(F.shiftright("gram", 8).alias("ctx")).agg(F.sum("n").alias("t"), F.count("*").alias("q"))
+        ctx = staged(own.groupBy(F.shiftright("gram", 8).alias("ctx")).agg(F.sum("n").alias("t"), F.count("*").alias("q")), "contexts")
         if k == 0:
             full = ctx.select("ctx", "t", "q", F.lit(0).cast("long").alias("ex"), F.lit(0).cast("long").alias("down"))
         else:
@@ -155,7 +156,7 @@ def trie(grams: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
             joined = ctx.join(excluded, "ctx").join(above, _low(F.col("ctx"), k - 1) == F.col("short"))
             full = joined.select("ctx", "t", "q", (F.col("t1") - F.col("x") + F.col("q1") - F.col("q")).alias("ex"), (F.col("q1") - F.col("q")).alias("down"))
         nodes.append(own.select(F.lit(k).alias("k"), "gram", "n"))
-        contexts.append(full.select(F.lit(k).alias("k"), "ctx", "t", "q", "ex", "down"))
+        contexts.append(staged(full.select(F.lit(k).alias("k"), "ctx", "t", "q", "ex", "down"), "contexts"))
         below = ctx
     union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
     return union(nodes), union(contexts)
@@ -339,12 +340,11 @@ def scored(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id", text
     closing = (float(np.log10(floor)), 0) if end is None else (end, 1)
     shipped_hot = spark.sparkContext.broadcast(hot)
     nodes, contexts = trie(both.where("gram IS NOT NULL").select("gram", "n"), order)
-    shards = models(staged(nodes, "nodes"), staged(contexts, "contexts"), order, max_nodes)
+    shards = models(nodes, contexts, order, max_nodes)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
 
-    def first_pass(mine, model):
-        shipped = spark.sparkContext.broadcast((model.name, model))
+    def first_pass(mine, shipped):
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lookup, ppm = shipped_hot.value.get, _model(shipped)
@@ -368,8 +368,7 @@ def scored(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id", text
 
         return rows.mapInArrow(run, f"row long, id {kind}, text_key long, n_tokens long, n_known long, base double, score double, rare array<binary>")
 
-    def later_pass(mine, model):
-        shipped = spark.sparkContext.broadcast((model.name, model))
+    def later_pass(mine, shipped):
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ppm = _model(shipped)
@@ -380,11 +379,18 @@ def scored(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id", text
         # Rows with the same id and text have the same part.
         return rows.mapInArrow(run, f"id {kind}, text_key long, more double").groupBy("id", "text_key").agg(F.first("more").alias("more"))
 
-    out = staged(first_pass(*next(shards)), "scores")
-    for mine, model in shards:
-        more = later_pass(mine, model).select(F.col("id").alias("other"), F.col("text_key").alias("other_key"), "more")
+    def sent(mine, model):
+        return mine, spark.sparkContext.broadcast((model.name, model))
+
+    mine, shipped = sent(*next(shards))
+    out = staged(first_pass(mine, shipped), "scores")
+    shipped.destroy()  # the rows are written; the driver needs the memory
+    shipped_hot.destroy()
+    for mine, shipped in (sent(*shard) for shard in shards):
+        more = later_pass(mine, shipped).select(F.col("id").alias("other"), F.col("text_key").alias("other_key"), "more")
         joined = out.join(more, F.col("id").eqNullSafe(F.col("other")) & F.col("text_key").eqNullSafe(F.col("other_key")), "left")
         out = staged(joined.withColumn("score", F.col("score") + F.col("more")).drop("other", "other_key", "more"), "scores")
+        shipped.destroy()
 
     words = out.select("row", F.explode("rare").alias("word")).join(rest, "word", "left")
     log = F.log10(F.lit(floor / 0.1) * (F.coalesce(F.col("n"), F.lit(0)) + 0.1))
