@@ -1,21 +1,37 @@
 """Signal operators as windows and aggregates over long rows (asset_id, frame, sample[, channel]).
 
-Every window is partitioned by asset, so a library is many independent signals.
+Windows run by asset and block of frames, so neither many signals nor one very
+long one end in a single task.
 The Arrow kernels in functions.kernels do the same for arrays in one row.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 F32_EPS = 1.1920929e-7
 
 
-def by_frame() -> Window:
-    return Window.partitionBy("asset_id").orderBy("frame")
+#: Frames of a signal that one window partition holds, without its margins.
+BLOCK_FRAMES = 262_144
+
+
+def beside(samples: DataFrame, value: Callable[[WindowSpec], Column], name: str, before: int, after: int) -> DataFrame:
+    """Adds a window expression that looks at most so many frames back and ahead; frames count up by 1.
+
+    Windows run over blocks of frames, so a long signal is many tasks' work. A
+    frame goes to its own block and, near an edge, to those that look at it.
+    """
+    block = max(BLOCK_FRAMES, before, after)
+    number = lambda frame: F.floor(frame / block).cast("long")
+    blocks = F.sequence(F.greatest(F.lit(0), number(F.col("frame") - after)), number(F.col("frame") + before))
+    spread = samples.withColumn("_block", F.explode(blocks))
+    found = spread.withColumn(name, value(Window.partitionBy("asset_id", "_block").orderBy("frame")))
+    return found.where(F.col("_block") == number(F.col("frame"))).drop("_block")
 
 
 def mono(samples: DataFrame) -> DataFrame:
@@ -44,8 +60,11 @@ def normalized(samples: DataFrame, target: float) -> DataFrame:
     """Scaled so that the peak is target; near-silent signals and targets that are not positive change nothing."""
     if not (target > 0 and math.isfinite(target)):
         return samples
-    peak = F.max(F.abs(F.col("sample"))).over(Window.partitionBy("asset_id"))
-    return samples.withColumn("sample", F.when(peak > F32_EPS, F.col("sample") * (target / peak)).otherwise(F.col("sample")))
+    # Summed by asset first: a long signal is a skewed join key, which Spark splits, not one window.
+    peaks_of = samples.groupBy(F.col("asset_id").alias("_of")).agg(F.max(F.abs("sample")).alias("_peak"))
+    joined = samples.join(peaks_of, F.col("asset_id").eqNullSafe(F.col("_of")))
+    scaled = F.when(F.col("_peak") > F32_EPS, F.col("sample") * (target / F.col("_peak"))).otherwise(F.col("sample"))
+    return joined.select(*[scaled.alias(c) if c == "sample" else F.col(c) for c in samples.columns])
 
 
 def _half_window(window_ms: float, rate: int) -> int:
@@ -56,9 +75,9 @@ def silence_bounds(samples: DataFrame, rate: int, threshold_db: float, min_silen
     """(asset_id, first, last_exclusive): what is left without silent edges; silent signals get (0, 0)."""
     half = _half_window(window_ms, rate)
     run = math.ceil(max(0.0, min_silence_ms) * 0.001 * rate)
-    level = F.max(F.abs(F.col("sample"))).over(by_frame().rowsBetween(-half, half))
+    level = beside(samples, lambda w: F.max(F.abs(F.col("sample"))).over(w.rowsBetween(-half, half)), "level", half, half)
     loud = F.when(F.col("level") >= 10 ** (threshold_db / 20), F.col("frame"))
-    found = samples.withColumn("level", level).groupBy("asset_id").agg(F.min(loud).alias("a"), F.max(loud).alias("b"), F.count("*").alias("n"))
+    found = level.groupBy("asset_id").agg(F.min(loud).alias("a"), F.max(loud).alias("b"), F.count("*").alias("n"))
     first = F.when(F.col("a").isNull(), 0).when(F.col("a") >= run, F.col("a")).otherwise(0)
     last = F.when(F.col("a").isNull(), 0).when(F.col("n") - F.col("b") - 1 >= run, F.col("b") + 1).otherwise(F.col("n"))
     return found.select("asset_id", first.cast("long").alias("first"), last.cast("long").alias("last_exclusive"))
@@ -73,14 +92,14 @@ def trimmed(samples: DataFrame, bounds: DataFrame) -> DataFrame:
 
 def zero_crossings(samples: DataFrame) -> DataFrame:
     """Frames at which the signal turns from negative to not negative."""
-    before = F.lag("sample", 1).over(by_frame())
-    return samples.withColumn("before", before).where("before < 0 AND sample >= 0").select("asset_id", "frame")
+    before = beside(samples, lambda w: F.lag("sample", 1).over(w), "before", 1, 0)
+    return before.where("before < 0 AND sample >= 0").select("asset_id", "frame")
 
 
 def lagged(samples: DataFrame, lag: int, pair: Column, name: str) -> DataFrame:
     """Mean of an expression of ``sample`` and ``later``, the sample lag frames on."""
-    later = F.lead("sample", lag).over(by_frame())
-    return samples.withColumn("later", later).where("later IS NOT NULL").groupBy("asset_id").agg(F.avg(pair).alias(name))
+    later = beside(samples, lambda w: F.lead("sample", lag).over(w), "later", 0, lag)
+    return later.where("later IS NOT NULL").groupBy("asset_id").agg(F.avg(pair).alias(name))
 
 
 def amdf(samples: DataFrame, lag: int) -> DataFrame:
@@ -89,8 +108,8 @@ def amdf(samples: DataFrame, lag: int) -> DataFrame:
 
 def autocorrelation(samples: DataFrame, lag: int) -> DataFrame:
     """r[lag] / r[0]; null for a silent signal."""
-    later = F.lead("sample", lag).over(by_frame())
-    sums = samples.withColumn("later", later).groupBy("asset_id").agg(F.sum(F.col("sample") * F.coalesce("later", F.lit(0.0))).alias("r"), F.sum(F.col("sample") * F.col("sample")).alias("r0"))
+    later = beside(samples, lambda w: F.lead("sample", lag).over(w), "later", 0, lag)
+    sums = later.groupBy("asset_id").agg(F.sum(F.col("sample") * F.coalesce("later", F.lit(0.0))).alias("r"), F.sum(F.col("sample") * F.col("sample")).alias("r0"))
     return sums.select("asset_id", F.when(F.col("r0") > 0, F.col("r") / F.col("r0")).alias("autocorrelation"))
 
 

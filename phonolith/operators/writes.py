@@ -10,6 +10,7 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from phonolith.functions.text import nocase
 from phonolith.schema import TECHNICAL_COLUMNS, Catalog, ValidationError
@@ -24,14 +25,23 @@ def latest(rows: DataFrame, keys: list[str], *newest_first: Column) -> DataFrame
 def numbered(new: DataFrame, start: DataFrame, order: str, id_col: str = "id") -> DataFrame:
     """Ids after the largest of start, in the order of a unique column, without a single-partition window.
 
-    Rows are sorted into ranges; each range's rows are numbered after the counts
-    of the ranges before it, which are one row for each partition.
+    Rows are dealt into ranges by boundary values and numbered within each range,
+    after the counts of the ranges before it. Ranges depend on the values alone,
+    so a task that runs again, or a plan that merges partitions, gives the same
+    ids. The boundaries are the values with the smallest hashes, at most one for
+    each shuffle partition; they decide how even the ranges are, not the ids.
     """
-    sorted_rows = new.orderBy(order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = sorted_rows.groupBy("_part").agg(F.count("*").alias("_size"))
-    before = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    wanted = max(1, int(new.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1)
+    drawn = new.where(F.col(order).isNotNull()).select(order).orderBy(F.xxhash64(order), order).limit(wanted).collect()
+    bounds = F.array(*[F.lit(v) for v in sorted({r[0] for r in drawn})]).cast(ArrayType(new.schema[order].dataType))
+    ranged = new.withColumn("_range", F.size(F.filter(bounds, lambda v: v <= F.col(order))))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))
+    # A few rows, one for each range.
+    before = sizes.select(F.col("_range").alias("_of"), F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     base = F.broadcast(start.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_base")))
-    return sorted_rows.join(F.broadcast(before), "_part").crossJoin(base).withColumn(id_col, F.col("_base") + F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before", "_base")
+    placed = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy(order)))
+    placed = placed.join(F.broadcast(before), F.col("_range") == F.col("_of")).crossJoin(base)
+    return placed.withColumn(id_col, F.col("_base") + F.col("_before") + F.col("_at")).drop("_range", "_of", "_at", "_before", "_base")
 
 
 def inserted_rows(assets: DataFrame, new: DataFrame) -> DataFrame:

@@ -283,8 +283,8 @@ add("signal_amdf_lag", lambda s, d: signal.amdf(samples(s, d), 3).select("asset_
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    later = F.lead("sample", 1).over(signal.by_frame())
-    return samples(spark, sf_dir).withColumn("b", later).where("b IS NOT NULL").select("asset_id", F.col("sample").alias("a"), "b")
+    later = signal.beside(samples(spark, sf_dir), lambda w: F.lead("sample", 1).over(w), "b", 0, 1)
+    return later.where("b IS NOT NULL").select("asset_id", F.col("sample").alias("a"), "b")
 
 
 add("signal_crosscorr", lambda s, d: signal.cross_correlation(pairs(s, d)).select("asset_id", F.round("correlation", 6).alias("correlation")), "SELECT asset_id, round(greatest(-1, least(1, sum(sample * b) / greatest(sqrt(sum(sample * sample)) * sqrt(sum(b * b)), 1.1920929e-7))), 6) AS correlation FROM (SELECT *, lead(sample) OVER (PARTITION BY asset_id ORDER BY frame) AS b FROM samples) WHERE b IS NOT NULL GROUP BY asset_id", "s")

@@ -165,6 +165,25 @@ def test_long_form_equals_kernels(spark):
     assert [r["frame"] for r in signal.zero_crossings(rows).orderBy("frame").collect()] == K.rising_zeros(x, 0, len(x)).tolist()
 
 
+@pytest.mark.parametrize("block", [1, 7, 64])
+def test_windows_over_blocks_equal_whole_signals(spark, monkeypatch, block):
+    x = np.concatenate([np.zeros(60), sine(50, 1000, 0.2) * 0.8, np.zeros(40)]).astype(np.float32)
+    rows = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)], "asset_id long, frame long, sample double")
+    monkeypatch.setattr(signal, "BLOCK_FRAMES", block)
+    assert tuple(signal.silence_bounds(rows, 1000, -40, 15, 4).first())[1:] == K.silence_bounds(x, 1000, -40, 15, 4)
+    assert [r["frame"] for r in signal.zero_crossings(rows).orderBy("frame").collect()] == K.rising_zeros(x, 0, len(x)).tolist()
+    lag = 9
+    assert np.isclose(signal.amdf(rows, lag).first()["amdf"], np.abs(x[:-lag].astype(float) - x[lag:]).mean())
+    assert np.isclose(signal.autocorrelation(rows, lag).first()["autocorrelation"], K.autocorrelation(x)[lag], atol=1e-4)
+
+
+def test_normalized_rows(spark):
+    rows = spark.createDataFrame([(1, 0, 0.25, 7), (1, 1, -0.5, 7), (2, 0, 0.0, 7), (None, 0, 0.1, 7)], "asset_id long, frame long, sample double, extra int")
+    got = signal.normalized(rows, 1.0)
+    assert got.columns == rows.columns
+    assert sorted((r["asset_id"] or 0, r["frame"], r["sample"]) for r in got.collect()) == [(0, 0, 1.0), (1, 0, 0.5), (1, 1, -1.0), (2, 0, 0.0)]
+
+
 def test_watch_and_chunks(spark, tree, tmp_path):
     seen = []
     query = watch.watch(spark, tree, str(tmp_path / "ck"), seen.append, available_now=True)

@@ -109,6 +109,17 @@ def test_folders(spark):
     assert browse.folder_count(cat.assets, "/").first()[0] == 4 and browse.folder_count(cat.assets, "").first()[0] == 0
 
 
+def test_ids_follow_the_order_of_values_in_any_partitioning(spark):
+    names = [f"{chr(97 + i * 7 % 26)}{i}" for i in range(300)]
+    start = spark.createDataFrame([(5,), (None,)], "id long")
+    for parts in (1, 9):
+        rows = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, _at int").drop("_at").repartition(parts)
+        got = sorted((r["name"], r["id"]) for r in writes.numbered(rows, start, "name").collect())
+        assert got == [(n, 6 + i) for i, n in enumerate(sorted(names))]
+    assert writes.numbered(rows.limit(0), start, "name").count() == 0
+    assert writes.numbered(rows.limit(1), start.limit(0), "name").first()["id"] == 1
+
+
 def test_changes(spark):
     cat = library(spark, dict(favorite=True, rating=4, notes="mine"), dict())
     new = cat.assets.drop("id", "favorite", "rating", "notes", "play_count")
