@@ -70,6 +70,17 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def without(items: Column, cut: Column) -> Column:
+    """The array without the places in cut (from 0, sorted, each once).
+
+    Between two of them lies a run of kept items; runs are cut out whole, so the
+    work is linear.
+    """
+    ends = F.concat(cut, F.array(F.size(items)))
+    starts = F.concat(F.array(F.lit(0)), F.transform(cut, lambda i: i + 1))
+    return F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(items, a + 1, F.greatest(b - a, F.lit(0)))))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonolith.llm.common import LOWER, UPPER, lower_ascii, mark, table
+from phonolith.llm.common import LOWER, UPPER, lower_ascii, mark, table, without
 
 #: Runs of these are what lies between words (after A-Z is lower-cased).
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -80,14 +80,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
     )
 
 
+def hit_words() -> Column:
+    """The places of the words inside any of a text's ``spans``, each once."""
+    return F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["len"] - 1))))
+
+
 def report(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
     """Per document: id, n_words, n_hit, n_items, items (sorted), contaminated."""
     found = hits(docs, benchmark, **names)
-    covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["len"] - 1)))))
     out = found.select(
         F.col("id").alias(names.get("id_col", "doc_id")),
         F.col("n_words").cast("long").alias("n_words"),
-        covered.cast("long").alias("n_hit"),
+        F.size(hit_words()).cast("long").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.array_sort("items").alias("items"),
         (F.size("spans") > 0).alias("contaminated"),
@@ -112,16 +116,19 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
     bad = found.select(
         F.col("id").alias(mark("id")),
         F.col("text_key").alias(mark("key")),
-        F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["len"] - 1)))).alias(mark("cut")),
+        F.array_sort(hit_words()).alias(mark("cut")),
     )
     own = docs.withColumn(mark("hash"), F.xxhash64(text_col))
     same = F.col(names.get("id_col", "doc_id")).eqNullSafe(F.col(mark("id"))) & (F.col(mark("hash")) == F.col(mark("key")))
     joined = own.join(bad, same, "left")
+    cut = F.col(mark("cut"))
     word = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"({word}[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*)"), F.lit(1))
     lead = F.regexp_extract(F.col(text_col), "^([\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*)", 1)
-    kept = F.filter(pieces, lambda x, i: ~F.array_contains(F.col(mark("cut")), i))
-    cleaned = F.when(F.col(mark("cut")).isNull(), F.col(text_col)).otherwise(F.concat(lead, F.array_join(kept, "")))
+    # A column of its own, so that the text is taken apart once and not for every run.
+    joined = joined.withColumn(mark("pieces"), F.when(cut.isNotNull(), pieces))
+    kept = F.array_join(without(F.col(mark("pieces")), cut), "")
+    cleaned = F.when(cut.isNull(), F.col(text_col)).otherwise(F.concat(lead, kept))
     return joined.withColumn(text_col, cleaned).select(*docs.columns)
 
 

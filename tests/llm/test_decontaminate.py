@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from phonolith.llm import decontaminate as D
 from phonolith.llm.common import LOWER, UPPER
 
@@ -20,7 +22,10 @@ def brute(text, items, n=10):
     return len(own), len(hit), sorted(found)
 
 
-def test_reports_match_brute_force_and_filters_keep_clean_rows(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_reports_match_brute_force_and_filters_keep_clean_rows(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(D, "MAX_BROADCAST_WINDOWS", 0)
     items = [(1, PASSAGE), (2, "tiny item"), (3, None), (4, "..."), (12, PASSAGE.upper())]
     texts = [None, "", "!!", PASSAGE, f"é {PASSAGE} {PASSAGE} x", "a TINY-item b", "one two three four five six seven eight nine", "word " * 20000, PASSAGE]
     rows = [(i, t, 1) for i, t in enumerate(texts)] + [(8, PASSAGE, 1), (None, "tiny item", 1)]
@@ -31,3 +36,23 @@ def test_reports_match_brute_force_and_filters_keep_clean_rows(spark):
     clean = D.drop_contaminated(docs, bench)
     assert clean.columns == docs.columns and sorted(r["doc_id"] for r in clean.collect()) == [0, 1, 2, 6, 7]
     assert D.report(docs.limit(0), bench).count() == 0 and D.drop_contaminated(docs, bench.limit(0)).count() == len(rows)
+
+
+def test_spans_are_cut_out_of_the_text(spark):
+    bench = spark.createDataFrame([(1, PASSAGE), (2, "tiny item")], "item_id long, text string")
+    cases = [
+        (None, None),
+        ("", ""),
+        ("Nothing, to (cut).", "Nothing, to (cut)."),
+        (f"(Before) {PASSAGE}! After.", "(Before) After."),
+        (f"  {PASSAGE.upper()}", "  "),
+        ("tiny item; É TINY\nitem x", "É x"),
+        ("tiny item, " * 5_000 + "end", "end"),
+        ("own words " * 5_000, "own words " * 5_000),
+    ]
+    docs = spark.createDataFrame([(i, t, "x") for i, (t, _) in enumerate(cases)] + [(5, cases[5][0], "x")], "doc_id long, text string, items string")
+    got = D.remove_spans(docs, bench)
+    assert got.columns == docs.columns
+    rows = sorted(got.collect(), key=lambda r: r["doc_id"])
+    assert [r["text"] for r in rows] == [cases[r["doc_id"]][1] for r in rows] and len(rows) == len(cases) + 1
+    assert D.remove_spans(docs.limit(0), bench).count() == 0
