@@ -133,7 +133,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each component one row: that with the smallest id (then text hash); all columns as they were."""
-    least = near_duplicates(docs, id_col, text_col).groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("kept"))
+    return keep_least(docs, near_duplicates(docs, id_col, text_col), id_col, text_col)
+
+
+def keep_least(docs: DataFrame, grouped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each root of grouped (id, text_key, root) one row of docs, as in keep_one."""
+    least = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("kept"))
     kept = least.select(F.col("kept.id").alias(mark("id")), F.col("kept.text_key").alias(mark("key")))
     own = docs.withColumn(mark("hash"), F.xxhash64(text_col))
     same = F.col(id_col).eqNullSafe(F.col(mark("id"))) & (F.col(mark("hash")) == F.col(mark("key")))
