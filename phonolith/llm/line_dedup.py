@@ -4,8 +4,8 @@ DataFrame functions only. A line's words are its tokens; a token with a digit is
 a variable field ``<*>``. The tree has fixed depth: number of tokens, then the
 first ``depth`` tokens. Below a leaf, a position whose token is the same in more
 than half of the leaf's different lines is constant, any other is a variable
-field; lines that agree with at least ``similarity`` of their tokens belong to
-this template. A line that does not is a template of its own.
+field; lines that agree with at least ``similarity`` of their tokens, and with
+more than half of those after the first ``depth``, belong to this template. A line that does not is a template of its own.
 
 A template recurs if it stands in at least ``min_contexts`` different contexts
 (the lines before and after it). Copies of a document repeat a line in one and
@@ -74,9 +74,10 @@ def matching_lines(docs: DataFrame, lines: DataFrame, tree: Tree, id_col: str, t
     total = staged(placed.where("at = 0").groupBy("leaf").agg(F.count("*").alias("total")), "totals")
     counts = placed.groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
     constant = counts.join(total, "leaf").where("2 * n > total").select("leaf", "at", "token")
-    # An inner join leaves the tokens that agree with the template.
+    # An inner join leaves the tokens that agree with the template. The tree has made the first ones agree; of the others most must.
     agree = placed.join(constant, ["leaf", "at", "token"]).groupBy("leaf", "line_key").agg(F.count("*").alias("same"), F.first("size").alias("size"))
-    return staged(agree.where(F.col("same") >= F.lit(tree.similarity) * F.col("size")).select("leaf", "line_key"), "matched")
+    minority = 2 * (F.col("same") - tree.depth) > F.col("size") - tree.depth
+    return staged(agree.where((F.col("same") >= F.lit(tree.similarity) * F.col("size")) & minority).select("leaf", "line_key"), "matched")
 
 
 def recurring_lines(docs: DataFrame, tree: Tree = Tree(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

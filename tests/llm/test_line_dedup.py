@@ -46,3 +46,11 @@ def test_a_very_long_text_with_many_dropped_lines(spark):
     _, got = run(spark, rows)
     long = next(r for r in got.values() if r["doc_id"] == 9)
     assert long[mark("n_dropped")] == 20_000 and long["text"] == "\n".join(f"kept {i}" for i in range(20_000))
+
+
+def test_short_clean_lines_with_a_common_beginning_stay(spark):
+    ends = [f"{chr(97 + i)}{chr(110 + i)}" for i in range(12)]
+    lines = [f"it was the {e}" for e in ends] + [f"it was the {e} {e}x" for e in ends] + [f"it was the {e} day" for e in ends]
+    rows = [(i, f"own {i}a{i}\n{line}\nlast {i}b{i}", "x") for i, line in enumerate(lines)]
+    _, got = run(spark, rows)
+    assert all(r[mark("n_dropped")] == 0 for r in got.values())
