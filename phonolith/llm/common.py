@@ -7,6 +7,7 @@ written below ``spark.checkpoint.dir``, which every executor sees.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -18,8 +19,8 @@ LOWER = UPPER.lower()
 #: bytes.translate table that lower-cases A-Z and nothing else.
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
-#: Suffix of the columns that operators add to a caller's rows for a while; no
-#: input column may end with it.
+#: Suffix of the columns that operators add to a caller's rows for a while; an
+#: input column that ends with it is refused.
 MARK = "__phonolith"
 
 
@@ -27,10 +28,20 @@ def mark(name: str) -> str:
     return name + MARK
 
 
+def checked(df: DataFrame) -> DataFrame:
+    """df, whose columns must not end with the operators' suffix."""
+    if clash := [c for c in df.columns if c.lower().endswith(MARK)]:
+        raise ValueError(f"columns {clash} end with {MARK}, which is reserved for the operators' own")
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a session without one (tests) gets its own."""
+    """The cluster's shared folder. A local session without one gets its own; a cluster's is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir is not set: on {master} the operators need a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='phonolith-')}"
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -38,7 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder of its own below the shared one, removed when the session ends."""
+    """A folder of its own below the shared one, removed when the session ends if nobody did before."""
     path = f"{shared_dir(spark)}/phonolith/{name}-{uuid.uuid4().hex}"
     atexit.register(remove_folder, spark, path)
     return path
@@ -62,7 +73,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.staged_path = path
+    return found
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more; what was derived from them must have been written."""
+    for table in tables:
+        remove_folder(table.sparkSession, table.staged_path)
 
 
 def lower_ascii(text: Column) -> Column:

@@ -1,26 +1,33 @@
 """Operator 7: recurring lines, found by a fixed-depth log-template tree.
 
 DataFrame functions only. A line's words are its tokens; a token with a digit is
-a variable field ``<*>``. The tree has fixed depth: number of tokens, then the
-first ``depth`` tokens. Below a leaf, a position whose token is the same in more
-than half of the leaf's different lines is constant, any other is a variable
-field; lines that agree with at least ``similarity`` of their tokens, and with
-more than half of those after the first ``depth``, belong to this template. A line that does not is a template of its own.
-
-A template recurs if it stands in at least ``min_contexts`` different contexts
-(the lines before and after it). Copies of a document repeat a line in one and
-the same context, so whole copies are left to near-duplicate detection. Each
-recurring template keeps its lines in the document with the smallest id, so
-that nothing is lost to the whole; all other documents lose them.
-
-The exact lines meet only as hashes and counts. Words are compared only for the
-different lines of leaves that hold several and reach the number of contexts.
-
-Defined results: null text stays null with 0 lines; blank lines and lines of
-fewer than ``min_tokens`` tokens stay; repeats within the document that keeps a
-template stay; a null id never counts as the smallest unless all are null;
-repeated rows are treated alike; empty tables give no rows; further columns
-pass through, whatever their names.
+a variable field ``<*>``, unless more than half of the line's tokens have one
+(rows of numbers stand for themselves). The tree has fixed depth: number of
+tokens, then the first ``depth`` tokens.
+
+A leaf may hold several templates. Each round, every group of a leaf (first the
+whole leaf) has a seed: the line whose (place, token) pairs are the most common
+ones of the group. Lines that agree with the seed in at least ``similarity`` of
+the tokens after the first ``depth`` are of one template; of the others, those
+with the same commonest pair become a group of their own. A line that shares no
+further pair with others of its group stands for itself. Groups shrink from
+round to round, so this ends by itself, and a line meets seeds only, never all
+others.
+
+A template recurs if it stands in at least ``min_texts`` different texts: copies
+of a text count once, however many there are. The text of the document with the
+smallest id keeps the template's lines; all other texts lose them, so nothing
+is lost to the whole and copies remain copies.
+
+Lines meet as hashes and counts. Only the different lines of leaves that occur
+in enough texts and hold more than one are read again as words.
+
+Defined results: null text stays null with 0 lines; blank lines stay; repeats
+within the text that keeps a template stay; a null id never counts as the
+smallest unless all are null; repeated rows are treated alike; a very long text
+or line is like any other (places are numbers, lines are rows); empty tables
+give no rows; further columns pass through, whatever their names, except that
+those ending with the operators' own suffix are refused.
 """
 
 from __future__ import annotations
@@ -30,7 +37,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonolith.llm.common import mark, staged, table, without
+from phonolith.llm.common import checked, mark, release, staged, table, without
 
 #: Fixed value: what separates tokens.
 SPACE = r" \t\x0B\f\r"
@@ -40,61 +47,120 @@ FIELD = "<*>"
 @dataclass(frozen=True)
 class Tree:
     depth: int = 3
+    #: Share of the tokens after the first ones in which a line and its seed agree.
     similarity: float = 0.6
-    min_contexts: int = 10
-    min_tokens: int = 3
+    min_texts: int = 3
 
 
-def tokens(line: Column) -> Column:
-    """The line's tokens; those with a digit are variable fields."""
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, f"[^{SPACE}]*[0-9][^{SPACE}]*", FIELD)).otherwise(line)
-    return F.array_remove(F.split(masked, f"[{SPACE}]+"), "")
+def _split(line: Column) -> Column:
+    return F.array_remove(F.split(line, f"[{SPACE}]+"), "")
+
+
+def with_tokens(lines: DataFrame, *keep: str) -> DataFrame:
+    """The columns kept and tokens, of a column line; those with a digit are variable fields, if they are not the majority."""
+    # Looked for from a token's beginning only and without going back, so the work is linear.
+    field = f"(?<![^{SPACE}])[^{SPACE}0-9]*+[0-9][^{SPACE}]*+"
+    masked = F.when(F.col("line").rlike("[0-9]"), _split(F.regexp_replace("line", field, FIELD)))
+    # A column of its own, so that it is made once.
+    lines = lines.select(*keep, "line", masked.alias("masked"))
+    general = 2 * F.size(F.array_remove("masked", FIELD)) >= F.size("masked")
+    return lines.select(*keep, F.when(F.col("masked").isNotNull() & general, F.col("masked")).otherwise(_split(F.col("line"))).alias("tokens"))
 
 
 def split_lines(docs: DataFrame, tree: Tree, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_key, at, leaf, line_key, context, tokens) of each line with enough tokens."""
+    """(id, text_key, at, raw_key, leaf, line_key) of each line that is not blank."""
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.split(F.col(text_col), "\n").alias("lines"))
-    beside = lambda i: F.coalesce(F.get(F.col("lines"), i), F.lit("\n"))
-    each = F.transform("lines", lambda x, i: F.struct(i.alias("at"), x.alias("line"), F.xxhash64(beside(i - 1), beside(i + 1)).alias("context")))
-    lines = texts.select("id", "text_key", F.explode(each).alias("l")).select("id", "text_key", "l.at", "l.context", tokens(F.col("l.line")).alias("tokens"))
-    lines = lines.where(F.size("tokens") >= tree.min_tokens)
+    # Asked of the line and not of its tokens, which a pushed filter would make twice.
+    lines = texts.select("id", "text_key", F.posexplode("lines").alias("at", "line")).where(F.col("line").rlike(f"[^{SPACE}]"))
+    lines = with_tokens(lines.withColumn("raw_key", F.xxhash64("line")), "id", "text_key", "at", "raw_key")
     leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, tree.depth))
-    return lines.select("id", "text_key", "at", leaf.alias("leaf"), F.xxhash64("tokens").alias("line_key"), "context", "tokens")
-
-
-def matching_lines(docs: DataFrame, lines: DataFrame, tree: Tree, id_col: str, text_col: str) -> DataFrame:
-    """(leaf, line_key) of the lines that belong to their leaf's template; lines: the table without tokens."""
-    spread = lines.groupBy("leaf", "context").agg(F.min("line_key").alias("a"), F.max("line_key").alias("b"))
-    leaves = spread.groupBy("leaf").agg(F.count("*").alias("contexts"), F.min("a").alias("a"), F.max("b").alias("b"))
-    # Written out, so that the joins below shuffle both sides and Spark can split a hot leaf or line.
-    leaves = staged(leaves.where((F.col("contexts") >= tree.min_contexts) & (F.col("a") != F.col("b"))).select("leaf"), "leaves")
-    words = split_lines(docs, tree, id_col, text_col).select("leaf", "line_key", "tokens").join(leaves, "leaf", "left_semi")
-    distinct = words.groupBy("leaf", "line_key").agg(F.first("tokens").alias("tokens"))
-    placed = staged(distinct.select("leaf", "line_key", F.size("tokens").alias("size"), F.posexplode("tokens").alias("at", "token")), "tokens")
-    total = staged(placed.where("at = 0").groupBy("leaf").agg(F.count("*").alias("total")), "totals")
-    counts = placed.groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
-    constant = counts.join(total, "leaf").where("2 * n > total").select("leaf", "at", "token")
-    # An inner join leaves the tokens that agree with the template. The tree has made the first ones agree; of the others most must.
-    agree = placed.join(constant, ["leaf", "at", "token"]).groupBy("leaf", "line_key").agg(F.count("*").alias("same"), F.first("size").alias("size"))
-    minority = 2 * (F.col("same") - tree.depth) > F.col("size") - tree.depth
-    return staged(agree.where((F.col("same") >= F.lit(tree.similarity) * F.col("size")) & minority).select("leaf", "line_key"), "matched")
+    return lines.select("id", "text_key", "at", "raw_key", leaf.alias("leaf"), F.xxhash64("tokens").alias("line_key"))
+
+
+def frequent_lines(docs: DataFrame, tree: Tree, id_col: str, text_col: str) -> DataFrame:
+    """The lines whose leaf occurs in enough texts, and whether the leaf has several."""
+    lines = staged(split_lines(docs, tree, id_col, text_col), "lines")
+    by_text = lines.groupBy("leaf", "text_key").agg(F.min("line_key").alias("a"), F.max("line_key").alias("b"))
+    leaves = by_text.groupBy("leaf").agg(F.count("*").alias("texts"), (F.min("a") != F.max("b")).alias("several"))
+    # Written out, so that the join shuffles both sides and Spark can split a hot leaf.
+    leaves = staged(leaves.where(F.col("texts") >= tree.min_texts).select("leaf", "several"), "leaves")
+    near = staged(lines.join(leaves, "leaf"), "near")
+    release(lines, leaves)
+    return near
+
+
+def placed_tokens(docs: DataFrame, near: DataFrame, tree: Tree, text_col: str) -> DataFrame:
+    """(grp, leaf, line_key, name, rest, at, token) of each token after the first ones; name: a number that orders lines, rest: how many tokens the line has of these."""
+    wanted = staged(near.where("several").groupBy("leaf", "line_key").agg(F.min("raw_key").alias("raw_key")), "wanted")
+    lines = docs.select(F.explode(F.array_distinct(F.split(F.col(text_col), "\n"))).alias("line")).withColumn("raw_key", F.xxhash64("line"))
+    lines = with_tokens(lines.join(wanted, "raw_key").groupBy("leaf", "line_key").agg(F.first("line").alias("line")), "leaf", "line_key")
+    after = F.slice("tokens", tree.depth + 1, F.greatest(F.size("tokens") - tree.depth, F.lit(0)))
+    name = F.conv(F.substring(F.md5(F.array_join("tokens", " ")), 1, 15), 16, 10).cast("long")
+    placed = lines.select(F.col("leaf").alias("grp"), "leaf", "line_key", name.alias("name"), (F.size("tokens") - tree.depth).alias("rest"), F.posexplode(after).alias("at", "token"))
+    placed = staged(placed, "tokens")
+    release(wanted)
+    return placed
+
+
+def templates(placed: DataFrame, tree: Tree) -> DataFrame:
+    """(leaf, line_key, template): the seed's line_key for each line that agrees with one."""
+    pair = ["grp", "at", "token"]
+    open_lines, found = placed, []
+    while not open_lines.isEmpty():
+        counted = staged(open_lines.join(open_lines.groupBy(*pair).agg(F.count("*").alias("n")), pair), "pairs")
+        scores = counted.groupBy("grp", "line_key").agg(F.sum("n").alias("score"), F.first("name").alias("name"))
+        seeds = scores.groupBy("grp").agg(F.min(F.struct(-F.col("score"), "name", "line_key")).alias("best")).select("grp", F.col("best.line_key").alias("template"))
+        model = staged(counted.withColumnRenamed("line_key", "template").join(seeds, ["grp", "template"]).select(*pair, "template"), "seeds")
+        agree = counted.join(model, pair).groupBy("grp", "leaf", "line_key").agg(F.count("*").alias("same"), F.first("rest").alias("rest"), F.first("template").alias("template"))
+        member = staged(agree.where(F.col("same") >= F.lit(tree.similarity) * F.col("rest")).select("leaf", "line_key", "template"), "members")
+        found.append(member)
+        left = staged(counted.drop("n").join(member, ["leaf", "line_key"], "left_anti"), "left")
+        release(counted, model)
+        following = _deeper(left, tree)
+        release(left, open_lines)
+        open_lines = following
+    union = placed.where(F.lit(False)).select("leaf", "line_key", F.col("name").alias("template"))
+    for member in found:
+        union = union.unionByName(member)
+    out = staged(union, "templates")
+    release(open_lines, *found)
+    return out
+
+
+def _deeper(left: DataFrame, tree: Tree) -> DataFrame:
+    """The left lines in groups by the commonest pair that not all of their group have; those without one
+
+    stay together if what all have would be enough for a template, and are done with otherwise.
+    """
+    pair = ["grp", "at", "token"]
+    # Every line has a token at place 0.
+    total = staged(left.where("at = 0").groupBy("grp").agg(F.count("*").alias("total")), "totals")
+    n = staged(left.groupBy(*pair).agg(F.count("*").alias("n")).where("n > 1").join(total, "grp"), "counts")
+    own = F.when(F.col("n") < F.col("total"), F.struct(-F.col("n"), "at", "token"))
+    choice = left.join(n, pair).groupBy("grp", "leaf", "line_key").agg(F.min(own).alias("best"), F.count_if(F.col("n") == F.col("total")).alias("common"), F.first("rest").alias("rest"))
+    choice = choice.where(F.col("best").isNotNull() | (F.col("common") >= F.lit(tree.similarity) * F.col("rest")))
+    choice = staged(choice.select("leaf", "line_key", F.xxhash64("grp", "best.at", "best.token").alias("to")), "choices")
+    out = staged(left.join(choice, ["leaf", "line_key"]).select(F.col("to").alias("grp"), "leaf", "line_key", "name", "rest", "at", "token"), "open")
+    release(total, n, choice)
+    return out
 
 
 def recurring_lines(docs: DataFrame, tree: Tree = Tree(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_key, at) of each line to drop; at counts from 0."""
-    lines = staged(split_lines(docs, tree, id_col, text_col).drop("tokens"), "lines")
-    matched = matching_lines(docs, lines, tree, id_col, text_col).withColumn("general", F.lit(True))
-    named = lines.join(matched, ["leaf", "line_key"], "left").withColumn("line_key", F.when(F.col("general"), F.lit(0)).otherwise(F.col("line_key")))
-    named = staged(named.withColumn("general", F.coalesce("general", F.lit(False))), "templates")
-    template = ["leaf", "general", "line_key"]
-    often = named.groupBy(*template, "context").agg(F.min("id").alias("first")).groupBy(*template).agg(F.count("*").alias("contexts"), F.min("first").alias("first"))
-    often = staged(often.where(F.col("contexts") >= tree.min_contexts).drop("contexts"), "recurring")
-    return named.join(often, template).where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "text_key", "at")
+    near = frequent_lines(docs, tree, id_col, text_col)
+    general = templates(placed_tokens(docs, near, tree, text_col), tree)
+    named = near.join(general, ["leaf", "line_key"], "left").select("id", "text_key", "at", "leaf", F.coalesce("template", "line_key").alias("template"))
+    named = staged(named, "named")
+    release(near, general)
+    by_text = named.groupBy("leaf", "template", "text_key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("first"))
+    often = by_text.groupBy("leaf", "template").agg(F.count("*").alias("texts"), F.min("first").alias("first"))
+    often = staged(often.where(F.col("texts") >= tree.min_texts).select("leaf", "template", F.col("first.text_key").alias("keeper")), "recurring")
+    return named.join(often, ["leaf", "template"]).where("text_key <> keeper").select("id", "text_key", "at")
 
 
 def line_dedup(docs: DataFrame, tree: Tree = Tree(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All documents and columns; the text without its recurring lines, and marked n_lines and n_dropped."""
-    gone = recurring_lines(docs, tree, id_col, text_col).groupBy("id", "text_key").agg(F.array_sort(F.collect_set("at")).alias("gone"))
+    gone = recurring_lines(checked(docs), tree, id_col, text_col).groupBy("id", "text_key").agg(F.array_sort(F.collect_set("at")).alias("gone"))
     gone = gone.select(F.col("id").alias(mark("id")), F.col("text_key").alias(mark("key")), F.col("gone").alias(mark("gone")))
     own = docs.withColumn(mark("hash"), F.xxhash64(text_col))
     joined = own.join(gone, F.col(id_col).eqNullSafe(F.col(mark("id"))) & (F.col(mark("hash")) == F.col(mark("key"))), "left")
@@ -115,32 +181,49 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op7_line_dedup": op7_line_dedup}
 
 
+#: Rounds of grouping in the SQL, which cannot go on until nothing is left; more would show as a difference.
+SQL_ROUNDS = 6
+
+
 def _sql() -> str:
     t = Tree()
-    ws = r" \t\x0B\f\r"
+    ws = SPACE
+    words = lambda line: f"list_filter(string_split_regex({line}, '[{ws}]+'), lambda w: w <> '')"
+    rounds = "".join(
+        f"""
+), c{r} AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY grp, pos, token) AS n FROM o{r}
+), s{r} AS MATERIALIZED (
+  SELECT grp, s AS seed FROM (SELECT grp, s, row_number() OVER (PARTITION BY grp ORDER BY sum(n) DESC, name) AS place FROM c{r} GROUP BY grp, s, name) WHERE place = 1
+), m{r} AS MATERIALIZED (
+  SELECT c.s, seed FROM c{r} c JOIN s{r} USING (grp) JOIN c{r} x ON x.grp = c.grp AND x.s = seed AND x.pos = c.pos AND x.token = c.token
+  GROUP BY c.s, seed, c.rest HAVING count(*) >= {t.similarity}e0 * c.rest
+), p{r} AS MATERIALIZED (
+  SELECT * EXCLUDE (n), count(*) OVER (PARTITION BY grp, pos, token) AS n, count(*) FILTER (pos = {t.depth + 1}) OVER (PARTITION BY grp) AS total FROM c{r} WHERE s NOT IN (SELECT s FROM m{r})
+), h{r} AS MATERIALIZED (
+  SELECT grp, s, min(CASE WHEN n > 1 AND n < total THEN {{'n': -n, 'pos': pos, 'token': token}} END) AS best, count(*) FILTER (n > 1 AND n = total) AS common
+  FROM p{r} GROUP BY grp, s, rest HAVING best IS NOT NULL OR common >= {t.similarity}e0 * rest
+), o{r + 1} AS MATERIALIZED (
+  SELECT p.grp || chr(1) || coalesce(best.pos || ' ' || best.token, '') AS grp, p.s, name, rest, pos, p.token FROM p{r} p JOIN h{r} h ON p.grp = h.grp AND p.s = h.s"""
+        for r in range(SQL_ROUNDS)
+    )
+    members = " UNION ALL ".join(f"SELECT s, seed FROM m{r}" for r in range(SQL_ROUNDS))
     return f"""
 WITH x AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents
-), e AS (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM x
+), e AS (SELECT doc_id, text, lines, unnest(range(1, len(lines) + 1)) AS i FROM x
 ), l AS (
-  SELECT doc_id, i, list_filter(string_split_regex(regexp_replace(lines[i], '[^{ws}]*[0-9][^{ws}]*', '{FIELD}', 'g'), '[{ws}]+'), lambda w: w <> '') AS w,
-    coalesce(CASE WHEN i > 1 THEN lines[i - 1] END, chr(10)) || chr(13) || chr(10) || coalesce(lines[i + 1], chr(10)) AS context
-  FROM e
-), k AS (SELECT doc_id, i, context, w, len(w) AS n, w[1:{t.depth}] AS head FROM l WHERE len(w) >= {t.min_tokens}
-), f AS (
-  SELECT n, head FROM k GROUP BY n, head HAVING count(DISTINCT context) >= {t.min_contexts} AND count(DISTINCT w) > 1
-), v AS (SELECT DISTINCT n, head, w FROM k JOIN f USING (n, head)
-), p AS (SELECT n, head, w, unnest(range(1, n + 1)) AS pos FROM v
-), t AS (SELECT n, head, count(*) AS total FROM v GROUP BY n, head
-), c AS (
-  SELECT n, head, pos, token FROM (SELECT n, head, pos, w[pos] AS token, count(*) AS times FROM p GROUP BY n, head, pos, w[pos]) JOIN t USING (n, head) WHERE 2 * times > total
-), m AS (
-  SELECT p.n, p.head, p.w FROM p JOIN c ON p.n = c.n AND p.head = c.head AND p.pos = c.pos AND p.w[p.pos] = c.token
-  GROUP BY p.n, p.head, p.w HAVING count(*) >= {t.similarity}e0 * p.n
-), g AS (
-  SELECT k.doc_id, k.i, k.context, k.n, k.head, CASE WHEN m.w IS NULL THEN k.w END AS own FROM k LEFT JOIN m ON k.n = m.n AND k.head = m.head AND k.w = m.w
-), o AS (SELECT n, head, own, min(doc_id) AS first FROM g GROUP BY n, head, own HAVING count(DISTINCT context) >= {t.min_contexts}
-), b AS (
-  SELECT DISTINCT g.doc_id, g.i FROM g JOIN o ON g.n = o.n AND g.head = o.head AND g.own IS NOT DISTINCT FROM o.own WHERE g.doc_id <> o.first
+  SELECT doc_id, text, i, {words('lines[i]')} AS plain, {words(f"regexp_replace(lines[i], '[^{ws}]*[0-9][^{ws}]*', '{FIELD}', 'g')")} AS masked FROM e
+), q AS (
+  SELECT doc_id, text, i, CASE WHEN 2 * len(list_filter(masked, lambda w: w <> '{FIELD}')) >= len(masked) THEN masked ELSE plain END AS w FROM l
+), k AS MATERIALIZED (
+  SELECT doc_id, text, i, w, len(w) AS n, array_to_string(w[1:{t.depth}], ' ') AS head, array_to_string(w, ' ') AS s FROM q WHERE len(w) > 0
+), f AS (SELECT n, head FROM k GROUP BY n, head HAVING count(DISTINCT text) >= {t.min_texts} AND count(DISTINCT s) > 1
+), v AS (SELECT DISTINCT n, head, s, w FROM k JOIN f USING (n, head)
+), o0 AS MATERIALIZED (
+  SELECT n || ' ' || head AS grp, s, substr(md5(s), 1, 15) AS name, n - {t.depth} AS rest, pos, w[pos] AS token FROM (SELECT *, unnest(range({t.depth + 1}, n + 1)) AS pos FROM v){rounds}
+), m AS ({members}
+), g AS MATERIALIZED (SELECT doc_id, text, i, coalesce(seed, k.s) AS template FROM k LEFT JOIN m ON k.s = m.s
+), u AS (SELECT template, arg_min(text, doc_id) AS keeper FROM g GROUP BY template HAVING count(DISTINCT text) >= {t.min_texts}
+), b AS (SELECT doc_id, i FROM g JOIN u USING (template) WHERE text <> keeper
 ), r AS (
   SELECT e.doc_id, string_agg(e.lines[e.i], chr(10) ORDER BY e.i) FILTER (b.i IS NULL) AS kept, count(b.i) AS n_dropped FROM e LEFT JOIN b ON e.doc_id = b.doc_id AND e.i = b.i GROUP BY e.doc_id
 )
