@@ -5,27 +5,29 @@ method C and symbol exclusion, learnt from the training rows and then fixed.
 A text is scored as its words joined by single spaces, after ``order`` start
 bytes and closed by an end byte.
 
-The trie is counted as numbers: a context and its symbol are the bytes of one
-64-bit integer. Tasks count the longest contexts of their texts; sums by number
-give the deepest level, and shorter contexts are sums of longer ones. What a
-byte costs depends only on its context, so every level keeps, beside counts,
-how much of the level above each context excludes. A model of at most
-``max_nodes`` nodes is one broadcast; a larger one is dealt into shards by the
-last two context bytes, each of at most ``max_nodes`` + 2**24 nodes (a single
-two-byte ending), and every shard scores its own bytes of all texts in a pass.
-
-The word statistics (for the plain unigram score beside it) cover all training
-words. Words that make up at least 1/``HOT`` of the tokens are broadcast (there
-can be at most HOT of them); all others are joined by a shuffle.
+The trie is counted as numbers: a context and its symbol (a gram) are the bytes
+of one 64-bit integer. Tasks count the longest contexts of their texts; sums by
+number give the deepest level, and shorter contexts are sums of longer ones.
+What a byte costs depends only on its gram, so every level keeps, beside counts,
+how much of the level above each context excludes. The trie stays distributed.
+
+Texts are scored in one pass, whatever the size of the trie: the costs of the
+most frequent grams (at most ``hot_grams``) are broadcast, and bytes with other
+grams leave their gram, which one join with the costs of the rest resolves.
+Grams that the deepest level lacks go down the trie's levels, each of them once.
+Words are treated alike (for the plain unigram score beside it): at most
+``hot_words`` are broadcast, the others are joined.
 
 Defined results: null, empty or word-free text is the end alone; rows with the
 same id and text score alike; a null id counts as the id text '' when rows are
-held out; with nothing to learn from, bytes cost log10(1/255) and every word is
-unknown; empty tables give no rows; other columns are ignored.
+held out; a very long text is one batch (some 40 bytes of memory a byte); with
+nothing to learn from, bytes cost log10(1/255) and every word is unknown; empty
+tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -36,24 +38,24 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonolith.llm.common import LOWER_BYTES, crc_mod, staged, table
+from phonolith.llm.common import LOWER_BYTES, crc_mod, release, staged, table
 from phonolith.llm.language_id import counted
 
-ORDER = 4
+ORDER = 6
 #: Bytes that no UTF-8 text contains: before the text, and after it.
 START, END = 0xFE, 0xFF
 #: What can follow a context: every byte but START.
 SYMBOLS = 255
-#: Nodes of the trie that are broadcast at once (some 200 MB in a worker).
-MAX_NODES = 4_000_000
-#: Words with at least 1/HOT of all training tokens are broadcast.
-HOT = 500_000
+#: Most grams and words whose costs are broadcast (some 70 and 60 MB in a worker).
+HOT_GRAMS = 2_000_000
+HOT_WORDS = 300_000
+#: Longer words are never broadcast.
 HOT_BYTES = 64
 #: Distinct numbers or words that a task sums before it passes them on.
-HELD = 2_000_000
-HELD_WORDS = 400_000
+HELD = 1_000_000
+HELD_WORDS = 200_000
 #: Bytes of texts that are scored or counted together.
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -132,43 +134,85 @@ def _low(column: Column, size: int) -> Column:
     return column.bitwiseAND(F.lit((1 << 8 * size) - 1))
 
 
-def trie(grams: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
-    """From (gram, n) of the deepest level: nodes (k, gram, n) and contexts (k, ctx, t, q, ex, down).
+def trie(grams: DataFrame, order: int = ORDER) -> tuple[list[DataFrame], list[DataFrame]]:
+    """From (gram, n) of the deepest level: for each number of context bytes the nodes (gram, n) and contexts (ctx, t, q, ex, down).
 
-    k: bytes of context; t: its count, q: its different symbols; ex: what is left
-    of the next shorter context once this one's symbols are excluded, symbols and
+    t: the context's count, q: its different symbols; ex: what is left of the
+    next shorter context once this one's symbols are excluded, symbols and
     escape together; down: the share of that which is escape, as a count.
     """
-    nodes, contexts, below = [], [], None
     # Each level is written out once: it is read several times, and plans stay small.
-    levels = {order: staged(grams, "level")}
+    levels = [staged(grams, "level")]
     for k in range(order - 1, -1, -1):
-        levels[k] = staged(levels[k + 1].groupBy(_low(F.col("gram"), k + 1).alias("gram")).agg(F.sum("n").alias("n")), "level")
-    for k in range(order + 1):
-        own = levels[k]
-        ctx = staged(own.groupBy(F.shiftright("gram", 8).alias("ctx")).agg(F.sum("n").alias("t"), F.count("*").alias("q")), "contexts")
+        levels.insert(0, staged(levels[0].groupBy(_low(F.col("gram"), k + 1).alias("gram")).agg(F.sum("n").alias("n")), "level"))
+    contexts: list[DataFrame] = []
+    for k, own in enumerate(levels):
+        ctx = own.groupBy(F.shiftright("gram", 8).alias("ctx")).agg(F.sum("n").alias("t"), F.count("*").alias("q"))
         if k == 0:
-            full = ctx.select("ctx", "t", "q", F.lit(0).cast("long").alias("ex"), F.lit(0).cast("long").alias("down"))
-        else:
-            shorter = levels[k - 1].select(F.col("gram").alias("short"), F.col("n").alias("m"))
-            excluded = own.join(shorter, _low(F.col("gram"), k) == F.col("short")).groupBy(F.shiftright("gram", 8).alias("ctx")).agg(F.sum("m").alias("x"))
-            above = below.select(F.col("ctx").alias("short"), F.col("t").alias("t1"), F.col("q").alias("q1"))
-            joined = ctx.join(excluded, "ctx").join(above, _low(F.col("ctx"), k - 1) == F.col("short"))
-            full = joined.select("ctx", "t", "q", (F.col("t1") - F.col("x") + F.col("q1") - F.col("q")).alias("ex"), (F.col("q1") - F.col("q")).alias("down"))
-        nodes.append(own.select(F.lit(k).alias("k"), "gram", "n"))
-        contexts.append(staged(full.select(F.lit(k).alias("k"), "ctx", "t", "q", "ex", "down"), "contexts"))
-        below = ctx
-    union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
-    return union(nodes), union(contexts)
-
-
-def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place in the sorted keys, whether it is there)."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.searchsorted(keys, wanted)
-    at[at == len(keys)] = 0
-    return at, keys[at] == wanted
+            contexts.append(staged(ctx.select("ctx", "t", "q", F.lit(0).cast("long").alias("ex"), F.lit(0).cast("long").alias("down")), "contexts"))
+            continue
+        shorter = levels[k - 1].select(F.col("gram").alias("short"), F.col("n").alias("m"))
+        counted = own.join(shorter, _low(F.col("gram"), k) == F.col("short"))
+        ctx = counted.groupBy(F.shiftright("gram", 8).alias("ctx")).agg(F.sum("n").alias("t"), F.count("*").alias("q"), F.sum("m").alias("x"))
+        above = contexts[k - 1].select(F.col("ctx").alias("short"), F.col("t").alias("t1"), F.col("q").alias("q1"))
+        joined = ctx.join(above, _low(F.col("ctx"), k - 1) == F.col("short"))
+        contexts.append(staged(joined.select("ctx", "t", "q", (F.col("t1") - F.col("x") + F.col("q1") - F.col("q")).alias("ex"), (F.col("q1") - F.col("q")).alias("down")), "contexts"))
+    return levels, contexts
+
+
+def known_costs(levels: list[DataFrame], contexts: list[DataFrame]) -> DataFrame:
+    """(gram, n, cost) of the deepest level; cost: log10 probability of the symbol after its context."""
+    deepest = levels[-1].join(contexts[-1], F.shiftright("gram", 8) == F.col("ctx"))
+    return deepest.select("gram", "n", (F.log10("n") - F.log10(F.col("t") + F.col("q"))).alias("cost"))
+
+
+def escaped_costs(grams: DataFrame, levels: list[DataFrame], contexts: list[DataFrame]) -> DataFrame:
+    """(gram, cost) of distinct grams that the deepest level lacks, down the trie level by level."""
+    seen = contexts[0].agg(F.coalesce(F.sum("q"), F.lit(0))).first()[0]
+    log = lambda c: F.log10(F.greatest(F.col(c), F.lit(1)))
+    open_grams = grams.select("gram", F.lit(0.0).alias("cost"), F.lit(False).alias("entered"), F.lit(0.0).alias("left"), F.lit(0.0).alias("escape"))
+    done = []
+    for k in range(len(levels) - 1, -1, -1):
+        own = contexts[k].withColumn("has", F.lit(True))
+        nodes = levels[k].select(F.col("gram").alias("node"), "n")
+        step = open_grams.join(own, _low(F.shiftright("gram", 8), k) == F.col("ctx"), "left").join(nodes, _low(F.col("gram"), k + 1) == F.col("node"), "left")
+        found = F.col("n").isNotNull()
+        total = F.log10(F.col("t") + F.col("q"))
+        more = (
+            F.when(F.col("has").isNull(), 0.0)
+            .when(F.col("entered"), F.when(found, log("n") - F.col("left")).otherwise(F.col("escape")))
+            .otherwise(F.when(found, log("n") - total).otherwise(log("q") - total))
+        )
+        entered = F.col("has").isNotNull()
+        escape = F.when(F.col("down") > 0, log("down") - log("ex")).otherwise(0.0)
+        step = step.select(
+            "gram",
+            (F.col("cost") + more).alias("cost"),
+            (F.col("entered") | entered).alias("entered"),
+            F.when(entered, log("ex")).otherwise(F.col("left")).alias("left"),
+            F.when(entered, escape).otherwise(F.col("escape")).alias("escape"),
+            found.alias("found"),
+        )
+        step = staged(step, "escapes")
+        done.append(step)
+        open_grams = step.where(~F.col("found")).drop("found")
+    last = open_grams.select("gram", (F.col("cost") - F.lit(math.log10(max(1, SYMBOLS - seen)))).alias("cost"))
+    for step in done:
+        last = last.unionByName(step.where("found").select("gram", "cost"))
+    return last
+
+
+def frequent(rows: DataFrame, most: int) -> DataFrame:
+    """The rows (.., n) whose n is so large that at most ``most`` rows have it."""
+    # Counted by a few hundred steps of n, so that nothing is sorted; at most that many rows come here.
+    step = F.floor(F.log2("n") * 8).cast("int")
+    sizes = sorted(((r["step"], r["rows"]) for r in rows.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).collect()), reverse=True)
+    least, held = None, 0
+    for at, size in sizes:
+        if held + size > most:
+            break
+        least, held = at, held + size
+    return rows.where(F.lit(False) if least is None else step >= least)
 
 
 class HashTable:
@@ -210,199 +254,88 @@ class HashTable:
         return out, np.concatenate(missing)
 
 
-class Model:
-    """The trie (or a shard of it) as sorted numbers, with logarithms of what coding needs."""
-
-    def __init__(self, nodes: dict[str, np.ndarray], contexts: dict[str, np.ndarray], order: int = ORDER):
-        self.order, self.name = order, uuid.uuid4().hex
-        self.nodes, self.contexts = [], []
-        log = lambda x: np.log10(np.maximum(x, 1))
-        for k in range(order + 1):
-            own = np.flatnonzero(nodes["k"] == k)
-            own = own[np.argsort(nodes["gram"][own])]
-            self.nodes.append((nodes["gram"][own], log(nodes["n"][own])))
-            own = np.flatnonzero(contexts["k"] == k)
-            own = own[np.argsort(contexts["ctx"][own])]
-            t, q, ex, down = (contexts[c][own] for c in ("t", "q", "ex", "down"))
-            self.contexts.append((contexts["ctx"][own], log(t + q), log(q) - log(t + q), log(ex), np.where(down > 0, log(down) - log(ex), 0.0)))
-        seen = int(contexts["q"][contexts["k"] == 0].sum())
-        self.unseen = -float(np.log10(max(1, SYMBOLS - seen)))
-        self.table: HashTable | None = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"table": None}
-
-    def direct(self) -> HashTable:
-        """Costs of the symbols that the longest contexts have."""
-        if self.table is None:
-            keys, logs = self.nodes[self.order]
-            at, _ = _found(self.contexts[self.order][0], keys >> 8)
-            self.table = HashTable(keys, logs - self.contexts[self.order][1][at] if len(keys) else logs)
-        return self.table
-
-    def costs(self, grams: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol after its context."""
-        out, missing = self.direct().get(grams)
-        if len(missing):
-            distinct, where = np.unique(grams[missing], return_inverse=True)
-            out[missing] = self._escaped(distinct)[where]
-        return out
-
-    def _escaped(self, grams: np.ndarray) -> np.ndarray:
-        n = len(grams)
-        cost, done, entered = np.zeros(n), np.zeros(n, bool), np.zeros(n, bool)
-        left, escape = np.zeros(n), np.zeros(n)
-        for k in range(self.order, -1, -1):
-            keys, total, first, ex, down = self.contexts[k]
-            at, has = _found(keys, grams >> 8 & (1 << 8 * k) - 1)
-            nodes, logs = self.nodes[k]
-            place, found = _found(nodes, grams & (1 << 8 * (k + 1)) - 1)
-            active = has & ~done
-            if active.any():
-                at = np.where(has, at, 0)
-                hit = np.where(found, logs[np.where(found, place, 0)], 0.0)
-                step = np.where(entered, np.where(found, hit - left, escape), np.where(found, hit - total[at], first[at]))
-                cost[active] += step[active]
-                left[active], escape[active] = ex[at][active], down[at][active]
-                done |= active & found
-                entered |= active
-        cost[~done] += self.unseen
-        return cost
-
-
-def _arrays(df: DataFrame) -> dict[str, np.ndarray]:
-    found = df.toArrow()
-    return {c: found.column(c).to_numpy().astype(np.int64) for c in found.column_names}
-
-
-def models(nodes: DataFrame, contexts: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -> Iterator[tuple[np.ndarray | None, Model]]:
-    """(which two-byte context endings it scores, None for all; the model) of each shard, one after the other."""
-    ending = lambda c, back: F.when(F.col("k") >= 2, F.shiftright(c, back).bitwiseAND(F.lit(0xFFFF)))
-    nodes, contexts = nodes.withColumn("ending", ending("gram", 8)), contexts.withColumn("ending", ending("ctx", 0))
-    # At most 65,536 rows, whatever the corpus.
-    sizes = {r["ending"]: r["n"] for r in nodes.where("ending IS NOT NULL").groupBy("ending").agg(F.count("*").alias("n")).collect()}
-    shard, groups = np.zeros(1 << 16, np.int64), [0]
-    for end in sorted(sizes):
-        if groups[-1] and groups[-1] + sizes[end] > max_nodes:
-            groups.append(0)
-        groups[-1] += sizes[end]
-        shard[end] = len(groups) - 1
-    for i in range(len(groups)):
-        if len(groups) == 1:
-            yield None, Model(_arrays(nodes.drop("ending")), _arrays(contexts.drop("ending")), order)
-            return
-        ends = np.flatnonzero(shard == i)
-        own = F.col("ending").isNull() | F.col("ending").between(int(ends.min()), int(ends.max())) if i else F.col("ending").isNull() | (F.col("ending") <= max(e for e in sizes if shard[e] == 0))
-        yield shard == i, Model(_arrays(nodes.where(own).drop("ending")), _arrays(contexts.where(own).drop("ending")), order)
-
-
-_loaded: dict[str, Model] = {}
-
-
-def _model(shipped) -> Model:
-    """The broadcast model; a worker keeps the last one with its hash table."""
-    name, model = shipped.value
+_loaded: dict[str, HashTable] = {}
+
+
+def _table(name: str, grams: np.ndarray, costs: np.ndarray) -> HashTable:
+    """A worker keeps the last one."""
     if name not in _loaded:
         _loaded.clear()
-        _loaded[name] = model
+        _loaded[name] = HashTable(grams, costs)
     return _loaded[name]
 
 
-def _text_costs(model: Model, mine: np.ndarray | None, texts: list[list[bytes]]) -> np.ndarray:
-    grams, sizes = grams_of([b" ".join(w) for w in texts], model.order)
-    if mine is None:
-        cost = model.costs(grams)
-    else:
-        own = mine[grams >> 8 & 0xFFFF]
-        cost = np.zeros(len(grams))
-        cost[own] = model.costs(grams[own])
-    return np.add.reduceat(cost, np.cumsum(sizes) - sizes)
+def _costs(table: HashTable, texts: list[list[bytes]], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(sum of the costs of the grams in the table, the other grams) of each text."""
+    grams, sizes = grams_of([b" ".join(w) for w in texts], order)
+    cost, missing = table.get(grams)
+    cost[missing] = 0.0
+    missing.sort()
+    ends = np.cumsum(sizes)
+    return np.add.reduceat(cost, ends - sizes), np.split(grams[missing], np.searchsorted(missing, ends[:-1]))
 
 
 # --- the operator ------------------------------------------------------------------
 
 
-def scored(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, max_nodes: int = MAX_NODES) -> DataFrame:
+def scored(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, hot_grams: int = HOT_GRAMS, hot_words: int = HOT_WORDS) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score), one row per row of docs."""
     spark = docs.sparkSession
     both = staged(counts(training, text_col, order), "counts")
     known = both.where("gram IS NULL").select("word", "n")
     total, vocabulary = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     floor = 0.1 / (total + 0.1 * (vocabulary + 1))
-    # sum(n) = total, so at most HOT words pass.
-    hot_words = F.col("n") * HOT >= F.lit(total)
-    small = F.length("word") <= HOT_BYTES
-    hot = {bytes(r["word"]): float(np.log10(floor * (r["n"] + 0.1) / 0.1)) for r in known.where(hot_words & small).collect()}
-    rest = known.where(~(hot_words & small))
-    end = hot.pop(b"", None)
-    if end is None and total:
-        end = float(np.log10(floor * (known.where(F.length("word") == 0).first()["n"] + 0.1) / 0.1))
-    closing = (float(np.log10(floor)), 0) if end is None else (end, 1)
-    shipped_hot = spark.sparkContext.broadcast(hot)
-    nodes, contexts = trie(both.where("gram IS NOT NULL").select("gram", "n"), order)
-    shards = models(nodes, contexts, order, max_nodes)
+    cost_of = F.log10(F.lit(floor / 0.1) * (F.coalesce(F.col("n"), F.lit(0)) + 0.1))
+    inner = known.where((F.length("word") > 0) & (F.length("word") <= HOT_BYTES))
+    hot = {bytes(r["word"]): r["cost"] for r in frequent(inner, hot_words).select("word", cost_of.alias("cost")).collect()}
+    ends = known.where(F.length("word") == 0).select("n").first()
+    closing = (math.log10(floor), 0) if ends is None else (math.log10(floor * (ends["n"] + 0.1) / 0.1), 1)
+    levels, contexts = trie(both.where("gram IS NOT NULL").select("gram", "n"), order)
+    costs = staged(known_costs(levels, contexts), "costs")
+    best = frequent(costs, hot_grams).select("gram", "cost").toArrow()
+    # At most hot_words and hot_grams entries.
+    shipped = spark.sparkContext.broadcast((hot, uuid.uuid4().hex, best.column("gram").to_numpy(), best.column("cost").to_numpy()))
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-
-    def first_pass(mine, shipped):
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lookup, ppm = shipped_hot.value.get, _model(shipped)
-            part, row = TaskContext.get().partitionId() << 40, 0
-            for batch, first, texts in _batches(batches, 2):
-                n_tokens, n_known, base, rare = [], [], [], []
-                for words in texts:
-                    logs = list(map(lookup, words))
-                    rest = [w for w, x in zip(words, logs) if x is None] if None in logs else []
-                    rare.append(rest)
-                    n_tokens.append(len(words) + 1)
-                    n_known.append(len(words) - len(rest) + closing[1])
-                    base.append(sum(filter(None, logs)) + closing[0])
-                keys = np.arange(part + row, part + row + len(texts), dtype=np.int64)
-                row += len(texts)
-                own = [batch.column(i).slice(first, len(texts)) for i in range(2)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), *own, pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(_text_costs(ppm, mine, texts)), pa.array(rare, pa.list_(pa.binary()))],
-                    names=["row", "id", "text_key", "n_tokens", "n_known", "base", "score", "rare"],
-                )
-
-        return rows.mapInArrow(run, f"row long, id {kind}, text_key long, n_tokens long, n_known long, base double, score double, rare array<binary>")
-
-    def later_pass(mine, shipped):
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ppm = _model(shipped)
-            for batch, first, texts in _batches(batches, 2):
-                own = [batch.column(i).slice(first, len(texts)) for i in range(2)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(_text_costs(ppm, mine, texts))], names=["id", "text_key", "more"])
-
-        # Rows with the same id and text have the same part.
-        return rows.mapInArrow(run, f"id {kind}, text_key long, more double").groupBy("id", "text_key").agg(F.first("more").alias("more"))
-
-    def sent(mine, model):
-        return mine, spark.sparkContext.broadcast((model.name, model))
-
-    mine, shipped = sent(*next(shards))
-    out = staged(first_pass(mine, shipped), "scores")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup, hot_table = shipped.value[0].get, _table(*shipped.value[1:])
+        part, row = TaskContext.get().partitionId() << 40, 0
+        for batch, first, texts in _batches(batches, 1):
+            n_tokens, n_known, base, rare = [], [], [], []
+            for words in texts:
+                logs = list(map(lookup, words))
+                rest = [w for w, x in zip(words, logs) if x is None] if None in logs else []
+                rare.append(rest)
+                n_tokens.append(len(words) + 1)
+                n_known.append(len(words) - len(rest) + closing[1])
+                base.append(sum(filter(None, logs)) + closing[0])
+            keys = np.arange(part + row, part + row + len(texts), dtype=np.int64)
+            row += len(texts)
+            score, missed = _costs(hot_table, texts, order)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys), batch.column(0).slice(first, len(texts)), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array(rare, pa.list_(pa.binary())), pa.array(missed, pa.list_(pa.int64()))],
+                names=["row", "id", "n_tokens", "n_known", "base", "score", "rare", "missed"],
+            )
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    out = staged(rows.mapInArrow(run, f"row long, id {kind}, n_tokens long, n_known long, base double, score double, rare array<binary>, missed array<long>"), "scores")
     shipped.destroy()  # the rows are written; the driver needs the memory
-    shipped_hot.destroy()
-    for mine, shipped in (sent(*shard) for shard in shards):
-        more = later_pass(mine, shipped).select(F.col("id").alias("other"), F.col("text_key").alias("other_key"), "more")
-        joined = out.join(more, F.col("id").eqNullSafe(F.col("other")) & F.col("text_key").eqNullSafe(F.col("other_key")), "left")
-        out = staged(joined.withColumn("score", F.col("score") + F.col("more")).drop("other", "other_key", "more"), "scores")
-        shipped.destroy()
-
-    words = out.select("row", F.explode("rare").alias("word")).join(rest, "word", "left")
-    log = F.log10(F.lit(floor / 0.1) * (F.coalesce(F.col("n"), F.lit(0)) + 0.1))
-    sums = words.groupBy("row").agg(F.sum(log).alias("logs"), F.count("n").alias("found"))
-    done = out.drop("rare").join(sums, "row", "left")
+
+    left = out.select("row", F.explode("missed").alias("gram"))
+    unknown = staged(left.select("gram").distinct().join(costs, "gram", "left_anti"), "unknown")
+    rest = staged(costs.select("gram", "cost").unionByName(escaped_costs(unknown, levels, contexts)), "rest")
+    release(*levels, *contexts, costs, unknown)
+    more = left.join(rest, "gram").groupBy("row").agg(F.sum("cost").alias("more"))
+    words = out.select("row", F.explode("rare").alias("word")).join(known, "word", "left")
+    sums = words.groupBy("row").agg(F.sum(cost_of).alias("logs"), F.count("n").alias("found"))
+    done = out.drop("rare", "missed").join(sums, "row", "left").join(more, "row", "left")
     return done.select(
         "id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("logs", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
     )
 
 

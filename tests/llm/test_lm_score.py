@@ -51,12 +51,12 @@ def corpus():
     return [*rows, None, "", " \n\t", "zzz qqq 漢字", "long " * 3000, "same text here", "same text here"]
 
 
-@pytest.mark.parametrize("max_nodes", [L.MAX_NODES, 700])
-def test_scores_match_brute_force(spark, max_nodes):
+@pytest.mark.parametrize("hot", [{}, {"hot_grams": 150, "hot_words": 3}, {"hot_grams": 0, "hot_words": 0}])
+def test_scores_match_brute_force(spark, hot):
     rows = [(i, t, 9) for i, t in enumerate(corpus())] + [(None, "the reion", 9), (3, "doubled id", 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score int")
     train = [t for i, t, _ in rows if zlib.crc32(str("" if i is None else i).encode()) % 10]
-    got = L.scored(docs, docs.where(L.crc_mod(docs.doc_id, 10) != 0), max_nodes=max_nodes).collect()
+    got = L.scored(docs, docs.where(L.crc_mod(docs.doc_id, 10) != 0), **hot).collect()
     assert len(got) == len(rows)
     tree = brute_counts(train, L.ORDER)
     tokens = Counter(w for t in train for w in [*L.words_of(t), b""])
@@ -71,12 +71,14 @@ def test_scores_match_brute_force(spark, max_nodes):
 
 def test_probabilities_of_all_symbols_sum_to_one(spark):
     docs = spark.createDataFrame([(t,) for t in corpus()], "text string")
-    both = L.counts(docs)
-    nodes, contexts = L.trie(both.where("gram IS NOT NULL").select("gram", "n"))
-    _, model = next(L.models(nodes, contexts))
-    for context in (b"the ", b" rea", b"zzzz", b"\xfe\xfe\xfe\xfe", b"qqq ", b"anti"):
-        code = int.from_bytes(context, "big") << 8
-        assert np.isclose((10 ** model.costs(np.array([code | s for s in range(256) if s != L.START]))).sum(), 1.0)
+    levels, contexts = L.trie(L.counts(docs).where("gram IS NOT NULL").select("gram", "n"))
+    known = {r["gram"]: r["cost"] for r in L.known_costs(levels, contexts).collect()}
+    starts = (b"n the ", b"re rea", b"zzzzzz", b"\xfe\xfe\xfe\xfe\xfe\xfe", b"z qqq ", b"antian")
+    codes = [int.from_bytes(c, "big") << 8 | s for c in starts for s in range(256) if s != L.START]
+    unknown = spark.createDataFrame([(c,) for c in codes if c not in known], "gram long")
+    costs = known | {r["gram"]: r["cost"] for r in L.escaped_costs(unknown, levels, contexts).collect()}
+    for at in range(len(starts)):
+        assert np.isclose(sum(10 ** costs[c] for c in codes[255 * at : 255 * (at + 1)]), 1.0)
 
 
 def test_nothing_to_learn_from_and_empty_table(spark):
@@ -95,3 +97,24 @@ def test_hash_table_finds_all_and_only_its_keys():
     values, missing = table.get(probe)
     there = np.isin(probe, keys)
     assert set(missing) == set(np.flatnonzero(~there)) and (values[there] == probe[there]).all()
+
+
+def test_a_very_long_text_and_frequent_rows(spark):
+    rows = [(1, "one two three " * 100_000), (2, "one two three " * 100_000), (3, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["id"]: r for r in L.scored(docs, docs).collect()}
+    assert got[1]["score"] == got[2]["score"] and got[1]["n_tokens"] == 300_001
+    assert got[1]["score"] / 1_400_000 > -0.01
+    counts = spark.createDataFrame([(i, max(1, i // 10)) for i in range(1000)], "word long, n long")
+    for most in (0, 1, 37, 999, 1000):
+        kept = L.frequent(counts, most).count()
+        assert kept <= most and (most < 1000 or kept == 1000)
+
+
+def test_the_query_holds_out_by_crc_and_beats_unigrams(spark):
+    got = L.op4_lm_scoring(spark, "/root/testdata/sf0.01")
+    assert got.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    rows = got.collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0) for r in rows)
+    held = [r for r in rows if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
