@@ -17,9 +17,14 @@ few rows for each length. Each piece finds its place by its rank among the
 pieces of its length; ranks are dealt in slices, so that no length, however
 common, is one task's work.
 
+Text that spells a special token (``<|endoftext|>``) is encoded as plain text, as
+with the tokenizer's ``encode_special_tokens``.
+
 Defined results: null or empty text is the end id alone; ties of length are
 ranked by document id, piece and checksum; repeated rows are packed
-separately; an empty table gives no rows; other columns are ignored.
+separately; a very long text is encoded whole and cut into pieces (some tens of
+bytes of memory for each of its bytes); an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,8 +48,12 @@ SCORES = (
     ("dot", (1.0, 0.2, 0.2)),
     ("norm", (1.0, 0.2, 0.2)),
 )
-#: Distinct chunks whose ids a task remembers; then it starts afresh.
-MEMO = 500_000
+#: Distinct chunks whose ids a task remembers, then it starts afresh; longer chunks are
+#: not remembered. Together some 120 MB at most.
+MEMO = 300_000
+MEMO_CHARS = 32
+#: Pieces in a slice of one length, about.
+SLICE_PIECES = 500_000
 
 
 @dataclass(frozen=True)
@@ -91,9 +100,11 @@ class ChunkMemo(dict):
         self.plain = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=byte_ranks(tokenizer_json), special_tokens={}).encode_ordinary
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        found = self[chunk] = np.array(self.plain(" " + chunk), dtype="<u4").tobytes()
+        found = np.array(self.plain(" " + chunk), dtype="<u4").tobytes()
+        if len(chunk) <= MEMO_CHARS:
+            if len(self) >= MEMO:
+                self.clear()
+            self[chunk] = found
         return found
 
     def ids(self, text: str) -> bytes:
@@ -209,12 +220,12 @@ def placement(plan: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray]:
 def pack(pieces: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Adds sequence_id and offset to rows (id, piece, start, length, crc)."""
     spark = pieces.sparkSession
-    slices = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pieces = pieces.withColumn("slice", F.pmod(F.xxhash64("id", "piece", "crc"), F.lit(slices)).cast("int"))
-    sizes = pieces.groupBy("length", "slice").agg(F.count("*").alias("n"))
-    sizes = staged(sizes, "histogram")
     # One row for each length: at most max_tokens rows come to the driver.
-    histogram = {int(r["length"]): int(r["n"]) for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    histogram = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    # As many slices as the commonest length needs, so that no window's partition grows with the corpus.
+    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), max(histogram.values(), default=0) // SLICE_PIECES + 1)
+    pieces = pieces.withColumn("slice", F.pmod(F.xxhash64("id", "piece", "crc"), F.lit(slices)).cast("int"))
+    sizes = staged(pieces.groupBy("length", "slice").agg(F.count("*").alias("n")), "histogram")
     shipped = spark.sparkContext.broadcast(placement(best_fit(histogram, limits)))
     before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("length", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

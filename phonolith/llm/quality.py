@@ -1,23 +1,26 @@
 """Operator 5: quality rules on repetition, from a suffix array of the words.
 
 Many texts are handled together: their words become numbers, each text ends in
-a sentinel of its own, and ranks carry the text's number, so nothing matches
+a sentinel of its own, and every number carries its text, so nothing matches
 across texts. Prefix doubling sorts the suffixes (only those not yet unique are
-sorted again) and keeps the ranks of each doubling, from which the longest
-common prefix of neighbours in the array follows by binary lifting. A suffix
-whose neighbour shares at least ``min_words`` words begins a repeat; the union
-of those spans is the covered part. Texts are rejected if they are too short,
-if repeated 8-word windows cover too much (both fixed base rules), or if the
-maximal repeats cover too large a share or the longest spans too much.
+sorted again). The longest common prefix with the neighbour before is compared
+word by word only where it can't follow from the position before it; elsewhere
+it is one less than there. The deepest interval of common prefixes that holds a
+suffix has the larger of its two neighbours' values: this is the longest
+maximal repeat that begins there. The union of the spans of at least
+``min_repeat`` words is the covered part. Texts are rejected if they are too
+short, if repeated 8-word windows cover too much (both fixed base rules), or if
+the maximal repeats cover too large a share or the longest spans too much.
 
 Defined results: null, empty or word-free text has zeros everywhere and fails
 the base rules (fewer than 20 words); repeated rows each get their row; null
 ids and further columns pass through; empty tables give no rows; a very long
-text is a batch of its own (about 8 bytes for each word and doubling).
+text is a batch of its own (under 100 bytes of memory a word).
 """
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,6 +38,12 @@ SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Words of texts that are sorted together.
 BATCH_WORDS = 200_000
+#: Bytes of a text that are split into words at a time.
+CHUNK = 4_000_000
+#: Words that all open comparisons go forward together, before each is ended by itself.
+TOGETHER = 32
+
+_space = re.compile(rb"[ \t-\r]").search
 
 
 @dataclass(frozen=True)
@@ -48,49 +57,78 @@ class Rules:
     max_longest: float = 0.30
 
 
-def suffix_order(first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(suffix array, ranks after 1, 2, 4 ... words); first: a number for each word, each text's last one unique."""
+def suffix_order(first: np.ndarray) -> np.ndarray:
+    """The suffix array; first: a number for each word, each text's last one unique."""
     n = len(first)
-    order = np.argsort(first, kind="stable")
+    order = np.argsort(first, kind="stable").astype(np.int32)
     new = np.empty(n, bool)
     new[:1] = True
-    new[1:] = first[order][1:] != first[order][:-1]
-    starts = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank = np.empty(n, np.int64)
-    rank[order] = starts
-    levels = [rank]
-    alone = new & np.append(new[1:], True)
-    active, step = order[~alone], 1
+    new[1:] = first[order[1:]] != first[order[:-1]]
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), np.int32(0)))
+    active, step = order[~(new & np.append(new[1:], True))], 1
     while len(active):
-        key = rank[active] * n + rank[active + step]
+        key = rank[active].astype(np.int64) * n + rank[active + step]
         by = np.argsort(key, kind="stable")
         active, key = active[by], key[by]
-        old, at = rank[active], np.arange(len(active))
+        del by
+        old, at = rank[active], np.arange(len(active), dtype=np.int32)
         group = np.ones(len(active), bool)
         group[1:] = old[1:] != old[:-1]
         new = np.ones(len(active), bool)
         new[1:] = key[1:] != key[:-1]
-        origin = np.maximum.accumulate(np.where(group, at, 0))
-        order[old + at - origin] = active
-        rank = rank.copy()
-        rank[active] = old + np.maximum.accumulate(np.where(new, at, 0)) - origin
-        levels.append(rank)
+        del key
+        old -= np.maximum.accumulate(np.where(group, at, np.int32(0)))
+        order[old + at] = active
+        rank[active] = old + np.maximum.accumulate(np.where(new, at, np.int32(0)))
         active = active[~(new & np.append(new[1:], True))]
         step *= 2
-    return order, levels
-
-
-def longest_here(order: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
+    return order
+
+
+def _shared(first: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many words follow alike from each a and b (which differ)."""
+    length = np.zeros(len(a), np.int32)
+    left = np.arange(len(a))
+    for step in range(TOGETHER):
+        left = left[first[a[left] + step] == first[b[left] + step]]
+        if not len(left):
+            return length
+        length[left] += 1
+    for k in left:
+        x, y, size = int(a[k]) + TOGETHER, int(b[k]) + TOGETHER, TOGETHER
+        while True:
+            # The later one's sentinel ends it, at the latest.
+            apart = first[x : x + size] != first[y : y + size][: len(first) - x] if x > y else first[x : x + size][: len(first) - y] != first[y : y + size]
+            at = int(apart.argmax())
+            if apart[at]:
+                length[k] = x + at - int(a[k])
+                break
+            x, y, size = x + size, y + size, 2 * size
+    return length
+
+
+def shared_before(first: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """For each position the common prefix with the suffix before it in the order."""
+    before = np.full(len(first), -1, np.int32)
+    before[order[1:]] = order[:-1]
+    # If the words before both are alike, the position before this one has one more in common.
+    begins = np.ones(len(first), bool)
+    begins[1:] = (before[1:] < 1) | (first[before[1:] - 1] != first[:-1])
+    at = np.flatnonzero(begins & (before >= 0)).astype(np.int32)
+    length = np.zeros(len(first), np.int32)
+    length[at] = _shared(first, at, before[at])
+    origin = np.maximum.accumulate(np.where(begins, np.arange(len(first), dtype=np.int32), np.int32(0)))
+    return length[origin] - (np.arange(len(first), dtype=np.int32) - origin)
+
+
+def longest_here(first: np.ndarray) -> np.ndarray:
     """For each position the length of the longest repeat that begins there."""
-    a, b = order[:-1], order[1:]
-    same = levels[0][a] == levels[0][b]
-    a, b = a[same], b[same]
-    shared = np.zeros(len(a), np.int64)
-    for level in range(len(levels) - 1, -1, -1):
-        shared += (levels[level][a + shared] == levels[level][b + shared]).astype(np.int64) << level
-    out = np.zeros(len(order), np.int64)
-    np.maximum.at(out, a, shared)
-    np.maximum.at(out, b, shared)
+    order = suffix_order(first)
+    length = shared_before(first, order)
+    after = length[order[1:]]
+    out = length.copy()
+    out[order[:-1]] = np.maximum(length[order[:-1]], after)
     return out
 
 
@@ -102,18 +140,29 @@ def covered(length: np.ndarray, least: int) -> np.ndarray:
     return np.cumsum(begins - ends)[: len(length)] > 0
 
 
-def repetition(texts: list[list[bytes]], rules: Rules) -> np.ndarray:
-    """Rows (words in repeated windows, words in repeats, longest repeat), for the words of each text."""
+def numbered(text: str | None, number: defaultdict) -> np.ndarray:
+    """A number for each word of the text, from 1."""
+    data, at, parts = (text or "").encode(), 0, []
+    while at < len(data):
+        end = at + CHUNK
+        end = found.start() if end < len(data) and (found := _space(data, end)) else len(data)
+        words = data[at:end].split()
+        parts.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+        at = end
+    return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+
+
+def repetition(texts: list[np.ndarray], different: int, rules: Rules) -> np.ndarray:
+    """Rows (words in repeated windows, words in repeats, longest repeat), for the numbered words of each text."""
     if not texts:
         return np.zeros((0, 3), np.int64)
     sizes = np.array([len(w) for w in texts], np.int64)
-    ends = np.cumsum(sizes + 1) - 1
-    number = defaultdict(count(1).__next__)
-    codes = np.zeros(int(ends[-1]) + 1, np.int64)
-    for words, end in zip(texts, ends):
-        codes[end - len(words) : end] = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-    owner = np.repeat(np.arange(len(texts)), sizes + 1)
-    length = longest_here(*suffix_order(owner * (len(number) + 1) + codes))
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes + 1)
+    end = np.zeros(1, np.int32)
+    first = owner.astype(np.int64)
+    first *= different + 1
+    first += np.concatenate([part for words in texts for part in (words, end)])
+    length = longest_here(first)
     longest = np.zeros(len(texts), np.int64)
     np.maximum.at(longest, owner, np.where(length >= rules.min_repeat, length, 0))
     parts = [np.bincount(owner[covered(length, least)], minlength=len(texts)) for least in (rules.window, rules.min_repeat)]
@@ -135,25 +184,26 @@ def measured(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", ke
     at = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def ready(batch, rows, plain, texts):
-            part = np.concatenate([np.array(plain, np.int64).reshape(-1, 4), repetition(texts, rules)], axis=1)
+        def ready(batch, rows, plain, texts, different):
+            part = np.concatenate([np.array(plain, np.int64).reshape(-1, 4), repetition(texts, different, rules)], axis=1)
             columns = [batch.column(i).slice(rows[0], len(rows)) for i in range(at)]
             return pa.RecordBatch.from_arrays([*columns, *[pa.array(part[:, i]) for i in range(7)]], names=[*[mark(f"c{i}") for i in range(at)], *[mark(n) for n in MEASURES]])
 
         for batch in batches:
-            rows, plain, texts, held = [], [], [], 0
+            rows, plain, texts, held, number = [], [], [], 0, defaultdict(count(1).__next__)
             for i, text in enumerate(batch.column(at)):
                 text = text.as_py() or ""
-                words = text.encode().split()
-                if rows and held + len(words) > BATCH_WORDS:
-                    yield ready(batch, rows, plain, texts)
-                    rows, plain, texts, held = [], [], [], 0
+                # At most every second byte begins a word.
+                if rows and held + len(text) // 2 > BATCH_WORDS:
+                    yield ready(batch, rows, plain, texts, len(number))
+                    rows, plain, texts, held, number = [], [], [], 0, defaultdict(count(1).__next__)
+                words = numbered(text, number)
                 rows.append(i)
                 texts.append(words)
                 plain.append((len(words), *_plain_counts(text)))
                 held += len(words)
             if rows:
-                yield ready(batch, rows, plain, texts)
+                yield ready(batch, rows, plain, texts, len(number))
 
     kinds = [docs.schema[c].dataType.simpleString() for c in keep]
     schema = ", ".join([*[f"{mark(f'c{i}')} {k}" for i, k in enumerate(kinds)], *[f"{mark(n)} long" for n in MEASURES]])

@@ -1,7 +1,10 @@
 import random
-from collections import Counter
+import tracemalloc
+from collections import Counter, defaultdict
+from itertools import count
 
 import numpy as np
+import pytest
 
 from phonolith.llm import quality as Q
 from phonolith.llm.common import mark
@@ -37,15 +40,46 @@ def texts():
 
 
 def test_repetition_equals_brute_force():
-    got = Q.repetition([(t or "").encode().split() for t in texts()], Q.Rules())
+    number = defaultdict(count(1).__next__)
+    numbered = [Q.numbered(t, number) for t in texts()]
+    got = Q.repetition(numbered, len(number), Q.Rules())
     assert [tuple(map(int, r)) for r in got] == [brute(t) for t in texts()]
 
 
 def test_suffix_array_is_sorted():
     rng = np.random.default_rng(1)
     codes = np.append(rng.integers(1, 3, 300), 0)
-    order, _ = Q.suffix_order(codes)
+    order = Q.suffix_order(codes)
     assert order.tolist() == sorted(range(301), key=lambda i: codes[i:].tolist())
+    shared = Q.shared_before(codes, order)
+    for a, b in zip(order[:-1], order[1:]):
+        x, y = codes[a:].tolist(), codes[b:].tolist()
+        assert shared[b] == next(k for k in range(301) if x[k : k + 1] != y[k : k + 1])
+
+
+@pytest.mark.parametrize("kind", ["equal", "period", "copied", "random"])
+def test_a_very_long_text_takes_little_memory(kind):
+    n, rng = 400_000, random.Random(2)
+    some = [f"w{rng.randrange(5000)}" for _ in range(n // 2)]
+    text = {"equal": "w " * n, "period": "a b c d e f g h " * (n // 8), "copied": " ".join(some * 2), "random": " ".join(some)}[kind]
+    number = defaultdict(count(1).__next__)
+    tracemalloc.start()
+    codes = Q.numbered(text, number)
+    got = Q.repetition([codes], len(number), Q.Rules())[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * n
+    if kind != "random":
+        assert got[0] == n and got[2] == {"equal": n - 1, "period": n - 8, "copied": n // 2}[kind]
+    else:
+        assert got[0] == 0
+
+
+def test_words_across_chunks(monkeypatch):
+    monkeypatch.setattr(Q, "CHUNK", 5)
+    number = defaultdict(count(1).__next__)
+    text = " one two\tthree a  verylongword\x0bé \n b two "
+    assert Q.numbered(text, number).tolist() == [number[w] for w in text.encode().split()]
 
 
 def test_rows_against_the_contract(spark):
