@@ -42,6 +42,8 @@ from phonolith.llm.common import checked, mark, release, staged, table, without
 #: Fixed value: what separates tokens.
 SPACE = r" \t\x0B\f\r"
 FIELD = "<*>"
+#: Keys are looked up by so many bits before a join (at most 2**20 numbers are broadcast).
+SHORT_BITS = 20
 
 
 @dataclass(frozen=True)
@@ -77,6 +79,12 @@ def split_lines(docs: DataFrame, tree: Tree, id_col: str, text_col: str) -> Data
     return lines.select("id", "text_key", "at", "raw_key", leaf.alias("leaf"), F.xxhash64("tokens").alias("line_key"))
 
 
+def narrowed(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key agrees with one of wanted in its low bits: a join by the whole key then shuffles few others."""
+    short = F.col(key).bitwiseAND(F.lit((1 << SHORT_BITS) - 1)).cast("int")
+    return rows.withColumn("short", short).join(F.broadcast(wanted.select(short.alias("short")).distinct()), "short", "left_semi").drop("short")
+
+
 def frequent_lines(docs: DataFrame, tree: Tree, id_col: str, text_col: str) -> DataFrame:
     """The lines whose leaf occurs in enough texts, and whether the leaf has several."""
     lines = staged(split_lines(docs, tree, id_col, text_col), "lines")
@@ -84,7 +92,7 @@ def frequent_lines(docs: DataFrame, tree: Tree, id_col: str, text_col: str) -> D
     leaves = by_text.groupBy("leaf").agg(F.count("*").alias("texts"), (F.min("a") != F.max("b")).alias("several"))
     # Written out, so that the join shuffles both sides and Spark can split a hot leaf.
     leaves = staged(leaves.where(F.col("texts") >= tree.min_texts).select("leaf", "several"), "leaves")
-    near = staged(lines.join(leaves, "leaf"), "near")
+    near = staged(narrowed(lines, leaves, "leaf").join(leaves, "leaf"), "near")
     release(lines, leaves)
     return near
 
@@ -93,7 +101,7 @@ def placed_tokens(docs: DataFrame, near: DataFrame, tree: Tree, text_col: str) -
     """(grp, leaf, line_key, name, rest, at, token) of each token after the first ones; name: a number that orders lines, rest: how many tokens the line has of these."""
     wanted = staged(near.where("several").groupBy("leaf", "line_key").agg(F.min("raw_key").alias("raw_key")), "wanted")
     lines = docs.select(F.explode(F.array_distinct(F.split(F.col(text_col), "\n"))).alias("line")).withColumn("raw_key", F.xxhash64("line"))
-    lines = with_tokens(lines.join(wanted, "raw_key").groupBy("leaf", "line_key").agg(F.first("line").alias("line")), "leaf", "line_key")
+    lines = with_tokens(narrowed(lines, wanted, "raw_key").join(wanted, "raw_key").groupBy("leaf", "line_key").agg(F.first("line").alias("line")), "leaf", "line_key")
     after = F.slice("tokens", tree.depth + 1, F.greatest(F.size("tokens") - tree.depth, F.lit(0)))
     name = F.conv(F.substring(F.md5(F.array_join("tokens", " ")), 1, 15), 16, 10).cast("long")
     placed = lines.select(F.col("leaf").alias("grp"), "leaf", "line_key", name.alias("name"), (F.size("tokens") - tree.depth).alias("rest"), F.posexplode(after).alias("at", "token"))
