@@ -107,3 +107,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def crc_mod(id_col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the text ''."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
+
+
+def sql_crc_mod(id_col: str, n: int) -> str:
+    """crc_mod as DuckDB SQL, for ids without null; the query must have SQL_CRC_TABLE among its tables."""
+    codes = f"list_transform(string_split(CAST({id_col} AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    crc = f"list_reduce(list_concat([4294967295], {codes}), lambda c, b: xor(c >> 8, crc_t[(xor(c, b) & 255) + 1]))"
+    return f"xor({crc}, 4294967295) % {n}"
+
+
+#: The 256 remainders of the checksum's polynomial, one row.
+SQL_CRC_TABLE = """(
+  SELECT list(c ORDER BY i) AS crc_t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))
+)"""

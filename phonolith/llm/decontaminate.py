@@ -1,8 +1,9 @@
 """Operator 1: benchmark decontamination.
 
 A broadcast hash set of the benchmark's word n-grams is probed by every word
-window of every document; a window whose 64-bit hash is found is compared word
-by word before it counts. DataFrame functions only.
+window of every document. Words are hashed once, windows are hashes of those
+numbers; only a window whose hash is found is cut out and compared word by word
+before it counts. DataFrame functions only.
 
 Defined results
 ---------------
@@ -10,6 +11,7 @@ Defined results
 * an item with fewer than ``n`` words (but not none) is one shorter window.
 * equal windows of several items hit all of these items; overlapping hits count
   each document word once.
+* a very long text is probed window by window and never copied for each of them.
 * repeated rows (same id, same text) each get their row; a null id is a value.
 * an item with a null id marks words as hit but adds no id to the list.
 * an empty document table gives no rows; an empty benchmark hits nothing.
@@ -22,13 +24,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonolith.llm.common import LOWER, UPPER, lower_ascii, mark, table, without
+from phonolith.llm.common import LOWER, UPPER, checked, lower_ascii, mark, table, without
 
 #: Runs of these are what lies between words (after A-Z is lower-cased).
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Up to so many distinct benchmark windows are broadcast (some 300 MB at most);
+#: Up to so many distinct benchmark windows of so many bytes in all are broadcast;
 #: beyond that the windows are joined by a shuffle on the window hash.
-MAX_BROADCAST_WINDOWS = 1_000_000
+MAX_BROADCAST_WINDOWS = 500_000
+MAX_BROADCAST_BYTES = 64_000_000
 
 
 def words(text: Column) -> Column:
@@ -41,7 +44,11 @@ def benchmark_windows(benchmark: DataFrame, item_id: str, item_text: str, n: int
     rows = rows.where(F.size("w") > 0).withColumn("len", F.least(F.lit(n), F.size("w")))
     rows = rows.select("item", "w", "len", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1)).alias("at"))
     rows = rows.select("item", F.expr("slice(w, at, len)").alias("gram"))
-    return rows.groupBy("gram").agg(F.collect_set("item").alias("items")).withColumn("gram_hash", F.xxhash64("gram"))
+    return rows.groupBy("gram").agg(F.collect_set("item").alias("items")).withColumn("gram_hash", F.xxhash64(word_hashes("gram")))
+
+
+def word_hashes(words_col: str) -> Column:
+    return F.transform(words_col, lambda w: F.xxhash64(w))
 
 
 def _starts(size: int) -> Column:
@@ -57,21 +64,30 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
     (``at`` = -1) to its hits, so neither counts nor clean documents need a join.
     """
     grams = benchmark_windows(benchmark, item_id, item_text, n)
-    # The lengths are at most n integers; together with the count they decide the plan.
-    lengths = [(r["len"], r["windows"]) for r in grams.groupBy(F.size("gram").alias("len")).agg(F.count("*").alias("windows")).collect()]
-    small = sum(count for _, count in lengths) <= MAX_BROADCAST_WINDOWS
+    # The lengths are at most n integers; with the counts and bytes (as they lie in memory) they decide the plan.
+    size = F.length(F.array_join("gram", "")) + F.length(F.array_join("items", "")) + 16 * (F.size("gram") + F.size("items")) + 64
+    lengths = grams.groupBy(F.size("gram").alias("len")).agg(F.count("*").alias("windows"), F.sum(size).alias("bytes")).collect()
+    small = sum(r["windows"] for r in lengths) <= MAX_BROADCAST_WINDOWS and sum(r["bytes"] for r in lengths) <= MAX_BROADCAST_BYTES
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), words(F.col(text_col)).alias("w"))
-    texts = texts.select("id", "text_key", "w", F.size("w").alias("n_words"))
+    texts = texts.select("id", "text_key", "w", F.size("w").alias("n_words"), word_hashes("w").alias("hashes"))
     starts = F.concat(
         F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("len"))),
-        *[_starts(size) for size, _ in sorted(lengths)],
+        *[_starts(length) for length in sorted(r["len"] for r in lengths)],
     )
-    windows = texts.select("id", "text_key", "w", "n_words", F.explode(starts).alias("s"))
-    windows = windows.select("id", "text_key", "n_words", F.col("s.at").alias("at"), F.col("s.len").alias("len"), F.expr("CASE WHEN s.at >= 0 THEN slice(w, s.at + 1, s.len) END").alias("gram"))
-    windows = windows.withColumn("h", F.when(F.col("at") >= 0, F.xxhash64("gram")))
-    known = grams.select(F.col("gram").alias("known"), F.col("gram_hash"), "items")
-    found = windows.join(F.broadcast(known) if small else known, (F.col("h") == F.col("gram_hash")) & (F.col("gram") == F.col("known")), "left")
-    found = found.where((F.col("at") < 0) | F.col("known").isNotNull())
+    windows = texts.select("id", "text_key", "w", "n_words", "hashes", F.explode(starts).alias("s"))
+    # A text's own row has the text's hash as its key, so that these rows never meet in one partition.
+    key = F.expr("CASE WHEN s.at >= 0 THEN xxhash64(slice(hashes, s.at + 1, s.len)) ELSE text_key END")
+    windows = windows.select("id", "text_key", "n_words", "w", F.col("s.at").alias("at"), F.col("s.len").alias("len"), key.alias("h"))
+    if not small:
+        # The words travel with their window, not the whole text.
+        windows = windows.withColumn("w", F.expr("CASE WHEN at >= 0 THEN slice(w, at + 1, len) END"))
+    known = grams.select(F.col("gram").alias("known"), "gram_hash", "items")
+    found = windows.join(F.broadcast(known) if small else known, F.col("h") == F.col("gram_hash"), "left")
+    own = F.expr("slice(w, at + 1, len)") if small else F.col("w")
+    hit = F.col("known").isNotNull() & (own == F.col("known"))
+    found = found.where((F.col("at") < 0) | hit)
+    # A row of its own whose key happens to be a window's is no hit.
+    found = found.withColumn("items", F.when(F.col("at") >= 0, F.col("items")))
     return found.groupBy("id", "text_key").agg(
         F.count_if(F.col("at") < 0).alias("copies"),
         F.max("n_words").alias("n_words"),
@@ -102,7 +118,7 @@ def report(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
     """The documents without any hit, all columns as they were."""
-    found = hits(docs, benchmark, **names).where(F.size("spans") > 0)
+    found = hits(checked(docs), benchmark, **names).where(F.size("spans") > 0)
     bad = found.select(F.col("id").alias(mark("id")), F.col("text_key").alias(mark("key")))
     own = docs.withColumn(mark("hash"), F.xxhash64(names.get("text_col", "text")))
     same = F.col(names.get("id_col", "doc_id")).eqNullSafe(F.col(mark("id"))) & (F.col(mark("hash")) == F.col(mark("key")))
@@ -112,7 +128,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **names) -> DataFra
 def remove_spans(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
     """All documents; the words of a hit are cut out of the text with the separators after them."""
     text_col = names.get("text_col", "text")
-    found = hits(docs, benchmark, **names).where(F.size("spans") > 0)
+    found = hits(checked(docs), benchmark, **names).where(F.size("spans") > 0)
     bad = found.select(
         F.col("id").alias(mark("id")),
         F.col("text_key").alias(mark("key")),

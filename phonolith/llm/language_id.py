@@ -9,9 +9,14 @@ for an n-gram that the language lacks. The nearest language wins.
 n-grams are 64-bit numbers of three code points, so counting is sorting.
 Learning counts n-grams of all rows given; counts are summed in each task, then
 by n-gram. The top of each language is first taken within hashed parts, so
-the driver gets at most (languages x parts x profile length) rows.
+the driver gets at most (languages x parts x profile length) rows; more than
+``MAX_LANGUAGES`` different values of the language column are an error.
+
+Letters are Unicode's letters and the marks that combine with them; digits of
+any kind, signs and numbers like superscripts are not.
 
 Defined results: null text or text without a letter is ``und`` with score 0;
+a very long text is counted in chunks that end between words;
 ties go to the language whose name sorts first; rows with null language teach
 nothing; if nothing can be learnt, everything is ``und``; repeated rows count
 as often as they occur; empty tables give no rows; other columns are ignored.
@@ -19,15 +24,15 @@ as often as they occur; empty tables give no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from phonolith.llm.common import crc_mod, table
+from phonolith.llm.common import SQL_CRC_TABLE, crc_mod, sql_crc_mod, table
 
 #: Entries of a profile, of a language and of a document.
 PROFILE = 400
@@ -37,14 +42,17 @@ PARTS = 8
 CHUNK = 1_000_000
 #: A task passes its sums on when it holds so many n-grams.
 HELD = 2_000_000
+#: Profiles of so many languages are some 30 MB.
+MAX_LANGUAGES = 5_000
 
-_other = re.compile(r"[\W\d_]+").sub
+_other = regex.compile(r"[^\p{L}\p{M}]+").sub
+_letter = regex.compile(r"\p{L}").search
 
 
 def letters(text: str | None) -> str:
     """The text's words of letters in lower case, blanks between and around; '' without a letter."""
     found = _other(" ", (text or "").lower()).strip()
-    return f" {found} " if found else ""
+    return f" {found} " if _letter(found) else ""
 
 
 def _grams(padded: str) -> np.ndarray:
@@ -122,6 +130,8 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size:
         yield from passed()
 
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    if (languages := rows.agg(F.count_distinct("lang")).first()[0]) > MAX_LANGUAGES:
+        raise ValueError(f"{languages} languages; at most {MAX_LANGUAGES} profiles can be sent to the tasks")
     sums = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best_first = Window.partitionBy("lang", "part").orderBy(F.desc("n"), "gram")
     top = sums.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(PARTS))).withColumn("place", F.row_number().over(best_first))
@@ -176,4 +186,30 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_language_id": op8_language_id}
-ORACLE: dict = {}
+
+
+def _sql() -> str:
+    held_out = f"{sql_crc_mod('doc_id', 4)} = 2"
+    best = "row_number() OVER (PARTITION BY {} ORDER BY n DESC, gram)"
+    return f"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, lang, {held_out} AS held_out, CASE WHEN regexp_matches(text, '\\p{{L}}') THEN string_split(' ' || trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{M}}]+', ' ', 'g')) || ' ', '') END AS c FROM documents, {SQL_CRC_TABLE}
+), p AS (SELECT doc_id, lang, held_out, c, unnest(range(1, len(c) + 1)) AS i FROM d WHERE c IS NOT NULL
+), x AS (
+  SELECT doc_id, lang, held_out, c[i] AS one, c[i + 1] AS two, c[i + 2] AS three FROM p
+), g AS MATERIALIZED (
+  SELECT doc_id, lang, held_out, gram, count(*) AS n FROM (
+    SELECT doc_id, lang, held_out, unnest([CASE WHEN one <> ' ' THEN one END, one || two, CASE WHEN two <> ' ' THEN one || two || three END]) AS gram FROM x
+  ) WHERE gram IS NOT NULL GROUP BY ALL
+), l AS (
+  SELECT lang, gram, {best.format('lang')} - 1 AS rank FROM (SELECT lang, gram, sum(n) AS n FROM g WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, gram) QUALIFY rank < {PROFILE}
+), o AS MATERIALIZED (SELECT doc_id, gram, {best.format('doc_id')} - 1 AS rank FROM g QUALIFY rank < {PROFILE}
+), a AS (
+  SELECT doc_id, k.lang, sum(coalesce(abs(l.rank - o.rank), {PROFILE})) AS apart, count(*) AS own
+  FROM o CROSS JOIN (SELECT DISTINCT lang FROM l) k LEFT JOIN l ON l.lang = k.lang AND l.gram = o.gram GROUP BY doc_id, k.lang
+), b AS (SELECT doc_id, lang, 1 - apart / ({PROFILE} * own) AS score FROM a QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY apart, lang) = 1)
+SELECT d.doc_id, d.held_out, coalesce(b.lang, 'und') AS lang_pred, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM d LEFT JOIN b ON d.doc_id = b.doc_id
+"""
+
+
+ORACLE = {"op8_language_id": _sql()}

@@ -5,18 +5,24 @@ Each page becomes one WARC/1.1 record. Pages with equal payloads of at least
 the others are revisits that refer to it. Tasks write archives of bounded size;
 each begins with a skippable frame (0x184D2A5D) that holds a Zstandard
 dictionary built from the archive's own records, and every record is a frame
-of its own, so records can be read one by one.
+of its own, so records can be read one by one. Where the records are too few to
+learn from, their pieces are learnt from, and where even these are, the
+beginning of the first record is the dictionary as it is; none goes without.
 
 Archives are written through pyarrow's file systems below the cluster's shared
 folder; names are unique, and the manifest, which Spark commits, lists those
 of successful tasks, so a retried task leaves at most a file nobody reads.
-Reading goes through Spark's binaryFile source.
+Reading opens the manifest's archives by name inside the tasks; their contents
+are never shuffled. Page ids must be whole numbers (they are written as such
+and read back as long).
 
 Defined results: a null html is an empty payload; a null url or one with white
 space or control characters is written percent-encoded or as a urn; a null
 page id becomes the word ``null`` in the record id and is only a response if
 all its equals have null ids; rows that share the largest id are all
-responses; an empty table writes no archive; further columns are ignored.
+responses; a very long payload is a record (and beyond ``archive_bytes`` an
+archive) by itself; an empty table writes no archive; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -44,8 +50,13 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 ARCHIVE_BYTES = 16_000_000
 DICTIONARY_BYTES = 64_000
 LEVEL = 3
-#: Smaller archives have no dictionary: there is nothing to learn from.
-LEAST_FOR_DICTIONARY = 16
+#: Bytes of the pieces that few records are cut into, and of a record that is the dictionary itself.
+PIECE_BYTES = 64
+PLAIN_BYTES = 1_000
+#: Archives that a task reads, about.
+TASK_ARCHIVES = 64
+#: Names that Hadoop has for stores which pyarrow calls otherwise.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
 _unsafe = re.compile(r"[\x00-\x20\x7f%]")
 
@@ -82,19 +93,36 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return head.encode() + block + b"\r\n\r\n"
 
 
+def dictionary(records: list[bytes], level: int = LEVEL) -> bytes:
+    """A dictionary for the records: learnt from them, else from their pieces, else the beginning of the first."""
+    few = b"".join(records)[: 16 * DICTIONARY_BYTES]
+    pieces = [few[at : at + PIECE_BYTES] for at in range(0, len(few), PIECE_BYTES)]
+    for samples, size in ((records, DICTIONARY_BYTES), (pieces, min(DICTIONARY_BYTES, max(256, len(few) // 4)))):
+        try:
+            return zstandard.train_dictionary(size, samples, k=200 if samples is records else 50, d=8, steps=1, level=level).as_bytes()
+        except zstandard.ZstdError:  # too few, too short or too alike to learn from
+            continue
+    return few[:PLAIN_BYTES]
+
+
 def archive(records: list[bytes], level: int = LEVEL) -> bytes:
     """Skippable frame with the dictionary, then one frame for each record."""
-    words = b""
-    if len(records) >= LEAST_FOR_DICTIONARY:
-        try:
-            words = zstandard.train_dictionary(DICTIONARY_BYTES, records, k=200, d=8, steps=1, level=level).as_bytes()
-        except zstandard.ZstdError:  # records too short or too alike to learn from
-            words = b""
-    use = zstandard.ZstdCompressionDict(words) if words else None
-    compress = zstandard.ZstdCompressor(level=level, dict_data=use, write_content_size=True, write_checksum=True).compress
+    words = dictionary(records, level)
+    compress = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(words), write_content_size=True, write_checksum=True).compress
     return b"".join([struct.pack("<II", SKIPPABLE, len(words)), words, *map(compress, records)])
 
 
+def opened(uri: str):
+    """(pyarrow file system, path) of a folder's address."""
+    from pyarrow import fs
+
+    scheme, colon, rest = uri.partition(":")
+    try:
+        return fs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + colon + rest)
+    except pa.ArrowInvalid as error:
+        raise ValueError(f"archives cannot be written to {uri}: pyarrow has no file system for {scheme}://") from error
+
+
 def frame_end(data: memoryview, at: int) -> int:
     """Where the Zstandard frame that begins at ``at`` ends."""
     info = zstandard.get_frame_parameters(data[at : at + 18])
@@ -113,8 +141,7 @@ def records_of(data: bytes) -> Iterator[bytes]:
     magic, size = struct.unpack_from("<II", data, 0)
     if magic != SKIPPABLE:
         raise ValueError("the archive does not begin with a dictionary frame")
-    use = zstandard.ZstdCompressionDict(data[8 : 8 + size]) if size else None
-    decompress = zstandard.ZstdDecompressor(dict_data=use).decompress
+    decompress = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + size])).decompress
     at = 8 + size
     while at < len(data):
         if bytes(view[at : at + 4]) != ZSTD_MAGIC:
@@ -164,9 +191,7 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
     archives = f"{folder}/archives"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(archives)
+        store, base = opened(archives)
         store.create_dir(base, recursive=True)
 
         def written(records: list[bytes]) -> pa.RecordBatch:
@@ -193,35 +218,33 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
     return rows.sparkSession.read.schema("name string, records long, bytes long").parquet(manifest)
 
 
-def read_archives(spark: SparkSession, folder: str, names: DataFrame | None = None) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record; names: the manifest."""
+def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record of the manifest's archives below folder."""
+    archives = f"{folder}/archives"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = opened(archives)
         for batch in batches:
-            for data in batch.column(0):
+            for name in batch.column(0).to_pylist():
+                with store.open_input_stream(f"{base}/{name}", compression=None) as source:
+                    data = source.read()
                 found = []
-                for raw in records_of(data.as_py()):
+                for raw in records_of(data):
                     fields, size, _ = parsed(raw)
                     refers = fields.get("WARC-Refers-To")
                     found.append((page_of(fields["WARC-Record-ID"]), size, fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"], refers and page_of(refers)))
                 ids, sizes, digests, kinds, refs = map(list, zip(*found)) if found else ([], [], [], [], [])
                 yield pa.RecordBatch.from_pydict({"page_id": pa.array(ids, pa.int64()), "payload_bytes": pa.array(sizes, pa.int64()), "payload_digest": pa.array(digests, pa.string()), "record_type": pa.array(kinds, pa.string()), "refers_to": pa.array(refs, pa.int64())})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(f"{folder}/archives")
-    if names is not None:
-        own = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-        files = own.join(names.select("name"), "name", "left_semi")
-    return files.select("content").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    # Only names are dealt out.
+    tasks = max(manifest.sparkSession.sparkContext.defaultParallelism, manifest.count() // TASK_ARCHIVES + 1)
+    return manifest.select("name").repartition(tasks, "name").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archived(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write the pages' archives and read them back."""
-    spark = pages.sparkSession
-    folder = folder or new_folder(spark, "warc")
-    manifest = write_archives(with_originals(pages, min_bytes, id_col, url_col, html_col), folder)
-    if manifest.isEmpty():
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return read_archives(spark, folder, manifest)
+    folder = folder or new_folder(pages.sparkSession, "warc")
+    return read_archives(write_archives(with_originals(pages, min_bytes, id_col, url_col, html_col), folder), folder)
 
 
 def op9_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,4 +252,18 @@ def op9_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_warc_dictionary": op9_warc_dictionary}
-ORACLE: dict = {}
+
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+ORACLE = {
+    "op9_warc_dictionary": f"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), b AS (
+  SELECT *, list_aggregate(list_transform(range(32), lambda i: substr('{_ALPHABET}', 1 + ((CAST('0x' || substr(hex, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31), 1)), 'string_agg', '') AS payload_digest,
+    max(page_id) OVER (PARTITION BY hex) AS most
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = most THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> most THEN most END AS refers_to FROM b
+"""
+}

@@ -1,7 +1,10 @@
 import random
+import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pytest
 
 from phonolith.llm import language_id as I
 
@@ -70,3 +73,27 @@ def test_profiles_equal_brute_force(spark):
         best = min(apart, key=lambda x: (apart[x], x))
         name, score = table.nearest(I.letters(text))
         assert name == best and np.isclose(score, 1 - apart[best] / (50 * len(own)))
+
+
+def test_signs_that_look_like_letters_are_none(spark):
+    assert [I.letters(t) for t in ("²", "①② ½", "\u0301", "7_7", "a² b", "नमस्ते", "ไทยี")] == ["", "", "", "", " a b ", " नमस्ते ", " ไทยี "]
+    docs = spark.createDataFrame([(1, "²"), (2, "①② ½"), (3, None), (4, "abc")], "doc_id long, text string")
+    got = {r["id"]: (r["lang_pred"], r["score"]) for r in I.predict(docs, {"xx": I.ranked(*I.gram_counts(" abc "), 400)}).collect()}
+    assert got[1] == got[2] == got[3] == ("und", 0.0) and got[4] == ("xx", 1.0)
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(I, "MAX_LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        I.learn(spark.createDataFrame([("a", "x"), ("b", "y")], "text string, lang string"))
+
+
+def test_the_query_and_its_sql(spark):
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    want = con.sql(I.ORACLE["op8_language_id"])
+    got = I.op8_language_id(spark, "/root/testdata/sf0.001")
+    assert got.columns == want.columns == ["doc_id", "held_out", "lang_pred", "score"]
+    rows = sorted(map(tuple, got.collect()))
+    assert [r[:3] for r in rows] == [r[:3] for r in sorted(want.fetchall())]
+    assert all(r[1] == (zlib.crc32(str(r[0]).encode()) % 4 == 2) for r in rows)

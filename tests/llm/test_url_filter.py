@@ -1,3 +1,6 @@
+import duckdb
+from pyspark.sql import functions as F
+
 from phonolith.llm import url_filter as U
 from phonolith.llm.common import mark
 
@@ -49,3 +52,46 @@ def test_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     labels = spark.createDataFrame([], "page_id long, good int")
     assert U.judged(pages, labels).count() == 0
+
+
+def test_registered_domains_and_suffixes(spark):
+    cases = {
+        "a.b.example.org": ("example.org", "org"),
+        "a.example.co.uk": ("example.co.uk", "co.uk"),
+        "co.uk": ("co.uk", "co.uk"),
+        "h.org:80": ("h.org", "org"),
+        "u:p@x.h.org.:443": ("h.org", "org"),
+        "u@v@h.org:": ("h.org", "org"),
+        "10.0.0.1:8080": ("10.0.0.1", "10.0.0.1"),
+        "[2001:db8::1]:443": ("[2001:db8::1]", "[2001:db8::1]"),
+        "localhost": ("localhost", "localhost"),
+        "": ("", ""),
+    }
+    names = spark.createDataFrame([(h,) for h in cases], "host string").withColumn("name", U.name_of(F.col("host")))
+    got = {r["host"]: (r["d"], r["s"]) for r in names.select("host", U.domain_of(F.col("name")).alias("d"), U.suffix_of(F.col("name")).alias("s")).collect()}
+    assert got == cases
+
+
+def test_a_bad_domain_is_blocked_but_not_its_public_suffix(spark):
+    urls = [f"http://h{i}.spam.co.uk:80/" for i in range(60)] + [f"http://site{i}.co.uk/" for i in range(60)]
+    new = ["http://new.spam.co.uk/", "http://other.co.uk/", "http://u@new.spam.co.uk:8080/x"]
+    got = judged(spark, urls + new, [(i, 0) for i in range(60)] + [(i, 1) for i in range(60, 120)])
+    assert [got[i][mark("verdict")] for i in (120, 121, 122)] == ["block", "allow", "block"]
+    assert got[120][mark("n")] == 0 and 0 < got[120][mark("mean")] < got[120][mark("upper")] < 0.5
+
+
+def test_very_long_urls_and_rules_of_equal_length(spark):
+    long = "http://a.net/es/" + "x" * 500_000
+    got = judged(spark, [long, "http://" + "b." * 100_000 + "com/", "http://" + ":1" * 100_000, "http://x.com/q/"], rules=(("net/es/", "block"), ("x.com/q/", "allow"), ("x.com/q/", "block")))
+    assert [got[i][mark("verdict")] for i in range(4)] == ["block", "allow", "allow", "allow"]
+    assert got[0][mark("path")] == long[len("http://a.net") :]
+
+
+def test_the_query_and_its_sql(spark):
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '/root/testdata/sf0.001/{name}.parquet'")
+    want = con.sql(U.ORACLE["op6_url_filters"])
+    got = U.op6_url_filters(spark, "/root/testdata/sf0.001")
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())

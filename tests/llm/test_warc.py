@@ -3,19 +3,20 @@ import glob
 import hashlib
 import random
 
+import duckdb
 import pytest
 import zstandard
 
 from phonolith.llm import warc as W
 
 
-def test_archive_round_trip_with_and_without_dictionary():
+def test_archive_round_trip():
     rng = random.Random(1)
     for n in (1, 15, 16, 400):
         records = [W.record(i, f"http://h/{i}", bytes(rng.choice(b"<p>hello world</p>") for _ in range(rng.randint(0, 900))), None if i % 3 else 0, "2024-01-01T00:00:00Z") for i in range(n)]
         data = W.archive(records)
         assert list(W.records_of(data)) == records
-        assert (int.from_bytes(data[4:8], "little") > 0) == (n >= W.LEAST_FOR_DICTIONARY)
+        assert int.from_bytes(data[4:8], "little") > 0
         if n == 400:
             # An ordinary Zstandard reader skips the dictionary frame; frames hold one record each.
             end = W.frame_end(memoryview(data), 8 + int.from_bytes(data[4:8], "little"))
@@ -23,9 +24,27 @@ def test_archive_round_trip_with_and_without_dictionary():
                 zstandard.ZstdDecompressor().decompress(data[8 + int.from_bytes(data[4:8], "little") : end])
 
 
-def test_records_that_teach_nothing_have_no_dictionary():
-    records = [b"x"] * 100
-    assert list(W.records_of(W.archive(records))) == records
+def test_few_or_equal_records_have_a_dictionary_too():
+    one = W.record(1, "http://h/1", b"<p>some page</p>" * 60, None, "2024-01-01T00:00:00Z")
+    for records in ([one], [one[:400]], [one] * 3, [b"x" * 50] * 100):
+        data = W.archive(records)
+        assert list(W.records_of(data)) == records and int.from_bytes(data[4:8], "little") >= 100
+    assert len(W.archive([one] * 16)) < 16 * len(W.archive([one]))
+
+
+def test_a_store_unknown_to_pyarrow_is_named():
+    with pytest.raises(ValueError, match="nowhere"):
+        W.opened("nowhere://bucket/a")
+
+
+def test_the_query_and_its_sql(spark):
+    pages = "/root/testdata/sf0.001/pages.parquet"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{pages}'")
+    want = con.sql(W.ORACLE["op9_warc_dictionary"])
+    got = W.op9_warc_dictionary(spark, "/root/testdata/sf0.001")
+    assert got.columns == want.columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want.fetchall(), key=str)
 
 
 def test_a_damaged_payload_is_an_error():
@@ -64,6 +83,6 @@ def test_small_archives_and_empty_table(spark, tmp_path):
     pages = spark.createDataFrame(rows(), "page_id long, url string, html string")
     manifest = W.write_archives(W.with_originals(pages, 0, "page_id", "url", "html"), f"file://{tmp_path}/b", 20_000)
     assert manifest.count() > 5
-    found = W.read_archives(spark, f"file://{tmp_path}/b", manifest)
+    found = W.read_archives(manifest, f"file://{tmp_path}/b")
     assert found.count() == len(rows())
     assert W.archived(pages.limit(0), f"file://{tmp_path}/c").count() == 0
