@@ -6,6 +6,7 @@ and what users set (favorite, rating) is a log whose latest entry holds.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -69,11 +70,17 @@ def delete_assets(catalog: Catalog, ids: DataFrame) -> Catalog:
     """Assets with their tag links and embeddings; ids: one column ``id``."""
     gone = ids.select(F.col("id").alias("_gone")).distinct()
     without = lambda df, key: df.join(gone, F.col(key) == F.col("_gone"), "left_anti")
-    return replace(catalog, assets=without(catalog.assets, "id"), asset_tags=without(catalog.asset_tags, "asset_id"), embeddings=without(catalog.embeddings, "asset_id"))
+    return replace(catalog, assets=without(catalog.assets, "id"), asset_tags=without(catalog.asset_tags, "asset_id"), embeddings=without(catalog.embeddings, "asset_id"), peaks=without(catalog.peaks, "asset_id"))
 
 
 def wiped(catalog: Catalog) -> Catalog:
-    return Catalog(*(df.limit(0) for df in (catalog.assets, catalog.tags, catalog.asset_tags, catalog.embeddings)))
+    return Catalog(*(df.where(F.lit(False)) for df in (catalog.assets, catalog.tags, catalog.asset_tags, catalog.embeddings, catalog.peaks)))
+
+
+def update_peaks(peaks: DataFrame, new: DataFrame) -> DataFrame:
+    """new (asset_id, peaks) take the place of what their assets had; an asset without a row has no peaks."""
+    kept = peaks.join(new.select(F.col("asset_id").alias("_new")), F.col("asset_id") == F.col("_new"), "left_anti")
+    return kept.unionByName(new.select(*peaks.columns))
 
 
 def check_rating(rating: int) -> int:
@@ -91,13 +98,28 @@ def with_user_state(assets: DataFrame, log: DataFrame) -> DataFrame:
     return joined.select(*[new.get(c, F.col(c)).alias(c) for c in assets.columns])
 
 
-def set_favorite(assets: DataFrame, ids: list[int], value: bool) -> DataFrame:
-    return assets.withColumn("favorite", F.when(F.col("id").isin(ids), F.lit(value)).otherwise(F.col("favorite"))) if ids else assets
+Ids = DataFrame | Sequence[int]
+
+
+def among(df: DataFrame, ids: Ids, key: str = "id") -> DataFrame:
+    """df with _there, true for the rows whose key is one of ids: a column ``id``, or some numbers."""
+    if not isinstance(ids, DataFrame):
+        ids = df.sparkSession.createDataFrame([(i,) for i in ids], "id long")
+    chosen = ids.select(F.col("id").alias("_id")).distinct().withColumn("_there", F.lit(True))
+    return df.join(chosen, F.col(key) == F.col("_id"), "left").drop("_id")
+
 
+def set_column(assets: DataFrame, ids: Ids, name: str, value) -> DataFrame:
+    marked = among(assets, ids)
+    return marked.select(*[F.when(F.col("_there"), F.lit(value)).otherwise(F.col(c)).alias(c) if c == name else F.col(c) for c in assets.columns])
 
-def set_rating(assets: DataFrame, ids: list[int], rating: int) -> DataFrame:
-    check_rating(rating)
-    return assets.withColumn("rating", F.when(F.col("id").isin(ids), F.lit(rating)).otherwise(F.col("rating"))) if ids else assets
+
+def set_favorite(assets: DataFrame, ids: Ids, value: bool) -> DataFrame:
+    return set_column(assets, ids, "favorite", value)
+
+
+def set_rating(assets: DataFrame, ids: Ids, rating: int) -> DataFrame:
+    return set_column(assets, ids, "rating", check_rating(rating))
 
 
 def toggle_favorite(assets: DataFrame, asset_id: int) -> tuple[DataFrame, bool]:
@@ -107,10 +129,13 @@ def toggle_favorite(assets: DataFrame, asset_id: int) -> tuple[DataFrame, bool]:
     return set_favorite(assets, [asset_id], not row["favorite"]), not row["favorite"]
 
 
-def add_tag(catalog: Catalog, ids: list[int], name: str, trim: bool = False) -> Catalog:
-    """Link a tag; an equal name (ASCII case ignored) is one tag, spelled as it was first. Bulk requests trim."""
+def add_tag(catalog: Catalog, ids: Ids, name: str, trim: bool = False) -> Catalog:
+    """Link a tag; an equal name (ASCII case ignored) is one tag, spelled as it was first. Bulk requests trim.
+
+    A blank name or an empty list changes nothing; an empty table of ids still makes the tag.
+    """
     name = name.strip() if trim else name
-    if not name or not ids:
+    if not name or (not isinstance(ids, DataFrame) and not ids):
         return catalog
     spark = catalog.assets.sparkSession
     there = catalog.tags.where(nocase(F.col("name")) == nocase(F.lit(name)))
@@ -118,7 +143,8 @@ def add_tag(catalog: Catalog, ids: list[int], name: str, trim: bool = False) ->
     new = new.join(F.broadcast(there.select(F.lit(True).alias("_there")).limit(1)), F.lit(True), "left_anti")
     tags = catalog.tags.unionByName(new)
     tag = tags.where(nocase(F.col("name")) == nocase(F.lit(name))).select(F.col("id").alias("tag_id"))
-    links = catalog.assets.where(F.col("id").isin(ids)).select(F.col("id").alias("asset_id")).crossJoin(F.broadcast(tag))  # one tag
+    chosen = among(catalog.assets, ids).where("_there").select(F.col("id").alias("asset_id"))
+    links = chosen.crossJoin(F.broadcast(tag))  # one tag
     return replace(catalog, tags=tags, asset_tags=catalog.asset_tags.unionByName(links.select(*catalog.asset_tags.columns)).dropDuplicates(["asset_id", "tag_id"]))
 
 

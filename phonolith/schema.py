@@ -8,6 +8,7 @@ from enum import Enum
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+#: The catalog's columns.
 ASSETS = T.StructType(
     [
         T.StructField("id", T.LongType(), False),
@@ -99,3 +100,4 @@ class Catalog:
     tags: DataFrame
     asset_tags: DataFrame
     embeddings: DataFrame
+    peaks: DataFrame

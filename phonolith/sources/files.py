@@ -10,16 +10,20 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonolith.functions.kernels import peak_pairs
 from phonolith.functions.text import parsed_path
 from phonolith.schema import EXTENSIONS
-from phonolith.sources import wav
+from phonolith.sources import codecs
 
 LISTING = "path string, extension string, file_size long, modified_at long"
+STATS = ("indexed", "skipped", "missing", "errors", "duration_ms")
+#: Files that a task reads, and rows of a batch, about.
+TASK_FILES = 256
+BATCH_FILES = 64
 SCANNED = "path string, sample_rate int, channels int, bit_depth int, duration_ms long, peaks array<float>, error string"
 
 
@@ -66,55 +70,102 @@ def difference(listing: DataFrame, indexed: DataFrame, root: str | None = None,
     return joined.select("path", status.alias("status"))
 
 
-def scan_stats(diff: DataFrame, errors: DataFrame | None = None) -> DataFrame:
-    """One row: indexed, skipped, missing and errors."""
+def scan_stats(diff: DataFrame, errors: DataFrame | None = None, duration_ms: int | None = None) -> DataFrame:
+    """One row: indexed, skipped, missing, errors and, if given, how long the scan took."""
     counts = diff.agg(
         F.count_if(F.col("status").isin("new", "changed")).alias("indexed"),
         F.count_if(F.col("status") == "unchanged").alias("skipped"),
         F.count_if(F.col("status") == "missing").alias("missing"),
     )
-    failed = F.lit(0).cast("long").alias("errors")
     if errors is None:
-        return counts.select("*", failed)
-    both = counts.crossJoin(errors.agg(F.count("*").alias("errors")))  # one row each
-    return both.withColumn("indexed", F.col("indexed") - F.col("errors"))
+        found = counts.select("*", F.lit(0).cast("long").alias("errors"))
+    else:
+        both = counts.crossJoin(errors.agg(F.count("*").alias("errors")))  # one row each
+        found = both.withColumn("indexed", F.col("indexed") - F.col("errors"))
+    return found if duration_ms is None else found.withColumn("duration_ms", F.lit(duration_ms).cast("long"))
+
+
+def stats_of_roots(stats: list[tuple[str, DataFrame | None]]) -> DataFrame:
+    """(root, indexed, skipped, missing, errors, duration_ms) of each root and their sum under a null root; a root without stats failed and is one error."""
+    rows = None
+    for root, own in stats:
+        spark = own.sparkSession if own is not None else SparkSession.active()
+        if own is None:
+            own = spark.range(1).select(*[F.lit(int(c == "errors")).cast("long").alias(c) for c in STATS])
+        one = own.select(F.lit(root).alias("root"), *STATS)
+        rows = one if rows is None else rows.unionByName(one)
+    total = rows.agg(*[F.sum(c).alias(c) for c in STATS]).select(F.lit(None).cast("string").alias("root"), *STATS)
+    return rows.unionByName(total)
 
 
 def scanned_facts(path: str, content: bytes, resolution: int) -> tuple:
     """Header facts and peaks of a file; unreadable headers are an error, unreadable samples give no peaks."""
     extension = path.rpartition(".")[2].lower()
-    header = wav.sniff(content) if extension == "wav" else None
-    if header is None and extension not in wav.DECODERS:
-        return path, None, None, None, None, None, f"not a readable {extension} file"
+    facts = codecs.facts_of(content, extension)
     try:
-        x, rate = wav.decode(content, extension)
+        x, rate = codecs.decode(content, extension)
         peaks = peak_pairs(x.mean(axis=1), resolution).ravel().tolist()
     except ValueError:
         x, rate, peaks = None, None, []
-    if header is not None:
-        return path, header.sample_rate, header.channels, header.bits_per_sample, header.duration_ms, peaks, None
+    if facts is not None:
+        return path, facts.sample_rate, facts.channels, facts.bit_depth, facts.duration_ms, peaks, None
     if x is None:
         return path, None, None, None, None, None, f"not a readable {extension} file"
     return path, rate, x.shape[1], None, len(x) * 1000 // rate, peaks, None
 
 
-def extract(contents: DataFrame, resolution: int = 800) -> DataFrame:
-    """contents (path, content binary): facts, peaks and an error for files that can't be read."""
+def _content(path: str) -> bytes:
+    """A file's bytes; local paths have no scheme."""
+    if "://" not in path:
+        with open(path, "rb") as source:
+            return source.read()
+    from pyarrow import fs
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [scanned_facts(p, c, resolution) for p, c in zip(frame["path"], frame["content"])]
-            out = pd.DataFrame(rows, columns=["path", "sample_rate", "channels", "bit_depth", "duration_ms", "peaks", "error"])
-            yield out.astype({"sample_rate": "Int32", "channels": "Int32", "bit_depth": "Int32", "duration_ms": "Int64"})
+    store, place = fs.FileSystem.from_uri(path)
+    with store.open_input_stream(place, compression=None) as source:
+        return source.read()
 
-    return contents.select("path", "content").mapInPandas(run, SCANNED)
 
+def dealt(paths: DataFrame) -> DataFrame:
+    """Paths only, in as many partitions as reading some hundred files each needs."""
+    tasks = max(paths.sparkSession.sparkContext.defaultParallelism, paths.count() // TASK_FILES + 1)
+    return paths.select("path").repartition(tasks, "path")
 
-def read_contents(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
-    """(path, content) of the listed paths only; the semi join is before any file's content is used."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = F.regexp_replace("path", "^file:(?=/)(/(?=//))?(//)?", "")
-    return files.select(path.alias("path"), "content").join(paths.select("path"), "path", "left_semi")
+
+def read_contents(paths: DataFrame) -> DataFrame:
+    """(path, content, error) of the given paths. Tasks open these files and no others; contents are not shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                try:
+                    content, error = _content(path), None
+                except (OSError, pa.ArrowException) as e:
+                    content, error = None, str(e)
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.binary()), pa.array([error], pa.string())], names=["path", "content", "error"])
+
+    return dealt(paths).mapInArrow(run, "path string, content binary, error string")
+
+
+_SCANNED = pa.schema([("path", pa.string()), ("sample_rate", pa.int32()), ("channels", pa.int32()), ("bit_depth", pa.int32()), ("duration_ms", pa.int64()), ("peaks", pa.list_(pa.float32())), ("error", pa.string())])
+
+
+def extract(paths: DataFrame, resolution: int = 800) -> DataFrame:
+    """Facts, peaks and an error for files that can't be read, of each path; a task holds one file at a time."""
+
+    def one(path: str) -> tuple:
+        try:
+            return scanned_facts(path, _content(path), resolution)
+        except (OSError, pa.ArrowException) as e:
+            return path, None, None, None, None, None, str(e)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_FILES):
+                rows = [one(p) for p in batch.column(0).slice(at, BATCH_FILES).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), _SCANNED)], schema=_SCANNED)
+
+    return dealt(paths).mapInArrow(run, SCANNED)
 
 
 def asset_rows(listing: DataFrame, facts: DataFrame, root: str, now: int) -> DataFrame:

@@ -131,7 +131,7 @@ def test_ingest(spark, tree):
     listing = files.list_files(spark, tree)
     none = listing.select("path", "modified_at").limit(0)
     diff = files.difference(listing, none, tree)
-    facts = files.extract(files.read_contents(spark, tree, diff.where("status = 'new'")), 20).cache()
+    facts = files.extract(diff.where("status = 'new'"), 20).cache()
     assert {r["error"] is None for r in facts.where(F.col("path").endswith("mp3")).collect()} == {False}
     rows = {r["filename"]: r for r in files.asset_rows(listing, facts, tree, 9).collect()}
     assert (rows["a"]["publisher"], rows["a"]["category"], rows["a"]["duration_ms"], rows["B"]["channels"], len(rows["a"]["peaks"])) == ("Boom", "Impacts", 500, 2, 40)
@@ -144,7 +144,7 @@ def test_ingest(spark, tree):
 
 def test_clips_and_reports(spark, tree):
     paths = files.list_files(spark, tree).where("extension = 'wav'")
-    contents = files.read_contents(spark, tree, paths).cache()
+    contents = files.read_contents(paths).cache()
     clip = contents.withColumn("start", F.lit(0.0)).withColumn("end", F.lit(0.1))
     rows = {os.path.basename(r["path"]): r for r in audio.clips(clip).collect()}
     assert rows["a.wav"]["frames"] == 800 and len(rows["a.wav"]["wav"]) == 44 + 800 * 4

@@ -20,7 +20,7 @@ BASE = dict(path="", filename="f", extension="wav", folder="/", duration_ms=1000
 def library(spark, *rows, tags=(), links=(), vectors=()):
     full = [BASE | {"id": i + 1, "path": f"/{i + 1}.wav"} | r for i, r in enumerate(rows)]
     assets = spark.createDataFrame([tuple(r[c] for c in schema.ASSETS.names) for r in full], schema.ASSETS)
-    return Catalog(assets, spark.createDataFrame(list(tags), schema.TAGS), spark.createDataFrame(list(links), schema.ASSET_TAGS), spark.createDataFrame(list(vectors), schema.EMBEDDINGS))
+    return Catalog(assets, spark.createDataFrame(list(tags), schema.TAGS), spark.createDataFrame(list(links), schema.ASSET_TAGS), spark.createDataFrame(list(vectors), schema.EMBEDDINGS), spark.createDataFrame([(1, [0.5, 0.25])], schema.PEAKS))
 
 
 def ids(df):
@@ -158,16 +158,17 @@ def test_snapshots(spark, tmp_path):
     assert snapshots.read_snapshot(spark, f"{tmp_path}/c").assets.count() == 0 and snapshots.snapshots(spark, f"{tmp_path}/c").count() == 2
 
 
+#: root, path, then first folder below the root, the others, name and extension.
 PATHS = [
-    ("/audio", "/audio/Boom/hit.wav", "Boom", None, "hit", "wav"),
-    ("/audio", "/audio/Boom/Impacts/Metal/hit.wav", "Boom", "Impacts > Metal", "hit", "wav"),
-    ("/audio", "/audio/hit.wav", None, None, "hit", "wav"),
-    ("/r", "/r/A/B/C/D/x.wav", "A", "B > C > D", "x", "wav"),
-    ("/a", "/a/b.WAV", None, None, "b", "wav"),
-    ("/lib", "/lib/Ström Sounds/Björk.wav", "Ström Sounds", None, "Björk", "wav"),
-    ("/lib", "/lib/Sound (Ideas)/SFX - Vol.1/bang!_01.wav", "Sound (Ideas)", "SFX - Vol.1", "bang!_01", "wav"),
-    ("/a", "/a/ambience.v2.final.wav", None, None, "ambience.v2.final", "wav"),
-    ("/a", "/a/README", None, None, "README", ""),
+    ("/m", "/m/Northwind/rain.flac", "Northwind", None, "rain", "flac"),
+    ("/m", "/m/Northwind/Weather/Storms/rain.flac", "Northwind", "Weather > Storms", "rain", "flac"),
+    ("/m", "/m/rain.flac", None, None, "rain", "flac"),
+    ("/m/n", "/m/n/one/two/three/four/five.ogg", "one", "two > three > four", "five", "ogg"),
+    ("/m", "/m/LOUD.AIFF", None, None, "LOUD", "aiff"),
+    ("/m", "/m/Čaj & Žena/šum ~1.mp3", "Čaj & Žena", None, "šum ~1", "mp3"),
+    ("/m", "/m/[old] takes/2019, part 3/+steps_.wav", "[old] takes", "2019, part 3", "+steps_", "wav"),
+    ("/m", "/m/take.7.of.9.wav", None, None, "take.7.of.9", "wav"),
+    ("/m", "/m/NOTES", None, None, "NOTES", ""),
 ]
 
 
