@@ -28,7 +28,6 @@ tables give no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -46,16 +45,16 @@ ORDER = 6
 START, END = 0xFE, 0xFF
 #: What can follow a context: every byte but START.
 SYMBOLS = 255
-#: Most grams and words whose costs are broadcast (some 70 and 60 MB in a worker).
-HOT_GRAMS = 2_000_000
-HOT_WORDS = 300_000
+#: Most grams and words whose costs are broadcast (some 35 and 30 MB in a worker).
+HOT_GRAMS = 1_500_000
+HOT_WORDS = 200_000
 #: Longer words are never broadcast.
 HOT_BYTES = 64
 #: Distinct numbers or words that a task sums before it passes them on.
-HELD = 1_000_000
+HELD = 2_000_000
 HELD_WORDS = 200_000
 #: Bytes of texts that are scored or counted together.
-BATCH_BYTES = 1_000_000
+BATCH_BYTES = 500_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -124,7 +123,8 @@ def counts(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> DataF
             yield from grams_passed(*merged())
 
     rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word binary, gram long, n long")
-    return rows.groupBy("word", "gram").agg(F.sum("n").alias("n"))
+    # Tasks have summed already; dealing the rows out first keeps Spark from doing it again before the shuffle.
+    return rows.repartition("word", "gram").groupBy("word", "gram").agg(F.sum("n").alias("n"))
 
 
 # --- the trie --------------------------------------------------------------------
@@ -216,10 +216,10 @@ def frequent(rows: DataFrame, most: int) -> DataFrame:
 
 
 class HashTable:
-    """Numbers (not negative) to values, by open addressing."""
+    """Numbers (not negative) to values, by open addressing; at most three of four slots are taken."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.shift = np.uint64(64 - max(4, int(2 * len(keys) + 1).bit_length()))
+        self.shift = np.uint64(64 - max(4, int(4 * len(keys) // 3).bit_length()))
         size = 1 << 64 - int(self.shift)
         self.keys, self.values, self.last = np.full(size, -1, np.int64), np.zeros(size), size - 1
         slots, left = self._slots(keys), np.arange(len(keys))
@@ -254,17 +254,6 @@ class HashTable:
         return out, np.concatenate(missing)
 
 
-_loaded: dict[str, HashTable] = {}
-
-
-def _table(name: str, grams: np.ndarray, costs: np.ndarray) -> HashTable:
-    """A worker keeps the last one."""
-    if name not in _loaded:
-        _loaded.clear()
-        _loaded[name] = HashTable(grams, costs)
-    return _loaded[name]
-
-
 def _costs(table: HashTable, texts: list[list[bytes]], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """(sum of the costs of the grams in the table, the other grams) of each text."""
     grams, sizes = grams_of([b" ".join(w) for w in texts], order)
@@ -287,18 +276,20 @@ def scored(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id", text
     floor = 0.1 / (total + 0.1 * (vocabulary + 1))
     cost_of = F.log10(F.lit(floor / 0.1) * (F.coalesce(F.col("n"), F.lit(0)) + 0.1))
     inner = known.where((F.length("word") > 0) & (F.length("word") <= HOT_BYTES))
-    hot = {bytes(r["word"]): r["cost"] for r in frequent(inner, hot_words).select("word", cost_of.alias("cost")).collect()}
+    best = frequent(inner, hot_words).select("word", cost_of.alias("cost")).toArrow()
+    hot = dict(zip(best.column("word").to_pylist(), best.column("cost").to_pylist()))
     ends = known.where(F.length("word") == 0).select("n").first()
     closing = (math.log10(floor), 0) if ends is None else (math.log10(floor * (ends["n"] + 0.1) / 0.1), 1)
     levels, contexts = trie(both.where("gram IS NOT NULL").select("gram", "n"), order)
     costs = staged(known_costs(levels, contexts), "costs")
     best = frequent(costs, hot_grams).select("gram", "cost").toArrow()
     # At most hot_words and hot_grams entries.
-    shipped = spark.sparkContext.broadcast((hot, uuid.uuid4().hex, best.column("gram").to_numpy(), best.column("cost").to_numpy()))
+    shipped = spark.sparkContext.broadcast((hot, HashTable(best.column("gram").to_numpy(), best.column("cost").to_numpy())))
+    del best, hot
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, hot_table = shipped.value[0].get, _table(*shipped.value[1:])
+        lookup, hot_table = shipped.value[0].get, shipped.value[1]
         part, row = TaskContext.get().partitionId() << 40, 0
         for batch, first, texts in _batches(batches, 1):
             n_tokens, n_known, base, rare = [], [], [], []
