@@ -3,7 +3,8 @@
 Each round is two joins of the edges with each node's smallest neighbour; the
 neighbours of a node are never gathered, so a node with very many links is only
 a skewed join key, which Spark splits. Rounds grow with the logarithm of the
-longest chain. Every round's edges are written to the shared folder.
+longest chain. Every round's edges are written to the shared folder and those of
+the round before deleted.
 """
 
 from __future__ import annotations
@@ -11,11 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phonolith.llm.common import staged
+from phonolith.llm.common import release, staged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over rows (u, v) with u > v."""
+    """One star step over the written rows (u, v) with u > v, which are deleted after it."""
     if large:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Written out, so that the join shuffles both sides and Spark can split a node with very many links.
@@ -24,7 +25,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         least = staged(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
         linked = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return linked.where(F.col("u") > F.col("v")).distinct()
+    out = staged(linked.where(F.col("u") > F.col("v")).distinct(), "edges")
+    release(least, edges)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,10 +36,12 @@ def components(edges: DataFrame) -> DataFrame:
     edges = staged(edges, "edges")
     state = None
     while True:
-        edges = staged(_star(_star(edges, True), False), "edges")
+        edges = _star(_star(edges, True), False)
         row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(row) == state:
             break
         state = tuple(row)
     # A star forest now: each edge leads from a node to its root.
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = staged(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "roots")
+    release(edges)
+    return out

@@ -49,8 +49,8 @@ SCORES = (
     ("norm", (1.0, 0.2, 0.2)),
 )
 #: Distinct chunks whose ids a task remembers, then it starts afresh; longer chunks are
-#: not remembered. Together some 120 MB at most.
-MEMO = 300_000
+#: not remembered. Together some 190 MB at most.
+MEMO = 500_000
 MEMO_CHARS = 32
 #: Pieces in a slice of one length, about.
 SLICE_PIECES = 500_000

@@ -21,7 +21,8 @@ Defined results: null, empty or word-free text has fingerprint 0, which links
 like any other; fewer than 3 words are one shingle; repeated rows and equal
 texts share a fingerprint; a null id belongs to its component but is never the
 smallest (a component of null ids only has a null id); empty tables give no
-rows; other columns are ignored or passed through.
+rows; a very long text is one row (some 8 bytes of memory a word); other columns
+are ignored or passed through.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonolith.llm.common import LOWER_BYTES, mark, staged, table
+from phonolith.llm.common import LOWER_BYTES, checked, mark, release, staged, table
 from phonolith.llm.components import components
 
 SHINGLE = 3
@@ -110,11 +111,14 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     differing = F.bit_count(F.col("fp").bitwiseXOR(F.col("other")))
     met = asked.join(shelf, (asked["key"] == shelf["key"]) & (F.col("other").isNull() | ((differing <= DISTANCE) & (F.col("fp") != F.col("other")))))
     met = staged(met.select("fp", "other").distinct(), "links")
+    release(sizes)
     crowd = met.where(F.col("other").isNull()).select("fp")
     around = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(_bit(i))))
     points = crowd.select("fp", F.explode(around).alias("point")).groupBy("point").agg(F.collect_list("fp").alias("fps"))
     points = points.where(F.size("fps") > 1).select(F.explode("fps").alias("u"), F.array_min("fps").alias("v"))
-    return met.where(F.col("other").isNotNull()).select(F.col("fp").alias("u"), F.col("other").alias("v")).unionByName(points)
+    out = staged(met.where(F.col("other").isNotNull()).select(F.col("fp").alias("u"), F.col("other").alias("v")).unionByName(points), "links")
+    release(met)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
@@ -124,10 +128,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     marked = staged(fingerprints(docs, id_col, text_col), "fingerprints")
     classes = staged(marked.groupBy("fp").agg(F.min("id").alias("first")), "classes")
-    roots = components(links(classes.select("fp"), bucket)).withColumnRenamed("node", "fp")
-    named = staged(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
+    linked = links(classes.select("fp"), bucket)
+    roots = components(linked)
+    named = staged(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
     least = staged(named.groupBy("root").agg(F.min("first").alias("component")), "components")
-    by_fp = named.join(least, "root").select("fp", "root", "component")
+    by_fp = staged(named.join(least, "root").select("fp", "root", "component"), "by-fingerprint")
+    release(classes, linked, roots, named, least)
     return marked.join(by_fp, "fp").select("id", "text_key", "fp", "root", "component")
 
 
@@ -140,7 +146,7 @@ def keep_least(docs: DataFrame, grouped: DataFrame, id_col: str = "doc_id", text
     """Of each root of grouped (id, text_key, root) one row of docs, as in keep_one."""
     least = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("kept"))
     kept = least.select(F.col("kept.id").alias(mark("id")), F.col("kept.text_key").alias(mark("key")))
-    own = docs.withColumn(mark("hash"), F.xxhash64(text_col))
+    own = checked(docs).withColumn(mark("hash"), F.xxhash64(text_col))
     same = F.col(id_col).eqNullSafe(F.col(mark("id"))) & (F.col(mark("hash")) == F.col(mark("key")))
     rows = own.join(kept, same, "left_semi")
     return rows.dropDuplicates([id_col, mark("hash")]).drop(mark("hash"))
