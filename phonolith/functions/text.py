@@ -74,10 +74,7 @@ def search_text(text: str) -> str:
 
 def occurrences(text: Column, token: str) -> Column:
     """How often the token occurs in the text, overlaps included."""
-    n = len(token)
-    at = F.sequence(F.lit(1), F.length(text) - n + 1)
-    found = F.size(F.filter(at, lambda i: F.substr(text, i, F.lit(n)) == token))
-    return F.when(F.contains(text, F.lit(token)), found).otherwise(F.lit(0))
+    return F.regexp_count(text, F.lit(f"(?={re.escape(token)})"))
 
 
 def tokens(text: Column, separators: str) -> Column:

@@ -1,17 +1,21 @@
 """The kernels over rows: contents in, facts, processed clips or embeddings out, in Arrow batches.
 
-Rows are independent; nothing is shuffled. A file is one row and must fit in a
-task, as a decoded file must anyway.
+Rows are independent; nothing is shuffled. A file must fit in a task, as a
+decoded file must anyway. Files are opened by their path inside the task, one
+after the other; a table that brings a column ``content`` is read from that
+instead (then as many files as an Arrow batch has rows are in memory).
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,19 +24,39 @@ from phonolith.functions.numbers import CLIP_MIN_SEC, clip_frames
 from phonolith.functions.text import embedding_document, nocase
 from phonolith.operators.search import MODEL_ID
 from phonolith.schema import Catalog
-from phonolith.sources import wav
+from phonolith.sources import codecs, files, wav
 
 
-def clips(contents: DataFrame, config: kernels.PostProcess = kernels.PostProcess()) -> DataFrame:
-    """contents (path, content, start, end in seconds; null for all) -> (path, wav, frames, technique, error)."""
+def _each_file(paths: DataFrame, one: Callable[..., tuple], schema: str, *columns: str) -> DataFrame:
+    """The row one(path, content, columns ...) of each file, each a batch of its own."""
+    kinds = [f.split() for f in schema.split(", ")]
+    types = pa.schema([(name, {"string": pa.string(), "binary": pa.binary(), "long": pa.int64(), "double": pa.float64()}[kind]) for name, kind in kinds])
+    given = "content" in paths.columns
 
-    def one(path, content, start, end):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                path, *rest = (c[i].as_py() for c in batch.columns)
+                content = rest.pop() if given else None
+                try:
+                    row = one(path, content if given else files.content(path), *rest)
+                except (OSError, pa.ArrowException) as error:
+                    row = (path, *[None] * (len(kinds) - 2), str(error))
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types.types)], schema=types)
+
+    return paths.select("path", *columns, *["content"] * given).mapInArrow(run, schema)
+
+
+def clips(paths: DataFrame, config: kernels.PostProcess = kernels.PostProcess()) -> DataFrame:
+    """paths (path, start, end in seconds; null for all) -> (path, wav, frames, technique, error)."""
+
+    def one(path: str, content: bytes, start: float | None, end: float | None) -> tuple:
         try:
-            x, rate = wav.decode(content, path.rpartition(".")[2].lower())
-            if not pd.isna(start) and not pd.isna(end):
-                if not (np.isfinite(start) and np.isfinite(end)) or end - start < CLIP_MIN_SEC:
+            x, rate = codecs.decode(content, path.rpartition(".")[2].lower())
+            if start is not None and end is not None:
+                if not (math.isfinite(start) and math.isfinite(end)) or end - start < CLIP_MIN_SEC:
                     raise ValueError("clip is too short or not finite")
-                first, last = max(0, min(int(np.floor(start * rate)), len(x) - 1)), max(1, min(int(np.ceil(end * rate)), len(x)))
+                first, last = max(0, min(math.floor(start * rate), len(x) - 1)), max(1, min(math.ceil(end * rate), len(x)))
                 if (last - first) / rate < CLIP_MIN_SEC - 1e-6:
                     raise ValueError("clip is too short within the file")
                 x = x[first:last]
@@ -42,34 +66,23 @@ def clips(contents: DataFrame, config: kernels.PostProcess = kernels.PostProcess
         except ValueError as error:
             return path, None, None, None, str(error)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [one(*r) for r in frame[["path", "content", "start", "end"]].itertuples(index=False)]
-            yield pd.DataFrame(rows, columns=["path", "wav", "frames", "technique", "error"]).astype({"frames": "Int64"})
-
-    return contents.mapInPandas(run, "path string, wav binary, frames long, technique string, error string")
+    return _each_file(paths, one, "path string, wav binary, frames long, technique string, error string", "start", "end")
 
 
-def decode_reports(contents: DataFrame) -> DataFrame:
+def decode_reports(paths: DataFrame) -> DataFrame:
     """(path, format, channels, sample_rate, bits, data_size, frames, decode_ms, error) of each file."""
 
-    def one(path, content):
+    def one(path: str, content: bytes) -> tuple:
         header = wav.sniff(content)
         began = time.perf_counter()
         try:
-            frames, error = len(wav.decode(content, path.rpartition(".")[2].lower())[0]), None
+            frames, error = len(codecs.decode(content, path.rpartition(".")[2].lower())[0]), None
         except ValueError as e:
             frames, error = None, str(e)
         facts = (header.audio_format, header.channels, header.sample_rate, header.bits_per_sample, header.data_size) if header else (None,) * 5
         return path, *facts, frames, (time.perf_counter() - began) * 1000, error
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["path", "format", "channels", "sample_rate", "bits", "data_size", "frames", "decode_ms", "error"]
-        for frame in frames:
-            out = pd.DataFrame([one(*r) for r in frame[["path", "content"]].itertuples(index=False)], columns=names)
-            yield out.astype({n: "Int64" for n in names[1:7]})
-
-    return contents.mapInPandas(run, "path string, format long, channels long, sample_rate long, bits long, data_size long, frames long, decode_ms double, error string")
+    return _each_file(paths, one, "path string, format long, channels long, sample_rate long, bits long, data_size long, frames long, decode_ms double, error string")
 
 
 def signal_kinds(signals: DataFrame) -> DataFrame:

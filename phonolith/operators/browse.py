@@ -86,7 +86,7 @@ def similar_assets(assets: DataFrame, asset_id: int, limit: int = 12, seed: int
     """Assets of the same folder and extension in a seeded random order."""
     own = F.broadcast(assets.where(F.col("id") == asset_id).select(F.col("folder").alias("f"), F.col("extension").alias("e")).limit(1))
     same = assets.join(own, (F.col("folder") == F.col("f")) & (F.col("extension") == F.col("e")), "left_semi")
-    return same.where(F.col("id") != asset_id).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(limit)
+    return same.where(F.col("id") != asset_id).orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit(f"-{seed}"))), "id").limit(limit)
 
 
 def category_suggestions(assets: DataFrame, asset_id: int, limit: int = 16) -> DataFrame:

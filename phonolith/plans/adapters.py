@@ -1,4 +1,8 @@
-"""Catalog-shaped views of the synthetic tables, as DataFrames and as the same SQL."""
+"""Catalog-shaped views of the synthetic tables, as DataFrames and as the same SQL.
+
+A document is an asset: its whole text is the asset's notes, which searches
+read; the file name is made of the text's first characters.
+"""
 
 from __future__ import annotations
 
@@ -38,7 +42,7 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source").alias("publisher"),
         (i % 10 == 0).alias("favorite"),
         (i % 6).cast("int").alias("rating"),
-        F.lit(None).cast("string").alias("notes"),
+        F.col("text").alias("notes"),
         F.lit(0).cast("long").alias("play_count"),
         (F.lit(1690000000) + (i * 104729) % 100000).alias("modified_at"),
         (F.lit(1700000000) + (i * 7919) % 100000).alias("indexed_at"),
@@ -50,7 +54,7 @@ ASSETS_SQL = """assets AS (
     regexp_replace(substr(text, 1, 48), '[^A-Za-z0-9]+', '_', 'g') AS filename, (['wav','flac','mp3','ogg','aiff','aif'])[doc_id % 6 + 1] AS extension,
     '/lib/' || source || '/' || lang AS folder, CASE WHEN doc_id % 11 <> 0 THEN n_chars * 10 END AS duration_ms, (CAST([44100, 48000, 96000, 22050] AS INTEGER[]))[doc_id % 4 + 1] AS sample_rate,
     CAST(1 + doc_id % 2 AS INTEGER) AS channels, CAST(16 AS INTEGER) AS bit_depth, n_chars * 4 AS file_size, lang AS category, source AS publisher, doc_id % 10 = 0 AS favorite,
-    CAST(doc_id % 6 AS INTEGER) AS rating, CAST(NULL AS VARCHAR) AS notes, CAST(0 AS BIGINT) AS play_count, CAST(1690000000 + (doc_id * 104729) % 100000 AS BIGINT) AS modified_at,
+    CAST(doc_id % 6 AS INTEGER) AS rating, text AS notes, CAST(0 AS BIGINT) AS play_count, CAST(1690000000 + (doc_id * 104729) % 100000 AS BIGINT) AS modified_at,
     CAST(1700000000 + (doc_id * 7919) % 100000 AS BIGINT) AS indexed_at FROM documents)"""
 
 #: Tag names of the synthetic labels, mixed in case on purpose.
@@ -76,10 +80,17 @@ def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 7) -> list[floa
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as one signal for each user: (asset_id, frame, sample)."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    events = table(spark, sf_dir, "events")
-    return events.select(F.col("user_id").alias("asset_id"), (F.row_number().over(order) - 1).cast("long").alias("frame"), (F.col("value") / 100 - 0.5).alias("sample"))
+    """events as one signal for each user: (asset_id, frame, sample).
+
+    Frames are numbered within each hour, after the counts of the hours before,
+    so a user with very many events is many window partitions.
+    """
+    events = table(spark, sf_dir, "events").withColumn("hour", F.date_trunc("hour", F.col("ts").cast("timestamp")))
+    counts = events.groupBy("user_id", "hour").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("user_id").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("user_id", "hour", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    placed = events.withColumn("nth", F.row_number().over(Window.partitionBy("user_id", "hour").orderBy("ts", "event_id"))).join(before, ["user_id", "hour"])
+    return placed.select(F.col("user_id").alias("asset_id"), (F.col("before") + F.col("nth") - 1).cast("long").alias("frame"), (F.col("value") / 100 - 0.5).alias("sample"))
 
 
 SAMPLES_SQL = "samples AS (SELECT user_id AS asset_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, value / 100 - 0.5e0 AS sample FROM events)"

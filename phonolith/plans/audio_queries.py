@@ -241,6 +241,23 @@ add_kernel(
 )
 
 
+
+def kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = audio.signal_kinds(signals(spark, sf_dir).select("asset_id", F.lit(RATE).alias("sample_rate"), "samples"))
+    return found.select("asset_id", F.round("correlation", 4).alias("correlation"), F.round("hz", 4).alias("hz"), F.col("kind").cast("long").alias("kind"))
+
+
+add(
+    "signal_kinds",
+    kinds,
+    f"""WITH h AS (SELECT asset_id, frame - 250 AS k, CAST(sample AS DOUBLE) AS s FROM waves WHERE frame BETWEEN 250 AND 749), l AS (SELECT unnest(range(4, 499)) AS lag),
+    z AS (SELECT asset_id, sum(s * s) AS r0 FROM h GROUP BY asset_id),
+    r AS (SELECT a.asset_id, lag, sum(a.s * b.s) / any_value(r0) AS r FROM h a JOIN z USING (asset_id), l, h b WHERE b.asset_id = a.asset_id AND b.k = a.k + lag GROUP BY a.asset_id, lag),
+    best AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY r DESC, lag) = 1)
+    SELECT asset_id, round(r, 4) AS correlation, round({RATE} / lag, 4) AS hz, CAST(CASE WHEN r > 0.7 THEN 2 WHEN r > 0.4 THEN 1 ELSE 0 END AS BIGINT) AS kind FROM best""",
+)
+
+
 def loop_row(i: int, x: np.ndarray) -> list[tuple]:
     found = K.loop_candidate(x, RATE, RATE / (40 + i % 7), True)
     return [(i, found["start"], found["end"], float(found["correlation"]), float(found["amdf"]), float(found["zero_crossing"]), float(found["slope"]))]

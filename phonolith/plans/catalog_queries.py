@@ -44,7 +44,8 @@ def lexical(q: SearchQuery, *columns: str, best_first: bool = False) -> Callable
 def bm25_sql(tokens: list[str], where: str = "true") -> str:
     """Hits with bm25 for tokens over the text columns of assets; the filters apply to the hits only."""
     columns = ("filename", "folder", "category", "publisher", "notes")
-    tf = lambda t: " + ".join(f"coalesce(len(list_filter(range(1, length({c}) - {len(t)} + 2), lambda i: substr(lower({c}), i, {len(t)}) = '{t}')), 0)" for c in columns)
+    # These tokens do not overlap with themselves.
+    tf = lambda t: " + ".join(f"coalesce((length({c}) - length(replace(lower({c}), '{t}', ''))) // {len(t)}, 0)" for c in columns)
     length = " + ".join(f"greatest(0, coalesce(length({c}), 0) - 2)" for c in columns)
     tfs = ", ".join(f"({tf(t)}) AS tf{i}" for i, t in enumerate(tokens))
     idf = lambda i: f"CASE WHEN ln((n - n{i} + 0.5e0) / (n{i} + 0.5e0)) > 0 THEN ln((n - n{i} + 0.5e0) / (n{i} + 0.5e0)) ELSE 1e-6 END"
@@ -151,8 +152,7 @@ add("filter_options_flat", lambda s, d: browse.filter_values(assets(s, d)), "SEL
 add("all_tags_counts", lambda s, d: browse.tag_counts(catalog(s, d)), "SELECT tags.id, name, count(asset_id) AS n_assets FROM tags LEFT JOIN asset_tags ON tags.id = tag_id GROUP BY tags.id, name", "tl")
 add("tags_for_asset", lambda s, d: browse.tags_of_asset(catalog(s, d), 1), "SELECT id, name FROM tags JOIN asset_tags ON id = tag_id WHERE asset_id = 1", "tl")
 add("tag_filter_any_nocase", lambda s, d: tagged_any(catalog(s, d), ["hQ", "tOXIC"]).distinct(), "SELECT DISTINCT asset_id FROM asset_tags WHERE tag_id IN (1, 3)", "l")
-add("similar_assets", lambda s, d: browse.similar_assets(assets(s, d), 21, limit=10**6).select("id", "path"), "SELECT id, path FROM assets WHERE folder = (SELECT folder FROM assets WHERE id = 21) AND extension = (SELECT extension FROM assets WHERE id = 21) AND id <> 21")
-add("similar_assets_top", lambda s, d: browse.similar_assets(assets(s, d), 21).select("id", "path"))
+add("similar_assets", lambda s, d: browse.similar_assets(assets(s, d), 21).select("id", "path"), "SELECT id, path FROM assets WHERE folder = (SELECT folder FROM assets WHERE id = 21) AND extension = (SELECT extension FROM assets WHERE id = 21) AND id <> 21 ORDER BY md5(id || '-42'), id LIMIT 12")
 add("category_suggestions", lambda s, d: browse.category_suggestions(assets(s, d), 4), "SELECT DISTINCT category FROM assets WHERE folder = (SELECT folder FROM assets WHERE id = 4) AND trim(category) <> '' ORDER BY lower(category), category LIMIT 16")
 add("semantic_status", lambda s, d: browse.semantic_status(catalog(s, d), MODEL_ID), "SELECT (SELECT count(*) FROM assets) AS asset_count, count(*) AS embedding_count, count(*) > 0 AS model_ready, count(*) > 0 AS search_ready FROM emb", "ae")
 add("asset_by_id", lambda s, d: assets(s, d).where("id = 12").select("id", "path", "duration_ms"), "SELECT id, path, duration_ms FROM assets WHERE id = 12")
@@ -225,7 +225,7 @@ add(
     lambda s, d: audio.documents_to_embed(catalog(s, d)),
     rf"""WITH g AS (SELECT asset_id, string_agg(name, ' ' ORDER BY lower(name), name) AS names FROM asset_tags JOIN tags ON id = tag_id GROUP BY asset_id),
     w AS (SELECT assets.*, names, {JOINED('filename', '[_. -]')} AS nt, {JOINED('folder', '[/_ -]')} AS ft FROM assets LEFT JOIN g ON id = asset_id)
-    SELECT id AS asset_id, trim(regexp_replace(concat_ws(' ', nullif(filename, ''), CASE WHEN nt <> '' AND nt <> filename THEN nt END, folder, ft, trim(category), trim(publisher), names), '\s+', ' ', 'g')) AS document FROM w""",
+    SELECT id AS asset_id, trim(regexp_replace(concat_ws(' ', nullif(filename, ''), CASE WHEN nt <> '' AND nt <> filename THEN nt END, folder, ft, trim(category), trim(publisher), nullif(trim(notes), ''), names), '\s+', ' ', 'g')) AS document FROM w""",
     "atl",
 )
 
@@ -298,10 +298,4 @@ def trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("signal_trimmed", trimmed, "WITH p AS (SELECT asset_id, frame, max(abs(sample)) OVER (PARTITION BY asset_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS level FROM samples), g AS (SELECT asset_id, min(frame) FILTER (level >= pow(10, -0.35e0)) AS a, max(frame) FILTER (level >= pow(10, -0.35e0)) AS b, count(*) AS n FROM p GROUP BY asset_id), h AS (SELECT asset_id, n AS total, CASE WHEN a >= 2 THEN a ELSE 0 END AS f, CASE WHEN a IS NULL THEN 0 WHEN n - b - 1 >= 2 THEN b + 1 ELSE n END AS l FROM g) SELECT asset_id, CASE WHEN l > f THEN l - f ELSE total END AS n, CAST(0 AS BIGINT) AS first, CASE WHEN l > f THEN l - f ELSE total END - 1 AS last FROM h", "s")
 
 
-def signal_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = samples(spark, sf_dir).groupBy("asset_id").agg(F.array_sort(F.collect_list(F.struct("frame", "sample"))).alias("x"))
-    return audio.signal_kinds(x.select("asset_id", F.lit(100).alias("sample_rate"), F.transform("x", lambda p: p["sample"].cast("float")).alias("samples")))
-
-
-add("signal_kinds", signal_kinds)
 add("embed_documents", lambda s, d: audio.embed(audio.documents_to_embed(catalog(s, d)), audio.HashingProvider(64), 0).select("asset_id", F.size("vector").alias("dim"), "model_id"), "SELECT id AS asset_id, CAST(64 AS INTEGER) AS dim, 'phonolith-hash-v1' AS model_id FROM assets")

@@ -114,7 +114,7 @@ def scanned_facts(path: str, content: bytes, resolution: int) -> tuple:
     return path, rate, x.shape[1], None, len(x) * 1000 // rate, peaks, None
 
 
-def _content(path: str) -> bytes:
+def content(path: str) -> bytes:
     """A file's bytes; local paths have no scheme."""
     if "://" not in path:
         with open(path, "rb") as source:
@@ -139,10 +139,10 @@ def read_contents(paths: DataFrame) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 try:
-                    content, error = _content(path), None
+                    data, error = content(path), None
                 except (OSError, pa.ArrowException) as e:
-                    content, error = None, str(e)
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.binary()), pa.array([error], pa.string())], names=["path", "content", "error"])
+                    data, error = None, str(e)
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([data], pa.binary()), pa.array([error], pa.string())], names=["path", "content", "error"])
 
     return dealt(paths).mapInArrow(run, "path string, content binary, error string")
 
@@ -155,7 +155,7 @@ def extract(paths: DataFrame, resolution: int = 800) -> DataFrame:
 
     def one(path: str) -> tuple:
         try:
-            return scanned_facts(path, _content(path), resolution)
+            return scanned_facts(path, content(path), resolution)
         except (OSError, pa.ArrowException) as e:
             return path, None, None, None, None, None, str(e)
 

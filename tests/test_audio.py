@@ -2,6 +2,7 @@
 
 import os
 import struct
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -9,8 +10,10 @@ from pyspark.sql import functions as F
 
 from phonolith.functions import kernels as K
 from phonolith.functions.kernels import PostProcess
-from phonolith.operators import audio, signal
-from phonolith.sources import config, files, wav
+from phonolith import schema
+from phonolith.operators import audio, signal, writes
+from phonolith.schema import Catalog
+from phonolith.sources import codecs, config, files, ingest, wav
 from phonolith.streaming import watch
 
 
@@ -145,6 +148,7 @@ def test_ingest(spark, tree):
 def test_clips_and_reports(spark, tree):
     paths = files.list_files(spark, tree).where("extension = 'wav'")
     contents = files.read_contents(paths).cache()
+    assert {r["error"] for r in contents.collect()} == {None} and {len(r["content"]) for r in contents.collect()} == {44 + 8000, 44 + 6400}
     clip = contents.withColumn("start", F.lit(0.0)).withColumn("end", F.lit(0.1))
     rows = {os.path.basename(r["path"]): r for r in audio.clips(clip).collect()}
     assert rows["a.wav"]["frames"] == 800 and len(rows["a.wav"]["wav"]) == 44 + 800 * 4
@@ -154,6 +158,54 @@ def test_clips_and_reports(spark, tree):
     looped = {os.path.basename(r["path"]): r for r in audio.clips(whole, PostProcess(make_loopable=True, embed_smpl_chunk=True)).collect()}
     assert b"smpl" in looped["a.wav"]["wav"]
     assert {r["frames"] for r in audio.decode_reports(contents).collect()} == {4000, 1600}
+    reports = {r["path"]: r for r in audio.decode_reports(paths.select("path").unionByName(spark.createDataFrame([("/none/x.wav",)], "path string"))).collect()}
+    assert sorted(r["frames"] or 0 for r in reports.values()) == [0, 1600, 4000] and "x.wav" in reports["/none/x.wav"]["error"]
+
+
+def test_only_new_and_changed_files_are_opened(spark, tree):
+    """A file that cannot be read but has not changed is no error; a changed one is."""
+    empty = Catalog(*(spark.createDataFrame([], s) for s in (schema.ASSETS, schema.TAGS, schema.ASSET_TAGS, schema.EMBEDDINGS, schema.PEAKS)))
+    told = []
+    first = ingest.ingest(empty, tree, resolution=3, now=5, progress=lambda *t: told.append(t))
+    assert told == [("enumerating", 3), ("indexing", 3), ("complete", 3)]
+    assert tuple(first.stats.select("indexed", "skipped", "missing", "errors").first()) == (2, 0, 0, 1)
+    assert first.catalog.peaks.select(F.size("peaks")).distinct().collect() == [(6,)]
+    mine = replace(first.catalog, assets=writes.set_rating(first.catalog.assets, [1, 2], 4))
+    quiet, loud = os.path.join(tree, "Boom/B.WAV"), os.path.join(tree, "Boom/Impacts/a.wav")
+    for path, time in ((quiet, os.stat(quiet).st_mtime), (loud, os.stat(loud).st_mtime + 50)):
+        with open(path, "wb") as f:
+            f.write(pcm(sine(300, 8000, 1.0), 8000) if path == loud else b"no audio any more")
+        os.utime(path, (time, time))
+    os.remove(os.path.join(tree, "c.mp3"))
+    again = ingest.ingest(mine, tree, resolution=3, now=6)
+    assert tuple(again.stats.select("indexed", "skipped", "missing", "errors").first()) == (1, 1, 0, 0)
+    rows = {r["filename"]: r for r in again.catalog.assets.collect()}
+    assert (rows["a"]["duration_ms"], rows["a"]["rating"], rows["a"]["indexed_at"], rows["B"]["indexed_at"]) == (1000, 4, 6, 5)
+    os.remove(quiet)
+    gone = ingest.ingest_roots(again.catalog, [tree, tree + "/none"], now=7)
+    assert gone.catalog.assets.count() == gone.catalog.peaks.count() == 1
+    assert [(r["missing"], r["errors"]) for r in gone.stats.collect()] == [(1, 0), (0, 1), (1, 1)]
+
+
+def test_headers_of_other_formats():
+    x = np.array([0.5, -0.5, 0.25, -1.0], np.float32)
+    common = b"COMM" + struct.pack(">IHIHHQ", 18, 2, 2, 24, 16383 + 14, 22050 << 49)
+    body = b"".join(int(v * 8388608).to_bytes(3, "big", signed=True) for v in x)
+    aiff = b"FORM" + struct.pack(">I", 0) + b"AIFF" + common + b"SSND" + struct.pack(">III", 8 + len(body), 0, 0) + body
+    y, rate = codecs.decode(aiff, "aiff")
+    assert rate == 22050 and np.array_equal(y, x.reshape(2, 2)) and codecs.facts_of(aiff, "aif") == codecs.Facts(22050, 2, 24, 2)
+    flac = b"fLaC" + bytes([0, 0, 0, 34]) + bytes(10) + (48000 << 44 | 1 << 41 | 23 << 36 | 96000).to_bytes(8, "big") + bytes(16)
+    assert codecs.facts_of(flac, "flac") == codecs.Facts(48000, 2, 24, 96000) and codecs.facts_of(flac, "flac").duration_ms == 2000
+    page = lambda at, data: b"OggS\0\0" + struct.pack("<qIII", at, 1, 0, 0) + bytes([1, len(data)]) + data
+    ogg = page(0, b"\x01vorbis" + struct.pack("<IBI", 0, 1, 44100) + bytes(15)) + page(88200, b"x")
+    assert codecs.facts_of(ogg, "ogg") == codecs.Facts(44100, 1, None, 88200)
+    mp3 = bytes([0xFF, 0xFB, 0x90, 0x00]) + bytes(32) + b"Xing" + struct.pack(">II", 1, 100) + bytes(1000)
+    assert codecs.facts_of(b"ID3\x03\0\0\0\0\0\x02ab" + mp3, "mp3") == codecs.Facts(44100, 2, None, 115200)
+    assert codecs.facts_of(mp3.replace(b"Xing", b"none"), "mp3").frames == (len(mp3)) * 8 * 44100 // 128000
+    for kind in codecs.READERS:
+        assert codecs.facts_of(b"", kind) is None and codecs.facts_of(b"RIFFFORMfLaCOggS" * 4, kind) is None
+    with pytest.raises(ValueError):
+        codecs.decode(flac, "flac")
 
 
 def test_long_form_equals_kernels(spark):
