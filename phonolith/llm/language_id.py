@@ -70,7 +70,8 @@ def counted(codes: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.nd
         codes = np.sort(codes)
         at = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
         return codes[at], np.diff(np.append(at, len(codes)))
-    order = np.argsort(codes)
+    # Mostly a few sorted runs after each other, which a stable sort merges.
+    order = np.argsort(codes, kind="stable")
     codes, weights = codes[order], weights[order]
     at = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
     return codes[at], np.add.reduceat(weights, at) if len(at) else weights

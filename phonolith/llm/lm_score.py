@@ -50,9 +50,12 @@ HOT_GRAMS = 1_500_000
 HOT_WORDS = 200_000
 #: Longer words are never broadcast.
 HOT_BYTES = 64
-#: Distinct numbers or words that a task sums before it passes them on.
-HELD = 2_000_000
-HELD_WORDS = 200_000
+#: Distinct numbers or words that a task sums before it passes them on, and numbers that wait to be summed.
+HELD = 3_000_000
+HELD_WORDS = 300_000
+WAITING = 1_000_000
+#: Rows of sums that are passed on together.
+PASSED = 200_000
 #: Bytes of texts that are scored or counted together.
 BATCH_BYTES = 500_000
 
@@ -91,36 +94,37 @@ def counts(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens: Counter = Counter()
-        held, total = [], 0
+        sums, waiting, total = (np.zeros(0, np.int64), np.zeros(0, np.int64)), [], 0
 
         def words_passed():
             n = len(tokens)
-            yield pa.RecordBatch.from_arrays([pa.array(list(tokens), pa.binary()), pa.nulls(n, pa.int64()), pa.array(list(tokens.values()), pa.int64())], names=["word", "gram", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(tokens), pa.binary()), pa.nulls(n, pa.int64()), pa.array(list(tokens.values()), pa.int64())], names=["word", "gram", "n"])
 
-        def grams_passed(codes, sums):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(codes), pa.binary()), pa.array(codes), pa.array(sums.astype(np.int64))], names=["word", "gram", "n"])
+        def grams_passed():
+            for at in range(0, len(sums[0]), PASSED):
+                codes, n = (x[at : at + PASSED] for x in sums)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(codes), pa.binary()), pa.array(codes), pa.array(n)], names=["word", "gram", "n"])
 
-        def merged():
-            return counted(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+        def summed():
+            return counted(*(np.concatenate([sums[k], *[w[k] for w in waiting]]) for k in (0, 1)))
 
         for _, _, texts in _batches(batches, 0):
             for words in texts:
                 tokens.update(words)
             tokens[b""] += len(texts)
             if len(tokens) > HELD_WORDS:
-                yield from words_passed()
+                yield words_passed()
                 tokens.clear()
-            held.append(counted(grams_of([b" ".join(w) for w in texts], order)[0]))
-            total += len(held[-1][0])
-            if total > HELD:
-                held = [merged()]
-                total = len(held[0][0])
-                if total > HELD // 2:
-                    yield from grams_passed(*held[0])
-                    held, total = [], 0
-        yield from words_passed()
-        if held:
-            yield from grams_passed(*merged())
+            waiting.append(counted(grams_of([b" ".join(w) for w in texts], order)[0]))
+            total += len(waiting[-1][0])
+            if total > WAITING:
+                sums, waiting, total = summed(), [], 0
+                if len(sums[0]) > HELD:
+                    yield from grams_passed()
+                    sums = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        sums = summed()
+        yield words_passed()
+        yield from grams_passed()
 
     rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word binary, gram long, n long")
     # Tasks have summed already; dealing the rows out first keeps Spark from doing it again before the shuffle.
