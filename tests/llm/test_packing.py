@@ -78,3 +78,14 @@ def test_pack_documents_against_the_contract(spark, tokenizer):
         assert at == len(ids)
     assert len(bins) <= 1.03 * rows.length.sum() / 256 + 1
     assert packing.pack_documents(docs.limit(0), FILE).count() == 0
+
+
+def test_long_chunks_are_not_remembered():
+    memo = packing.ChunkMemo(open(FILE, encoding="utf-8").read())
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(10_000)) for _ in range(3)) for _ in range(100)]
+    for text in texts:
+        memo.ids(text)
+    assert not memo
+    memo.ids("a few short words")
+    assert set(memo) == {"few", "short", "words"} and all(len(k) <= packing.MEMO_CHARS for k in memo)
