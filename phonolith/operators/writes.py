@@ -15,6 +15,7 @@ from pyspark.sql.types import ArrayType
 
 from phonolith.functions.text import nocase
 from phonolith.schema import TECHNICAL_COLUMNS, Catalog, ValidationError
+from phonolith.sources.scratch import scratch_folder, written
 
 
 def latest(rows: DataFrame, keys: list[str], *newest_first: Column) -> DataFrame:
@@ -52,7 +53,9 @@ def inserted_rows(assets: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def insert_assets(assets: DataFrame, new: DataFrame) -> DataFrame:
-    rows = numbered(inserted_rows(assets, new), assets, "path")
+    """The new rows are written to the shared folder first, as numbering them reads them three times."""
+    fresh = written(inserted_rows(assets, new), scratch_folder(assets.sparkSession, "inserted"))
+    rows = numbered(fresh, assets, "path")
     defaults = {"favorite": F.lit(False), "rating": F.lit(0), "notes": F.lit(None).cast("string"), "play_count": F.lit(0).cast("long")}
     full = rows.select([F.col(c) if c in rows.columns else defaults.get(c, F.lit(None)).cast(assets.schema[c].dataType).alias(c) for c in assets.columns])
     return assets.unionByName(full)
