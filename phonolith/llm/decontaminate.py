@@ -44,7 +44,12 @@ def benchmark_windows(benchmark: DataFrame, item_id: str, item_text: str, n: int
     rows = rows.where(F.size("w") > 0).withColumn("len", F.least(F.lit(n), F.size("w")))
     rows = rows.select("item", "w", "len", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1)).alias("at"))
     rows = rows.select("item", F.expr("slice(w, at, len)").alias("gram"))
-    return rows.groupBy("gram").agg(F.collect_set("item").alias("items")).withColumn("gram_hash", F.xxhash64(word_hashes("gram")))
+    return rows.groupBy("gram").agg(F.collect_set("item").alias("items")).withColumn("hashes", word_hashes("gram")).withColumn("gram_hash", window_hash(F.lit(0), F.size("gram"), n)).drop("hashes")
+
+
+def window_hash(at: Column, size: Column, n: int) -> Column:
+    """The hash of size (at most n) of the column ``hashes`` from a place on; nulls add nothing, so no array is cut out."""
+    return F.xxhash64(*[F.when(size > k, F.get("hashes", at + k)) for k in range(n)])
 
 
 def word_hashes(words_col: str) -> Column:
@@ -76,7 +81,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
     )
     windows = texts.select("id", "text_key", "w", "n_words", "hashes", F.explode(starts).alias("s"))
     # A text's own row has the text's hash as its key, so that these rows never meet in one partition.
-    key = F.expr("CASE WHEN s.at >= 0 THEN xxhash64(slice(hashes, s.at + 1, s.len)) ELSE text_key END")
+    key = F.when(F.col("s.at") >= 0, window_hash(F.col("s.at"), F.col("s.len"), n)).otherwise(F.col("text_key"))
     windows = windows.select("id", "text_key", "n_words", "w", F.col("s.at").alias("at"), F.col("s.len").alias("len"), key.alias("h"))
     if not small:
         # The words travel with their window, not the whole text.
