@@ -105,7 +105,7 @@ def summary(x: np.ndarray) -> Summary:
     if x.dtype == np.int64:
         # High and low halves apart, so that no sum overflows.
         sums = (x >> 32).sum(axis=0).astype(object) * (1 << 32) + (x & 0xFFFFFFFF).sum(axis=0).astype(object)
-        mean = np.array([s / len(x) for s in sums])
+        mean = (sums / len(x)).astype(np.float64)
     else:
         mean = x.mean(axis=0)
     centred = x - mean
@@ -116,7 +116,8 @@ def merged(a: Summary, b: Summary) -> Summary:
     """Chan's formula for two summaries of different rows."""
     n, step = a.n + b.n, b.mean - a.mean
     sums = None if a.sums is None else a.sums + b.sums
-    return Summary(n, sums, a.mean + step * (b.n / n), a.scatter + b.scatter + np.outer(step, step) * (a.n * b.n / n))
+    mean = a.mean + step * (b.n / n) if sums is None else (sums / n).astype(np.float64)
+    return Summary(n, sums, mean, a.scatter + b.scatter + np.outer(step, step) * (a.n * b.n / n))
 
 
 def summarised(fit: DataFrame, dim: int, project=None) -> Summary:
