@@ -58,6 +58,8 @@ SCORES = 1_000_000
 HIDDEN, EPOCHS, BATCH, RATE = 128, 15, 256, 3e-3
 SEED = 42
 NO_ID = (1 << 63) - 1
+NEAR = "array<struct<minus:double,id:bigint>>"
+_NEAR = pa.struct([("minus", pa.float64()), ("id", pa.int64())])
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -263,7 +265,7 @@ def best_rows(x: np.ndarray, ids: list[list[int]], q: np.ndarray, most: int) ->
 
 
 def searched(index: DataFrame, queries: DataFrame, dim: int, most: int, parts: int) -> DataFrame:
-    """(q, nth, id, score): the most best rows of each query. index (part, ids, code), queries (q, code, parts)."""
+    """(q, near): of each query the most best rows as (minus score, id), best first. index (part, ids, code), queries (q, code, parts)."""
     wanted = queries.select("q", "code", F.explode("parts").alias("part"))
     # One row for each partition.
     sizes = dict(index.groupBy("part").agg(F.count("*")).collect())
@@ -282,20 +284,20 @@ def searched(index: DataFrame, queries: DataFrame, dim: int, most: int, parts: i
     def run(block: pa.Table) -> pa.Table:
         inside = block.filter(block.column("q").is_null())
         asks = block.filter(block.column("q").is_valid())
-        names, numbers, scores, ids = asks.column("q").to_pylist(), [], [], []
-        if len(inside) and names:
+        names, near = asks.column("q"), []
+        if len(inside) and len(asks):
             x, q = (decoded(t.column("code").to_pylist(), dim) for t in (inside, asks))
-            for name, (score, found) in zip(names, best_rows(x, inside.column("ids").to_pylist(), q, most)):
-                numbers.append(np.full(len(found), name))
-                scores.append(score)
-                ids.append(found)
-        joined = lambda x, kind: pa.array(np.concatenate(x) if x else [], kind)
-        return pa.table({"q": joined(numbers, pa.int64()), "id": joined(ids, pa.int64()), "score": joined(scores, pa.float64())})
+            near = [pa.StructArray.from_arrays([pa.array(0.0 - score), pa.array(ids)], fields=list(_NEAR)) for score, ids in best_rows(x, inside.column("ids").to_pylist(), q, most)]
+        offsets = np.cumsum([0, *map(len, near)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays(near) if near else pa.array([], _NEAR))
+        return pa.table({"q": names.slice(0, len(near)), "part": pa.array([block.column("part")[0].as_py()] * len(near), pa.int32()), "near": lists})
 
-    found = both.groupBy("part", "shard", "chunk").applyInArrow(run, "q long, id long, score double")
-    # Spark keeps the first rows of each query in each task before it shuffles them.
-    order = Window.partitionBy("q").orderBy(F.desc("score"), F.asc("id"))
-    return found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
+    found = both.groupBy("part", "shard", "chunk").applyInArrow(run, f"q long, part int, near {NEAR}")
+    best = F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, most).alias("near")
+    if max(shards) > 1:
+        # One list for each partition first, so that no query's lists grow with the table.
+        found = found.groupBy("q", "part").agg(best)
+    return found.groupBy("q").agg(best)
 
 
 def routed(rows: DataFrame, router: Router, dim: int, most: int) -> DataFrame:
@@ -338,17 +340,16 @@ def nearest(rows: DataFrame, *, k: int = K, step: int = QUERY_STEP, sample: int
     queries = staged(routed(distinct, router, dim, router.probes), "queries")
     found = staged(searched(index, queries, dim, most, router.parts), "found")
     if router.parts > 1:
-        few = queries.join(found.where(F.col("nth") == most).select("q"), "q", "left_anti")
+        few = queries.join(found.where(F.size("near") == most).select("q"), "q", "left_anti")
         if few.head(1):
             everywhere = few.withColumn("parts", F.sequence(F.lit(0), F.lit(router.parts - 1)))
             whole = searched(index, everywhere, dim, most, router.parts)
             found = staged(found.join(few.select("q"), "q", "left_anti").unionByName(whole), "found")
-    answers = staged(found.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("nth", "id", "score"))).alias("near")), "answers")
-    named = asking.join(distinct, "code").select(F.col("id").alias("query_id"), "q").join(answers, "q")
+    named = asking.join(distinct, "code").select(F.col("id").alias("query_id"), "q").join(found, "q")
     place = F.array_position(F.col("near.id"), F.col("query_id"))
-    others = F.slice(F.filter("near", lambda x: x["nth"] != place), 1, k)
+    others = F.slice(F.filter("near", lambda x, i: i + 1 != place), 1, k)
     out = named.select("query_id", F.posexplode(others).alias("at", "near"))
-    return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.nullif(F.col("near.id"), F.lit(NO_ID)).alias("vec_id"), F.col("near.score").alias("score"))
+    return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.nullif(F.col("near.id"), F.lit(NO_ID)).alias("vec_id"), (F.lit(0.0) - F.col("near.minus")).alias("score"))
 
 
 def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
