@@ -38,7 +38,6 @@ from pyspark.sql import functions as F
 
 from phonolith.llm.common import LOWER_BYTES, checked, mark, release, staged, table
 from phonolith.llm.components import components
-from phonolith.llm.near_copies import near_copies
 
 SHINGLE = 3
 SEED = 42
@@ -143,15 +142,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return keep_least(docs, near_duplicates(docs, id_col, text_col), id_col, text_col)
 
 
-def keep_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As keep_one, for groups of texts whose 5-word shingle sets have a Jaccard similarity of at least 0.8.
-
-    Such texts' SimHashes differ by some 10 bits, which neither balls nor a few
-    segments reach, so these groups come from near_copies.
-    """
-    return keep_least(docs, near_copies(docs, id_col, text_col), id_col, text_col)
-
-
 def keep_least(docs: DataFrame, grouped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each root of grouped (id, text_key, root) one row of docs, as in keep_one."""
     least = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("kept"))
