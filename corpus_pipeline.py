@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonolith.llm import decontaminate, line_dedup, packing, quality, simhash
+from phonolith.llm import decontaminate, line_dedup, near_copies, packing, quality
 from phonolith.llm.common import mark, staged, table
 
 
@@ -40,7 +40,7 @@ def recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (5-word Jaccard of 0.8 or more) stays, that with the smallest id."""
-    return simhash.keep_near(docs)
+    return near_copies.keep_near(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", quality_rules),
     ("line dedup", recurring_lines),
-    ("near-dedup", near_duplicates),
+    ("near-dedup by SimHash, completed to a Jaccard similarity of 0.8", near_duplicates),
     ("benchmark decontamination", benchmark_leaks),
     ("best-fit packing", packed),
 ]
@@ -68,5 +68,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = staged(stage(spark, docs, sf_dir), stage.__name__)
     return STAGES[-1][1](spark, docs, sf_dir)
