@@ -52,6 +52,9 @@ SCORES = (
 #: not remembered. Together some 190 MB at most.
 MEMO = 500_000
 MEMO_CHARS = 32
+#: The pattern's white space. WIDE characters of it are encoded apart.
+SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WIDE = 4096
 #: Pieces in a slice of one length, about.
 SLICE_PIECES = 500_000
 
@@ -87,17 +90,23 @@ class ChunkMemo(dict):
 
     A single space before a non-space always opens a new pre-token, so the parts
     between such spaces are encoded independently; texts with other spaces are
-    encoded whole.
+    encoded whole. Very long white space never meets the tokenizer's pattern, which
+    would try its end from every place: but for its last character (if other text
+    follows) it is one pre-token.
     """
 
     loose = re.compile(r" (?:\s|\Z)").search
+    #: The pattern's white space (Unicode's property), many of it.
+    wide = re.compile(rf"[{SPACES}]{{{WIDE},}}").finditer
 
     def __init__(self, tokenizer_json: str):
         import tiktoken
         from public_tokenizers import PATTERN
 
         super().__init__()
-        self.plain = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=byte_ranks(tokenizer_json), special_tokens={}).encode_ordinary
+        ranks = byte_ranks(tokenizer_json)
+        self.plain = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.single = tiktoken.Encoding("single", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __missing__(self, chunk: str) -> bytes:
         found = np.array(self.plain(" " + chunk), dtype="<u4").tobytes()
@@ -108,6 +117,18 @@ class ChunkMemo(dict):
         return found
 
     def ids(self, text: str) -> bytes:
+        if len(text) >= WIDE:
+            out, at = [], 0
+            for found in self.wide(text):
+                end = found.end() - (found.end() < len(text))
+                out += [self.close(text[at : found.start()]), np.array(self.single(text[found.start() : end]), dtype="<u4").tobytes()]
+                at = end
+            if out:
+                return b"".join([*out, self.close(text[at:])])
+        return self.close(text)
+
+    def close(self, text: str) -> bytes:
+        """The ids of a text without very long white space."""
         if self.loose(text):
             return np.array(self.plain(text), dtype="<u4").tobytes()
         first, *others = text.split(" ")
@@ -218,18 +239,18 @@ def placement(plan: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray]:
 
 
 def pack(pieces: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Adds sequence_id and offset to rows (id, piece, start, length, crc)."""
+    """Adds sequence_id and offset to written rows (id, piece, start, length, crc, row); row tells equal pieces apart."""
     spark = pieces.sparkSession
     # One row for each length: at most max_tokens rows come to the driver.
     histogram = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     # As many slices as the commonest length needs, so that no window's partition grows with the corpus.
     slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), max(histogram.values(), default=0) // SLICE_PIECES + 1)
-    pieces = pieces.withColumn("slice", F.pmod(F.xxhash64("id", "piece", "crc"), F.lit(slices)).cast("int"))
+    pieces = pieces.withColumn("slice", F.pmod(F.xxhash64("id", "piece", "crc", "row"), F.lit(slices)).cast("int"))
     sizes = staged(pieces.groupBy("length", "slice").agg(F.count("*").alias("n")), "histogram")
     shipped = spark.sparkContext.broadcast(placement(best_fit(histogram, limits)))
     before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("length", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("length", "slice").orderBy("id", "piece", "crc")
+    within = Window.partitionBy("length", "slice").orderBy("id", "piece", "crc", "row")
     ranked = pieces.withColumn("rank", F.row_number().over(within)).join(bases, ["length", "slice"])
     ranked = ranked.withColumn("rank", F.col("base") + F.col("rank") - 1).drop("base", "slice")
 
@@ -257,8 +278,8 @@ def pack(pieces: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, limits: Limits = Limits(), end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    pieces = staged(tokenized(docs, tokenizer_path, limits.max_tokens, end_id, id_col, text_col), "pieces")
-    return pack(pieces, limits)
+    pieces = tokenized(docs, tokenizer_path, limits.max_tokens, end_id, id_col, text_col)
+    return pack(staged(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces"), limits)
 
 
 def report(docs: DataFrame, **options) -> DataFrame:

@@ -28,6 +28,26 @@ def test_ids_are_the_tokenizers(tokenizer):
         assert np.frombuffer(memo.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("wide", [3, 4096])
+def test_ids_around_long_white_space(tokenizer, monkeypatch, wide):
+    monkeypatch.setattr(packing, "WIDE", wide)
+    monkeypatch.setattr(packing.ChunkMemo, "wide", packing.re.compile(f"[{packing.SPACES}]{{{wide},}}").finditer)
+    memo = packing.chunk_memo(open(FILE, encoding="utf-8").read())
+    rng = random.Random(3)
+    runs = [" ", "\n", "\t", "\u3000", "\r\n", " \n", "\x1c", "\x85 "]
+    for _ in range(400):
+        text = "".join(rng.choice([rng.choice(PARTS), rng.choice(runs) * rng.choice([1, 2, 3, 5, 5000] if wide > 3 else [1, 2, 3, 5])]) for _ in range(rng.randint(0, 8)))
+        assert np.frombuffer(memo.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text[:200])
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "\t", " \n\t", "\r\n", "x", "7", "-"])
+def test_ids_of_millions_of_characters_without_a_break(tokenizer, run):
+    memo = packing.chunk_memo(open(FILE, encoding="utf-8").read())
+    long = run * (5_000_000 // len(run))
+    for text in (long, f"word{long}end", f"{long}end", f"word {long}"):
+        assert np.array_equal(np.frombuffer(memo.ids(text), "<u4"), tokenizer.encode(text, add_special_tokens=False).ids)
+
+
 @pytest.mark.parametrize("limits", [Limits(64), Limits(64, max_docs=3), Limits(64, max_cost=1500), Limits(64, 4, 2000)])
 def test_plan_holds_every_constraint_and_places_every_piece(limits):
     rng = random.Random(5)
