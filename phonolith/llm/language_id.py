@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from phonolith.llm.common import SQL_CRC_TABLE, crc_mod, sql_crc_mod, table
+from phonolith.llm.common import SQL_CRC_TABLE, crc_mod, sql_crc_mod, staged, table
 
 #: Entries of a profile, of a language and of a document.
 PROFILE = 400
@@ -42,7 +42,7 @@ PARTS = 8
 CHUNK = 1_000_000
 #: A task passes its sums on when it holds so many n-grams.
 HELD = 2_000_000
-#: Profiles of so many languages are some 30 MB.
+#: Profiles of so many languages are 24 MB at most.
 MAX_LANGUAGES = 5_000
 
 _other = regex.compile(r"[^\p{L}\p{M}]+").sub
@@ -131,26 +131,31 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size:
         yield from passed()
 
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    if (languages := rows.agg(F.count_distinct("lang")).first()[0]) > MAX_LANGUAGES:
-        raise ValueError(f"{languages} languages; at most {MAX_LANGUAGES} profiles can be sent to the tasks")
     sums = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    best_first = Window.partitionBy("lang", "part").orderBy(F.desc("n"), "gram")
-    top = sums.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(PARTS))).withColumn("place", F.row_number().over(best_first))
-    found: dict[str, list] = {}
-    for r in top.where(F.col("place") <= size).select("lang", "gram", "n").collect():
-        found.setdefault(r["lang"], []).append((-r["n"], r["gram"]))
-    return {lang: np.array([g for _, g in sorted(found[lang])[:size]], np.int64) for lang in sorted(found)}
+    first = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy(F.desc("n"), "gram"))
+    # In parts first, so that no task has all n-grams of a language.
+    top = sums.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(PARTS))).withColumn("place", first("part")).where(F.col("place") <= size)
+    top = staged(top.select("lang", "gram", first().alias("place")).where(F.col("place") <= size), "profiles")
+    if (languages := top.select("lang").distinct().count()) > MAX_LANGUAGES:
+        raise ValueError(f"{languages} languages; at most {MAX_LANGUAGES} profiles can be sent to the tasks")
+    found = top.toArrow().sort_by([("lang", "ascending"), ("place", "ascending")])  # languages x size rows
+    names, first_rows = np.unique(found.column("lang").to_numpy(zero_copy_only=False).astype(object), return_index=True) if len(found) else ([], [])
+    return dict(zip(names, np.split(found.column("gram").to_numpy(), first_rows[1:])))
 
 
 class Profiles:
-    """All languages' ranks in one table, for comparison with a document's profile."""
+    """All languages' ranks by n-gram, for comparison with a document's profile: 12 bytes an entry at most."""
 
     def __init__(self, profiles: dict[str, np.ndarray], size: int = PROFILE):
         self.names, self.size = list(profiles), size
-        self.codes = np.unique(np.concatenate([*profiles.values(), np.zeros(1, np.int64)]))
-        self.ranks = np.full((len(self.codes), len(self.names)), -1, np.int64)
-        for k, codes in enumerate(profiles.values()):
-            self.ranks[np.searchsorted(self.codes, codes), k] = np.arange(len(codes))
+        sizes = list(map(len, profiles.values()))
+        codes = np.concatenate([*profiles.values(), np.zeros(0, np.int64)])
+        order = np.argsort(codes, kind="stable")
+        self.codes, starts = np.unique(codes[order], return_index=True)
+        #: Entries of the n-gram i are those from starts[i] to starts[i + 1].
+        self.starts = np.append(starts, len(codes)).astype(np.int32)
+        self.languages = np.repeat(np.arange(len(sizes), dtype=np.int16), sizes)[order]
+        self.ranks = np.concatenate([*[np.arange(n, dtype=np.int16) for n in sizes], np.zeros(0, np.int16)])[order]
 
     def nearest(self, padded: str) -> tuple[str, float]:
         """(language, 1 minus the share of the largest possible distance)."""
@@ -159,8 +164,13 @@ class Profiles:
         own = ranked(*gram_counts(padded), self.size)
         at = np.searchsorted(self.codes, own)
         at[at == len(self.codes)] = 0
-        theirs = np.where((self.codes[at] == own)[:, None], self.ranks[at], -1)
-        apart = np.where(theirs < 0, self.size, np.abs(theirs - np.arange(len(own))[:, None])).sum(axis=0)
+        known = np.flatnonzero(self.codes[at] == own)
+        first, last = self.starts[at[known]], self.starts[at[known] + 1]
+        many = last - first
+        entries = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        # What each n-gram in common takes from the largest distance.
+        nearer = self.size - np.abs(self.ranks[entries].astype(np.int64) - np.repeat(known, many))
+        apart = self.size * len(own) - np.bincount(self.languages[entries], nearer, minlength=len(self.names)).astype(np.int64)
         best = int(np.argmin(apart))
         return self.names[best], float(1 - apart[best] / (self.size * len(own)))
 

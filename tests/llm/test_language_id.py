@@ -97,3 +97,16 @@ def test_the_query_and_its_sql(spark):
     rows = sorted(map(tuple, got.collect()))
     assert [r[:3] for r in rows] == [r[:3] for r in sorted(want.fetchall())]
     assert all(r[1] == (zlib.crc32(str(r[0]).encode()) % 4 == 2) for r in rows)
+
+
+def test_profiles_of_the_most_languages_are_small():
+    import pickle
+
+    rng = np.random.default_rng(1)
+    profiles = {f"l{i:04}": rng.choice(1 << 40, language_id.PROFILE, replace=False).astype(np.int64) for i in range(language_id.MAX_LANGUAGES)}
+    table = language_id.Profiles(profiles)
+    assert len(pickle.dumps(table)) < 30_000_000
+    padded = language_id.letters("some words of text")
+    own = language_id.ranked(*language_id.gram_counts(padded), language_id.PROFILE)
+    profiles["l0777"][: len(own)] = own
+    assert language_id.Profiles(profiles).nearest(padded) == ("l0777", 1.0)
