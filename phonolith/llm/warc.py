@@ -44,6 +44,8 @@ from phonolith.llm.common import new_folder, staged, table
 
 #: Fixed values of the formats.
 SKIPPABLE = 0x184D2A5D
+#: Bits of a payload's hash by which it is looked up before the shuffle.
+SHORT_BITS = 20
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes of records in an archive (one larger record is an archive by itself).
@@ -180,9 +182,13 @@ def with_originals(pages: DataFrame, min_bytes: int, id_col: str, url_col: str,
     groups = groups.where((F.col("n") > 1) & ((F.col("most") != F.col("least")) | (F.col("named") < F.col("n"))) & F.col("most").isNotNull()).select("sha", "most")
     # Written out, so that the join shuffles both sides and Spark can split a payload that very many pages share.
     groups = staged(groups, "originals")
-    joined = rows.join(groups, "sha", "left")
-    refers = F.when(~F.col("id").eqNullSafe(F.col("most")), F.col("most"))
-    return joined.select("id", "url", "payload", refers.alias("refers_to"))
+    # Only payloads whose hash agrees with a repeated one's in its low bits are shuffled, at most 2**20 numbers are sent for that.
+    short = F.xxhash64("sha").bitwiseAND(F.lit((1 << SHORT_BITS) - 1)).cast("int")
+    repeated = F.broadcast(groups.select(short.alias("short"), F.lit(True).alias("may")).distinct())
+    marked = rows.withColumn("short", short).join(repeated, "short", "left")
+    refers = F.when(~F.col("id").eqNullSafe(F.col("most")), F.col("most")).alias("refers_to")
+    joined = marked.where("may").join(groups, "sha", "left").select("id", "url", "payload", refers)
+    return marked.where("may IS NULL").select("id", "url", "payload", F.lit(None).cast(joined.schema["refers_to"].dataType).alias("refers_to")).unionByName(joined)
 
 
 def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, when: str | None = None) -> DataFrame:
