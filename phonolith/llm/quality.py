@@ -181,13 +181,14 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 def measured(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns (default: all) of each row with the measures of its text; no shuffle."""
     keep = docs.columns if keep is None else keep
-    at = len(keep)
+    # A kept text is not sent twice.
+    width, at = len(keep), keep.index(text_col) if text_col in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def ready(batch, rows, plain, texts, different):
             part = np.concatenate([np.array(plain, np.int64).reshape(-1, 4), repetition(texts, different, rules)], axis=1)
-            columns = [batch.column(i).slice(rows[0], len(rows)) for i in range(at)]
-            return pa.RecordBatch.from_arrays([*columns, *[pa.array(part[:, i]) for i in range(7)]], names=[*[mark(f"c{i}") for i in range(at)], *[mark(n) for n in MEASURES]])
+            columns = [batch.column(i).slice(rows[0], len(rows)) for i in range(width)]
+            return pa.RecordBatch.from_arrays([*columns, *[pa.array(part[:, i]) for i in range(7)]], names=[*[mark(f"c{i}") for i in range(width)], *[mark(n) for n in MEASURES]])
 
         for batch in batches:
             rows, plain, texts, held, number = [], [], [], 0, defaultdict(count(1).__next__)
@@ -207,7 +208,7 @@ def measured(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", ke
 
     kinds = [docs.schema[c].dataType.simpleString() for c in keep]
     schema = ", ".join([*[f"{mark(f'c{i}')} {k}" for i, k in enumerate(kinds)], *[f"{mark(n)} long" for n in MEASURES]])
-    source = docs.select(*[F.col(c).alias(mark(f"c{i}")) for i, c in enumerate(keep)], F.col(text_col).alias(mark("text")))
+    source = docs.select(*[F.col(c).alias(mark(f"c{i}")) for i, c in enumerate(keep)], *([F.col(text_col).alias(mark("text"))] if at == width else []))
     out = source.mapInArrow(run, schema)
     n, window, part, longest = (F.col(mark(x)) for x in ("n_words", "n_repeat_words", "covered_words", "longest_repeat"))
     failed = (n < rules.min_words) | (100 * window > F.lit(100 * rules.max_window_share) * n)
