@@ -111,11 +111,17 @@ def placed_tokens(docs: DataFrame, near: DataFrame, tree: Tree, text_col: str) -
 
 
 def templates(placed: DataFrame, tree: Tree) -> DataFrame:
-    """(leaf, line_key, template): the seed's line_key for each line that agrees with one."""
+    """(leaf, line_key, template): the seed's line_key for each line that agrees with one.
+
+    A round (some ten jobs over what is left) fixes one more pair of each open
+    group, so there are at most as many as the longest open line has tokens.
+    """
     pair = ["grp", "at", "token"]
     open_lines, found = placed, []
     while not open_lines.isEmpty():
-        counted = staged(open_lines.join(open_lines.groupBy(*pair).agg(F.count("*").alias("n")), pair), "pairs")
+        # Written out, so that the join shuffles both sides and Spark can split a hot pair.
+        n = staged(open_lines.groupBy(*pair).agg(F.count("*").alias("n")), "pair-counts")
+        counted = staged(open_lines.join(n, pair), "pairs")
         scores = counted.groupBy("grp", "line_key").agg(F.sum("n").alias("score"), F.first("name").alias("name"))
         seeds = scores.groupBy("grp").agg(F.min(F.struct(-F.col("score"), "name", "line_key")).alias("best")).select("grp", F.col("best.line_key").alias("template"))
         model = staged(counted.withColumnRenamed("line_key", "template").join(seeds, ["grp", "template"]).select(*pair, "template"), "seeds")
@@ -123,7 +129,7 @@ def templates(placed: DataFrame, tree: Tree) -> DataFrame:
         member = staged(agree.where(F.col("same") >= F.lit(tree.similarity) * F.col("rest")).select("leaf", "line_key", "template"), "members")
         found.append(member)
         left = staged(counted.drop("n").join(member, ["leaf", "line_key"], "left_anti"), "left")
-        release(counted, model)
+        release(n, counted, model)
         following = _deeper(left, tree)
         release(left, open_lines)
         open_lines = following
