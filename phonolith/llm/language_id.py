@@ -42,7 +42,7 @@ PARTS = 8
 CHUNK = 1_000_000
 #: A task passes its sums on when it holds so many n-grams.
 HELD = 2_000_000
-#: Profiles of so many languages are 24 MB at most.
+#: Profiles of so many languages are 32 MB at most.
 MAX_LANGUAGES = 5_000
 
 _other = regex.compile(r"[^\p{L}\p{M}]+").sub

