@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonolith.functions import numbers as N
 from phonolith.functions import text as S
-from phonolith.operators import audio, browse, search, signal, writes
+from phonolith.operators import audio, browse, search, signal, text_index, vector_index, writes
 from phonolith.operators.filters import filtered, tagged_any
 from phonolith.plans.adapters import ASSET_TAGS_SQL, ASSETS_SQL, EMBEDDINGS_SQL, MODEL_ID, SAMPLES_SQL, TAGS_SQL, assets, catalog, query_vector, samples, table
 from phonolith.schema import SearchMode, SearchQuery, SortDirection, SortField
 from phonolith.sources import files
+from phonolith.sources.scratch import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -70,6 +73,68 @@ add("lexical_blank", lexical(SearchQuery("  "), *NAMES), "SELECT id, filename, f
 add("lexical_filtered", lexical(SearchQuery("ing", favorites_only=True, sort_dir=SortDirection.ASC), *NAMES, "score"), f"{bm25_sql(['ing'], 'favorite')} SELECT {PAGE} FROM hits ORDER BY bm25, id LIMIT 50")
 add("search_total", lambda s, d: search.search(catalog(s, d), SearchQuery("tion", extensions=["wav", "mp3"])).total, f"{bm25_sql(['tion'], WAV_OR_MP3)} SELECT count(*) AS total FROM hits")
 
+# --- lexical search through the index ---------------------------------------------------
+
+
+@cache
+def _text_index(application: str, sf_dir: str) -> text_index.TextIndex:
+    spark = SparkSession.active()
+    return text_index.built(assets(spark, sf_dir), scratch_folder(spark, "text-index"), buckets=16, block=256)
+
+
+def indexed(q: SearchQuery, *columns: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        index = _text_index(spark.sparkContext.applicationId, sf_dir)
+        return text_index.indexed_search(index, catalog(spark, sf_dir), q).page.withColumn("score", F.round("score", 6)).select("id", *columns)
+
+    return run
+
+
+def indexed_top(q: SearchQuery, best_first: bool) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        index = _text_index(spark.sparkContext.applicationId, sf_dir)
+        found = text_index.top_hits(index, catalog(spark, sf_dir), q, best_first, first_blocks=1)
+        return found.page.withColumn("score", F.round("score", 6)).select("id", *NAMES, "score")
+
+    return run
+
+
+def index_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of every third asset change, every fifth goes, copies of every seventh come; then a search."""
+    whole = catalog(spark, sf_dir)
+    before = whole.assets.where("id % 7 <> 3")
+    index = text_index.built(before, scratch_folder(spark, "text-index"), buckets=4, block=256)
+    edited = before.where("id % 3 = 0").withColumn("notes", F.concat(F.lit("Mention of tion "), "notes"))
+    index = text_index.changed(index, edited, before.where("id % 5 = 0").select("id"))
+    came = whole.assets.where("id % 7 = 3").withColumn("notes", F.concat("notes", F.lit(" tion MEN")))
+    index = text_index.changed(index, came, before.where("id % 5 = 0").select("id"))
+    now = before.where("id % 3 <> 0").unionByName(edited).where("id % 5 <> 0").unionByName(came)
+    page = text_index.indexed_search(index, replace(whole, assets=now), SearchQuery("tion men", limit=200)).page
+    return page.select("id", *NAMES, F.round("score", 6).alias("score"))
+
+
+def index_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each token the words that contain it, the assets with them and its occurrences, from the postings alone."""
+    index = _text_index(spark.sparkContext.applicationId, sf_dir)
+    tokens = ["tion", "ing", "src1"]
+    found = text_index.hits_of(index, text_index.matched_postings(index, tokens))
+    name = F.element_at(F.array(*map(F.lit, tokens)), F.col("token") + 1).alias("name")
+    return found.groupBy(name).agg(F.count("*").alias("n_assets"), F.sum("tf").cast("long").alias("n_occurrences"), F.sum("length").alias("length"))
+
+
+CHANGED = """assets AS (SELECT * REPLACE (CASE WHEN id % 7 = 3 THEN notes || ' tion MEN' WHEN id % 3 = 0 THEN 'Mention of tion ' || notes ELSE notes END AS notes) FROM first_assets WHERE id % 7 = 3 OR id % 5 <> 0)"""
+_changed = bm25_sql(["tion", "men"]).replace("WITH x AS", f"WITH {ASSETS_SQL.replace('assets AS', 'first_assets AS', 1)}, {CHANGED}, x AS", 1)
+add("index_search_bm25", indexed(SearchQuery("tion"), *NAMES, "score"), ORACLE["lexical_search_bm25"], "")
+add("index_multi_token", indexed(SearchQuery("the src1", sort_dir=SortDirection.ASC), *NAMES, "score"), ORACLE["lexical_multi_token"], "")
+add("index_stopwords", indexed(SearchQuery('(ing) AND "the" or  ent', limit=20), *NAMES, "score"), ORACLE["lexical_stopwords"], "")
+add("index_filtered", indexed(SearchQuery("ing", favorites_only=True, sort_dir=SortDirection.ASC), *NAMES, "score"), ORACLE["lexical_filtered"], "")
+add("index_nothing", indexed(SearchQuery("tion zzqqzz"), *NAMES), "SELECT id, filename, folder FROM assets WHERE false")
+add("index_top_best", indexed_top(SearchQuery("tion"), True), ORACLE["lexical_best_first"], "")
+add("index_top_worst", indexed_top(SearchQuery("tion"), False), ORACLE["lexical_search_bm25"], "")
+add("index_top_multi", indexed_top(SearchQuery("the src1", sort_dir=SortDirection.ASC), False), ORACLE["lexical_multi_token"], "")
+add("index_after_changes", index_after_changes, f"{_changed} SELECT {PAGE} FROM hits ORDER BY bm25 DESC, id LIMIT 200", "")
+add("index_audit", index_audit, " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n_assets, CAST(sum(tf0) AS BIGINT) AS n_occurrences, CAST(sum(len) AS BIGINT) AS length FROM ({bm25_sql([t])} SELECT * FROM x WHERE tf0 > 0)" for t in ("tion", "ing", "src1")))
+
 # --- filters and sorts -----------------------------------------------------------------
 
 
@@ -131,6 +196,36 @@ HYBRID = "CASE WHEN bm25 IS NULL THEN 0e0 WHEN hi - lo < 1e-8 THEN 1e0 ELSE (hi
 add("hybrid_topk", vector_page(SearchQuery("tion", BOTH, limit=30)), f"{bm25_sql(['tion'])}, r AS (SELECT min(bm25) AS lo, max(bm25) AS hi FROM hits), {NEAR}, f AS (SELECT near.id, {UNIT} + 0.35e0 * {HYBRID} AS score FROM near LEFT JOIN (SELECT id, bm25 FROM hits) h ON near.id = h.id, r) SELECT id, round(score, 5) AS score FROM f ORDER BY score DESC, id LIMIT 30", "ae")
 add("hybrid_like", vector_page(SearchQuery("th", BOTH, limit=30)), f"WITH {NEAR}, f AS (SELECT id, {UNIT} + 0.35e0 * CASE WHEN lower(filename) LIKE '%th%' THEN 1 ELSE 0 END AS score FROM near) SELECT id, round(score, 5) AS score FROM f ORDER BY score DESC, id LIMIT 30", "ae")
 
+
+
+@cache
+def _vector_index(application: str, sf_dir: str) -> vector_index.VectorIndex:
+    spark = SparkSession.active()
+    return vector_index.built(catalog(spark, sf_dir), MODEL_ID, scratch_folder(spark, "vector-index"), cell=64)
+
+
+def indexed_vectors(q: SearchQuery) -> Callable[[SparkSession, str], DataFrame]:
+    """All cells, quantised, and the exact order of the best."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        index = _vector_index(spark.sparkContext.applicationId, sf_dir)
+        page = vector_index.vector_page(index, catalog(spark, sf_dir), q, query_vector(spark, sf_dir), probed=1.0).page
+        return page.select("id", F.round("score", 5).alias("score"))
+
+    return run
+
+
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the index finds nine of ten of the 20 nearest of each vector whose id is divisible by 100."""
+    index = _vector_index(spark.sparkContext.applicationId, sf_dir)
+    queries = index.vectors.where("asset_id % 100 = 0").select(F.col("asset_id").alias("query_id"), "vector")
+    return vector_index.recall(index, queries, 20).select("n_queries", "k", (F.col("recall") >= 0.9).alias("reached"))
+
+
+add("vector_index_topk", indexed_vectors(SearchQuery("x", VECTOR, limit=20)), ORACLE["vector_topk"], "")
+add("vector_index_filtered", indexed_vectors(SearchQuery("x", VECTOR, channels=2, folder_root="/lib", limit=20, sort_by=SortField.DURATION)), ORACLE["vector_filtered"], "")
+add("vector_index_recall", vector_index_recall, "SELECT count(*) AS n_queries, CAST(20 AS INTEGER) AS k, true AS reached FROM embeddings WHERE vec_id % 100 = 0", "")
+
 # --- folders, facets, tags -------------------------------------------------------------------
 
 add("folder_counts", lambda s, d: browse.folder_counts(assets(s, d)), "SELECT folder, count(*) AS n_assets FROM assets GROUP BY folder")
