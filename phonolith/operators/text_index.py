@@ -46,6 +46,7 @@ MAX_BUCKETS = 4096
 FIRST_BLOCKS = 8
 #: Rounding of a bound.
 SLACK = 1e-12
+POSTINGS = "word string, segment string, block long, n int, most int, shortest int, longest int, ids array<int>, tfs array<int>, lengths array<int>, bucket int"
 _FORMAT = {"parquet.writer.version": "v2"}
 
 
@@ -99,7 +100,7 @@ def _append(assets: DataFrame, folder: str, buckets: int, block: int, segment: s
     )
     _written(postings, ["bucket", "word", "block"], f"{folder}/postings")
     # The new segment's words only; a word that another segment has as well is there twice.
-    own = assets.sparkSession.read.parquet(f"{folder}/postings").where(F.col("segment") == segment).select("word").distinct()
+    own = assets.sparkSession.read.schema(POSTINGS).parquet(f"{folder}/postings").where(F.col("segment") == segment).select("word").distinct()
     starts = F.sequence(F.lit(1), F.length("word") - (TOKEN_CHARS - 1))
     grams = own.select("word", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substr(F.col("word"), i, F.lit(TOKEN_CHARS))))).alias("gram"))
     _written(grams.select(_bucket(F.col("gram"), buckets).alias("bucket"), "gram", "word"), ["bucket", "gram", "word"], f"{folder}/grams")
@@ -108,7 +109,7 @@ def _append(assets: DataFrame, folder: str, buckets: int, block: int, segment: s
 def _read(spark: SparkSession, folder: str, live: str, buckets: int, block: int, exact: bool) -> TextIndex:
     # With the columns' types given, tables without rows can be read, and no file is opened for them.
     grams = spark.read.schema("gram string, word string, bucket int").parquet(f"{folder}/grams")
-    postings = spark.read.schema("word string, segment string, block long, n int, most int, shortest int, longest int, ids array<int>, tfs array<int>, lengths array<int>, bucket int").parquet(f"{folder}/postings")
+    postings = spark.read.schema(POSTINGS).parquet(f"{folder}/postings")
     return TextIndex(folder, buckets, block, grams, postings, spark.read.schema("id long, segment string, length long").parquet(f"{folder}/{live}"), exact)
 
 
