@@ -1,7 +1,7 @@
-"""Header facts of audio files beyond WAVE, and AIFF samples.
+"""Header facts of audio files beyond WAVE, and AIFF and FLAC samples.
 
-FLAC, Ogg Vorbis and MP3 tell rate, channels and (mostly) length in plain
-bytes; their samples need a decoder that plugs into ``wav.DECODERS``.
+Ogg Vorbis and MP3 tell rate, channels and (mostly) length in plain bytes; their
+samples need a decoder that plugs into ``wav.DECODERS``. FLAC's are in ``flac``.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from phonolith.sources import wav
+from phonolith.sources import flac, wav
 
 #: Fixed values of MPEG layer III headers: rates of version 1, kbit/s of versions 1 and 2.
 MP3_RATES = (44100, 48000, 32000)
@@ -78,10 +78,8 @@ def decode_aiff(data: bytes) -> tuple[np.ndarray, int] | None:
 
 def flac_facts(data: bytes) -> Facts | None:
     """From the stream info block, which comes first."""
-    if data[:4] != b"fLaC" or len(data) < 42 or data[4] & 0x7F:
-        return None
-    packed = int.from_bytes(data[18:26], "big")
-    return Facts(packed >> 44, (packed >> 41 & 7) + 1, (packed >> 36 & 31) + 1, (packed & (1 << 36) - 1) or None)
+    s = flac.stream_of(data)
+    return s and Facts(s.rate, s.channels, s.bits, s.frames or None)
 
 
 def vorbis_facts(data: bytes) -> Facts | None:
@@ -136,5 +134,6 @@ def facts_of(data: bytes, extension: str) -> Facts | None:
 
 def decode(data: bytes, extension: str) -> tuple[np.ndarray, int]:
     """(float32 frames x channels, sample rate); an error if no decoder reads the file."""
-    found = decode_aiff(data) if extension in ("aiff", "aif") else None
+    own = {"aiff": decode_aiff, "aif": decode_aiff, "flac": flac.decode_flac}.get(extension)
+    found = own and own(data)
     return found if found is not None and found[0].size else wav.decode(data, extension)
