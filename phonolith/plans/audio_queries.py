@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from phonolith.functions import numbers as N
 from phonolith.operators import audio, writes
 from phonolith.plans.adapters import ASSETS_SQL, assets, catalog, table
 from phonolith.schema import PEAKS, Catalog
-from phonolith.sources import codecs, config, files, snapshots, wav
+from phonolith.sources import codecs, control, files, snapshots, wav
 from phonolith.sources.ingest import ingest, ingest_roots
 from phonolith.sources.scratch import scratch_folder
 from phonolith.streaming import watch
@@ -249,9 +250,9 @@ def flac_row(i: int, x: np.ndarray) -> list[tuple]:
 add_kernel(
     "flac_decode",
     flac_row,
-    "asset_id long, channels int, bit_depth int, duration_ms long, rate int, n long, high long, left_sum long, right_sum long",
+    "asset_id long, channels long, bit_depth long, duration_ms long, rate long, n long, high long, left_sum long, right_sum long",
     f"""WITH w AS (SELECT asset_id, frame, CAST(floor(CAST(sample AS DOUBLE) * 32767 + 0.5e0) AS BIGINT) AS v, row_number() OVER (PARTITION BY asset_id ORDER BY frame) AS k, count(*) OVER (PARTITION BY asset_id) AS m FROM waves)
-    SELECT asset_id, CAST(2 AS INTEGER) AS channels, CAST(16 AS INTEGER) AS bit_depth, count(*) * 1000 // {RATE} AS duration_ms, CAST({RATE} AS INTEGER) AS rate, count(*) AS n, max(v) AS high,
+    SELECT asset_id, CAST(2 AS BIGINT) AS channels, CAST(16 AS BIGINT) AS bit_depth, count(*) * 1000 // {RATE} AS duration_ms, CAST({RATE} AS BIGINT) AS rate, count(*) AS n, max(v) AS high,
       CAST(sum(v * k) AS BIGINT) AS left_sum, CAST(sum(v * (m + 1 - k)) AS BIGINT) AS right_sum FROM w GROUP BY asset_id""",
 )
 
@@ -609,7 +610,7 @@ add(
 
 def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = library(spark, sf_dir)
-    return files.list_files(spark, folder).select(F.substring_index("path", "/", -3).alias("path"), "extension", "file_size")
+    return files.list_tree(spark, folder).select(F.substring_index("path", "/", -3).alias("path"), "extension", "file_size")
 
 
 add(
@@ -620,6 +621,35 @@ add(
 )
 
 
+def walked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folder with a hidden folder, a hidden file and names that begin with _, listed with and without hidden entries."""
+    folder = library(spark, sf_dir)
+
+    def more(i: int, x: np.ndarray) -> list[tuple]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        place = f"{base}/Maker {i % 2}/{('.cache', '_odd', 'plain')[i % 3]}"
+        store.create_dir(place, recursive=True)
+        with store.open_output_stream(f"{place}/{('', '_', '.')[i % 3]}take {i}.flac", compression=None) as out:
+            out.write(bytes(i % 7))
+        return [(i,)]
+
+    each(signals(spark, sf_dir), more, "asset_id long").write.format("noop").mode("overwrite").save()
+    shown, every = files.walk(spark, folder), files.walk(spark, folder, skip_hidden=False)
+    rows = every.join(shown.select("path", F.lit(True).alias("shown")), "path", "left")
+    return rows.select(F.substring_index("path", "/", -2).alias("path"), "extension", "file_size", F.coalesce("shown", F.lit(False)).alias("shown"), F.col("error").isNotNull().alias("failed"))
+
+
+add(
+    "library_walk",
+    walked,
+    """SELECT 'Kind ' || asset_id % 3 || '/block ' || asset_id || CASE WHEN asset_id % 2 = 1 THEN '.aiff' ELSE '.WAV' END AS path, CASE WHEN asset_id % 2 = 1 THEN 'aiff' ELSE 'wav' END AS extension,
+      CASE WHEN asset_id % 10 = 0 THEN 6 ELSE CASE WHEN asset_id % 2 = 1 THEN 54 ELSE 44 END + 2 * n END AS file_size, true AS shown, false AS failed FROM sizes
+    UNION ALL SELECT ['.cache', '_odd', 'plain'][asset_id % 3 + 1] || '/' || ['', '_', '.'][asset_id % 3 + 1] || 'take ' || asset_id || '.flac', 'flac', asset_id % 7, asset_id % 3 = 1, false FROM sizes""",
+)
+
+
 def rescanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two roots after a first scan: the same folder, where only broken files are tried again, and one that is not there."""
     first, folder = grown(spark, sf_dir)
@@ -670,23 +700,6 @@ add(
 )
 
 
-def settings_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The defaults, as a missing file gives them."""
-    found = config.load_settings("/nowhere/settings.toml")
-    rows = [(section, key, str(value).lower()) for section in ("general", "indexing", "playback", "search") for key, value in vars(getattr(found, section)).items()]
-    return spark.createDataFrame(rows, "section string, name string, value string")
-
-
-add(
-    "settings_defaults",
-    settings_rows,
-    """SELECT * FROM (VALUES ('general', 'scan_roots', '[]'), ('indexing', 'parallel_workers', '0'), ('indexing', 'peak_resolution', '800'), ('indexing', 'skip_hidden_dirs', 'true'), ('indexing', 'watch_scan_roots', 'false'),
-    ('playback', 'buffer_cache_count', '10'), ('playback', 'auto_play', 'true'), ('playback', 'loop_playback', 'false'), ('playback', 'clip_notch_ms', '100'),
-    ('search', 'default_sort', 'relevance'), ('search', 'results_per_page', '50'), ('search', 'default_search_mode', 'lexical')) t(section, name, value)""",
-    "",
-)
-
-
 def stored_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = waves(spark, sf_dir).where("frame IN (100, 200)").groupBy("asset_id").agg(F.array_sort(F.collect_list("sample")).alias("peaks"))
     new = old.where("asset_id % 2 = 0").withColumn("peaks", F.array(F.lit(0.25).cast("float")))
@@ -735,13 +748,49 @@ def watch_news(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("watch_news", watch_news, "SELECT count(*) AS files, true AS changed FROM sizes")
 
 
-def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flight = watch.SingleFlight()
-    with flight.start() as first, flight.start() as second:
-        ran = [first, second]
-    with flight.start() as third:
-        ran.append(third)
-    return spark.createDataFrame(list(enumerate(ran, 1)), "attempt int, ran boolean")
+def writers_race(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two writers start from one snapshot; one is refused and works again on what the other wrote. Facts of every version."""
+    base, full = scratch_folder(spark, "race"), catalog(spark, sf_dir)
+    snapshots.commit(full, base, 0)
+    first, second = snapshots.read_version(spark, base), snapshots.read_version(spark, base)
+    change = lambda own, rest: writes.set_favorite(own.catalog.assets, own.catalog.assets.where(F.col("id") % 4 == rest).select("id"), True)
+    snapshots.commit(replace(first.catalog, assets=change(first, 1)), base, first.version)
+    refused = False
+    try:
+        snapshots.commit(replace(second.catalog, assets=change(second, 2)), base, second.version)
+    except snapshots.Conflict:
+        refused = True
+        second = snapshots.read_version(spark, base)
+        snapshots.commit(replace(second.catalog, assets=change(second, 2)), base, second.version)
+    rows = None
+    for v in (1, 2, 3):
+        one = snapshots.read_version(spark, base, v).catalog.assets.agg(F.count("*").alias("n_assets"), F.count_if("favorite").alias("n_favorites")).select(F.lit(v).alias("version"), F.lit(refused).alias("refused"), "n_assets", "n_favorites")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+add(
+    "writers_race",
+    writers_race,
+    """SELECT CAST(v AS INTEGER) AS version, true AS refused, count(*) AS n_assets, count(*) FILTER (doc_id % 10 = 0 OR (v > 1 AND doc_id % 4 = 1) OR (v > 2 AND doc_id % 4 = 2)) AS n_favorites FROM documents, range(1, 4) r(v) GROUP BY v""",
+    "",
+)
+
+
+def cancelled_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An ingest that is cancelled while files are opened; then the same one again. The catalog's assets after each."""
+    folder, none = library(spark, sf_dir), writes.wiped(catalog(spark, sf_dir))
+    start = replace(none, assets=assets(spark, sf_dir).where("id < 3"))
+    marker = control.Marker(f"{scratch_folder(spark, 'marker')}/stop")
+    kept, state = start, "finished"
+    try:
+        # Told before files are opened, so tasks find the marker.
+        kept = ingest(start, folder, now=1, resolution=4, cancel=marker, progress=lambda phase, n: marker.set() if phase == "indexing" else None).catalog
+    except control.Cancelled:
+        state = "cancelled"
+    after = ingest(start, folder, now=1, resolution=4).catalog
+    count = lambda own, name: own.assets.agg(F.lit(name).alias("state"), F.count("*").alias("n_assets"))
+    return count(kept, state).unionByName(count(after, "finished"))
 
 
-add("single_flight", flights, "SELECT * FROM (VALUES (CAST(1 AS INTEGER), true), (2, false), (3, true)) t(attempt, ran)", "")
+add("ingest_cancelled", cancelled_ingest, f"SELECT 'cancelled' AS state, (SELECT count(*) FROM documents WHERE doc_id < 3) AS n_assets UNION ALL SELECT 'finished', (SELECT count(*) FROM documents WHERE doc_id < 3) + (SELECT count(*) FROM ({GOOD}))")

@@ -7,6 +7,7 @@ samples need a decoder that plugs into ``wav.DECODERS``. FLAC's are in ``flac``.
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -93,11 +94,18 @@ def vorbis_facts(data: bytes) -> Facts | None:
     return Facts(rate, channels, None, frames if frames >= 0 else None)
 
 
-def mp3_facts(data: bytes) -> Facts | None:
-    """From the first frame; the length by its count of frames if it has one, else by its bit rate."""
-    at = 0
-    if data[:3] == b"ID3" and len(data) >= 10:
-        at = 10 + (data[6] << 21 | data[7] << 14 | data[8] << 7 | data[9])
+def mp3_start(data: bytes) -> int:
+    """Where the first frame begins, after a tag."""
+    return 10 + (data[6] << 21 | data[7] << 14 | data[8] << 7 | data[9]) if data[:3] == b"ID3" and len(data) >= 10 else 0
+
+
+def mp3_facts(data: bytes, size: int | None = None) -> Facts | None:
+    """From the first frame; the length by its count of frames if it has one, else by its bit rate.
+
+    size: of the frames, if data is only their beginning.
+    """
+    at = mp3_start(data) if size is None else 0
+    size = len(data) - at if size is None else size
     if at + 4 > len(data) or data[at] != 0xFF or data[at + 1] & 0xE6 != 0xE2:
         return None
     version, kbits, rate, mode = data[at + 1] >> 3 & 3, data[at + 2] >> 4, data[at + 2] >> 2 & 3, data[at + 3] >> 6
@@ -109,7 +117,7 @@ def mp3_facts(data: bytes) -> Facts | None:
     if data[info : info + 4] in (b"Xing", b"Info") and info + 12 <= len(data) and data[info + 7] & 1:
         frames = struct.unpack_from(">I", data, info + 8)[0] * per_frame
     else:
-        frames = (len(data) - at) * 8 * hz // ((MP3_KBITS_1 if version == 3 else MP3_KBITS_2)[kbits] * 1000)
+        frames = size * 8 * hz // ((MP3_KBITS_1 if version == 3 else MP3_KBITS_2)[kbits] * 1000)
     return Facts(hz, channels, None, frames)
 
 
@@ -123,6 +131,23 @@ def _aiff_facts(data: bytes) -> Facts | None:
     return parts and parts[0]
 
 
+#: Formats whose facts lie at the edges of a file.
+BY_EDGES = ("ogg", "mp3")
+EDGE_BYTES = 65_536
+
+
+def edge_facts(size: int, read: Callable[[int, int], bytes], extension: str) -> Facts | None:
+    """Header facts from parts of a file: read gives the bytes at an offset."""
+    head = read(0, EDGE_BYTES)
+    if extension == "mp3":
+        at = mp3_start(head)
+        return mp3_facts(head[at:] if at + 512 <= len(head) else read(at, 512), size - at) if at <= size else None
+    if size <= 2 * EDGE_BYTES:
+        return vorbis_facts(read(0, size))
+    # A page is at most 65,307 bytes, so the last one begins in the tail.
+    return vorbis_facts(head + read(size - EDGE_BYTES, EDGE_BYTES))
+
+
 READERS = {"wav": _wav_facts, "aiff": _aiff_facts, "aif": _aiff_facts, "flac": flac_facts, "ogg": vorbis_facts, "mp3": mp3_facts}
 
 

@@ -1,14 +1,17 @@
 """File trees: listing, difference to the catalog, and extraction of facts and peaks.
 
-The listing is a DataFrame of Spark's binaryFile source without the content
-column, so no file is opened. Names that begin with ``_``, which Spark's file
-sources hide, are found by a listing of the driver instead (``list_local``).
+Folders are listed level by level (``walk``): a level's folders are dealt to
+tasks, which list them, and what they find is written before the next level. The
+driver learns how many folders there are, never their names. ``list_files`` uses
+Spark's own file source instead, whose index is made on the driver and which hides
+names that begin with ``_``.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +21,15 @@ from phonolith.functions.kernels import peak_pairs
 from phonolith.functions.text import parsed_path
 from phonolith.schema import EXTENSIONS
 from phonolith.sources import codecs
+from phonolith.sources.control import Marker
+from phonolith.sources.scratch import scratch_folder, written
+from phonolith.sources.wav import DECODERS
 
 LISTING = "path string, extension string, file_size long, modified_at long"
 STATS = ("indexed", "skipped", "missing", "errors", "duration_ms")
 #: Files that a task reads, and rows of a batch, about.
 TASK_FILES = 256
+TASK_FOLDERS = 64
 BATCH_FILES = 64
 SCANNED = "path string, sample_rate int, channels int, bit_depth int, duration_ms long, peaks array<float>, error string"
 
@@ -36,6 +43,73 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return listed.where(F.col("extension").isin(*EXTENSIONS))
 
 
+def plain(root: str) -> str:
+    """A folder's address as paths of listings have it: local ones without a scheme."""
+    return re.sub("^file:(//)?(?=/)", "", root).rstrip("/") or "/"
+
+
+WALKED = "path string, extension string, file_size long, modified_at long, folder boolean, error string"
+
+
+def _entries(folder: str, skip_hidden: bool) -> list[tuple]:
+    """(path, extension, size, time, whether a folder, error) of what a folder holds; an error is one row."""
+    from pyarrow import fs
+
+    local = "://" not in folder
+    store, base = (fs.LocalFileSystem(), folder) if local else fs.FileSystem.from_uri(folder)
+    lead = "" if local else folder[: folder.index("://") + 3]
+    try:
+        found = store.get_file_info(fs.FileSelector(base, recursive=False))
+    except (OSError, pa.ArrowException) as error:
+        return [(folder, None, None, None, False, str(error))]
+    rows = []
+    for entry in found:
+        name, path = entry.base_name, lead + entry.path
+        if skip_hidden and name.startswith("."):
+            continue
+        if entry.type == fs.FileType.Directory:
+            # A link to a folder above would never end.
+            if not (local and os.path.islink(path)):
+                rows.append((path, None, None, None, True, None))
+        elif (extension := name.rpartition(".")[2].lower() if "." in name else "") in EXTENSIONS:
+            rows.append((path, extension, entry.size, int(entry.mtime_ns // 1_000_000_000) if entry.mtime_ns else 0, False, None))
+    return rows
+
+
+def walk(spark: SparkSession, root: str, skip_hidden: bool = True) -> DataFrame:
+    """(path, extension, file_size, modified_at, error): audio files below root; a folder that can't be listed is a row with an error.
+
+    Entries that begin with a dot are left out unless asked for; links to folders are not followed.
+    """
+    place = scratch_folder(spark, "walk")
+    root = plain(root)
+    kinds = [("path", pa.string()), ("extension", pa.string()), ("file_size", pa.int64()), ("modified_at", pa.int64()), ("folder", pa.bool_()), ("error", pa.string())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                rows = _entries(folder, skip_hidden)
+                for at in range(0, len(rows), 10_000):
+                    columns = zip(*rows[at : at + 10_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds)], names=[n for n, _ in kinds])
+
+    level, depth = spark.createDataFrame([(root,)], "path string"), 0
+    while True:
+        found = written(dealt(level, TASK_FOLDERS).mapInArrow(run, WALKED), f"{place}/level={depth}")
+        if depth == 0 and (failed := found.where((F.col("path") == root) & F.col("error").isNotNull()).first()):
+            raise FileNotFoundError(failed["error"])
+        level, depth = found.where("folder").select("path"), depth + 1
+        if level.isEmpty():
+            break
+    everything = spark.read.schema(WALKED).parquet(place)
+    return everything.where("NOT folder").drop("folder", "level")
+
+
+def list_tree(spark: SparkSession, root: str, skip_hidden: bool = True) -> DataFrame:
+    """The audio files of walk; folders that can't be listed are left out."""
+    return walk(spark, root, skip_hidden).where("error IS NULL").drop("error")
+
+
 def list_local(spark: SparkSession, root: str, skip_hidden: bool = True) -> DataFrame:
     """The same by walking a folder the driver sees; entries that begin with a dot are left out unless asked for."""
     if not os.path.exists(root):
@@ -55,16 +129,19 @@ def list_local(spark: SparkSession, root: str, skip_hidden: bool = True) -> Data
     return spark.createDataFrame(sorted(rows), LISTING)
 
 
-def difference(listing: DataFrame, indexed: DataFrame, root: str | None = None, legacy_prefix: bool = False) -> DataFrame:
+def difference(listing: DataFrame, indexed: DataFrame, root: str | None = None, legacy_prefix: bool = False, unread: DataFrame | None = None) -> DataFrame:
     """(path, status): new, changed (another time), unchanged or missing, in one full outer join on the path.
 
     With a root, only catalog rows below it can be missing; legacy_prefix also
-    claims siblings whose name begins with the root's.
+    claims siblings whose name begins with the root's. Rows below a folder that
+    could not be listed (unread: path) are not missing.
     """
     there = indexed.select("path", F.col("modified_at").alias("_then"))
     if root is not None:
         prefix = root.rstrip("/") if legacy_prefix else root.rstrip("/") + "/"
         there = there.where(F.startswith("path", F.lit(prefix)))
+    if unread is not None:
+        there = there.join(F.broadcast(unread.select(F.concat("path", F.lit("/")).alias("_below"))), F.startswith("path", F.col("_below")), "left_anti")
     joined = listing.select("path", F.col("modified_at").alias("_now")).join(there, "path", "full")
     status = F.when(F.col("_then").isNull(), "new").when(F.col("_now").isNull(), "missing").when(F.col("_then") != F.col("_now"), "changed").otherwise("unchanged")
     return joined.select("path", status.alias("status"))
@@ -126,9 +203,18 @@ def content(path: str) -> bytes:
         return source.read()
 
 
-def dealt(paths: DataFrame) -> DataFrame:
-    """Paths only, in as many partitions as reading some hundred files each needs."""
-    tasks = max(paths.sparkSession.sparkContext.defaultParallelism, paths.count() // TASK_FILES + 1)
+def opened(path: str) -> tuple[int, Callable[[int, int], bytes]]:
+    """(size, function of offset and length) of a file, for reading parts of it."""
+    from pyarrow import fs
+
+    store, place = (fs.LocalFileSystem(), path) if "://" not in path else fs.FileSystem.from_uri(path)
+    source = store.open_input_file(place)
+    return source.size(), lambda at, n: source.read_at(max(0, min(n, source.size() - at)), at)
+
+
+def dealt(paths: DataFrame, each: int = TASK_FILES) -> DataFrame:
+    """Paths only, in as many partitions as reading so many files each needs."""
+    tasks = max(paths.sparkSession.sparkContext.defaultParallelism, paths.count() // each + 1)
     return paths.select("path").repartition(tasks, "path")
 
 
@@ -150,11 +236,19 @@ def read_contents(paths: DataFrame) -> DataFrame:
 _SCANNED = pa.schema([("path", pa.string()), ("sample_rate", pa.int32()), ("channels", pa.int32()), ("bit_depth", pa.int32()), ("duration_ms", pa.int64()), ("peaks", pa.list_(pa.float32())), ("error", pa.string())])
 
 
-def extract(paths: DataFrame, resolution: int = 800) -> DataFrame:
-    """Facts, peaks and an error for files that can't be read, of each path; a task holds one file at a time."""
+def extract(paths: DataFrame, resolution: int = 800, cancel: Marker | None = None) -> DataFrame:
+    """Facts, peaks and an error for files that can't be read, of each path; a task holds one file at a time.
+
+    Formats without a decoder are read by their edges. Once cancel is set, tasks open no further file and end without rows.
+    """
 
     def one(path: str) -> tuple:
         try:
+            extension = path.rpartition(".")[2].lower()
+            if extension in codecs.BY_EDGES and extension not in DECODERS:
+                facts = codecs.edge_facts(*opened(path), extension)
+                wrong = None if facts else f"not a readable {extension} file"
+                return (path, facts.sample_rate, facts.channels, facts.bit_depth, facts.duration_ms, [], None) if facts else (path, None, None, None, None, None, wrong)
             return scanned_facts(path, content(path), resolution)
         except (OSError, pa.ArrowException) as e:
             return path, None, None, None, None, None, str(e)
@@ -162,7 +256,11 @@ def extract(paths: DataFrame, resolution: int = 800) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_FILES):
-                rows = [one(p) for p in batch.column(0).slice(at, BATCH_FILES).to_pylist()]
+                rows = []
+                for path in batch.column(0).slice(at, BATCH_FILES).to_pylist():
+                    if cancel is not None and cancel.is_set():
+                        return
+                    rows.append(one(path))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), _SCANNED)], schema=_SCANNED)
 
     return dealt(paths).mapInArrow(run, SCANNED)

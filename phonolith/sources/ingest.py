@@ -11,13 +11,18 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import pyarrow as pa
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonolith.operators import writes
 from phonolith.schema import Catalog
 from phonolith.sources import files
+from phonolith.sources.control import Marker
 from phonolith.sources.scratch import scratch_folder, written
+from phonolith.sources.snapshots import TABLES
 
 
 @dataclass(frozen=True)
@@ -36,18 +41,32 @@ def ingest(
     resolution: int = 800,
     now: int | None = None,
     progress: Callable[[str, int], None] = lambda phase, n: None,
-    list_with: Callable[[SparkSession, str], DataFrame] = files.list_files,
+    list_with: Callable[[SparkSession, str], DataFrame] = files.walk,
+    cancel: Marker | None = None,
 ) -> Ingested:
-    """progress is told the phases enumerating, indexing and complete with the number of files that each concerns."""
-    spark, began = catalog.assets.sparkSession, time.monotonic()
+    """progress is told the phases enumerating, indexing and complete with the number of files that each concerns.
+
+    Once cancel is set (by any process), tasks open no further file and Cancelled
+    is raised; the catalog given stays as it is. A folder that can't be listed is
+    an error, and what the catalog has below it is not missing.
+    """
+    spark, began, root = catalog.assets.sparkSession, time.monotonic(), files.plain(root)
     now = int(time.time()) if now is None else now
     folder = scratch_folder(spark, "ingest")
+    stop = cancel.check if cancel is not None else lambda: None
+    stop()
     listing = written(list_with(spark, root), f"{folder}/listing")
+    unread = listing.sparkSession.createDataFrame([], "path string, error string")
+    if "error" in listing.columns:
+        unread = listing.where("error IS NOT NULL").select("path", "error")
+        listing = listing.where("error IS NULL").drop("error")
     progress("enumerating", listing.count())
-    diff = written(files.difference(listing, catalog.assets, root), f"{folder}/difference")
+    stop()
+    diff = written(files.difference(listing, catalog.assets, root, unread=unread), f"{folder}/difference")
     touched = diff.where(F.col("status").isin("new", "changed"))
     progress("indexing", touched.count())
-    facts = written(files.extract(touched, resolution), f"{folder}/facts")
+    facts = written(files.extract(touched, resolution, cancel), f"{folder}/facts")
+    stop()
     rows = written(files.asset_rows(listing, facts, root, now), f"{folder}/rows")
     state = lambda name: diff.where(F.col("status") == name).select("path")
     gone = catalog.assets.join(state("missing"), "path", "left_semi").select("id")
@@ -59,7 +78,8 @@ def ingest(
     failed = facts.where(F.col("error").isNotNull()).select("path", "error")
     done = replace(left, assets=grown, peaks=writes.update_peaks(left.peaks, peaks))
     progress("complete", touched.count())
-    return Ingested(done, files.scan_stats(diff, failed, int((time.monotonic() - began) * 1000)), failed)
+    stats = files.scan_stats(diff, failed, int((time.monotonic() - began) * 1000)).withColumn("errors", F.col("errors") + unread.count())
+    return Ingested(done, stats, failed.unionByName(unread))
 
 
 def ingest_roots(catalog: Catalog, roots: list[str], **options) -> Ingested:
@@ -68,11 +88,13 @@ def ingest_roots(catalog: Catalog, roots: list[str], **options) -> Ingested:
     for root in roots:
         try:
             found = ingest(catalog, root, **options)
-        except Exception as error:  # noqa: BLE001  Spark has many kinds; the other roots must go on
+        except (OSError, PySparkException, Py4JError, pa.ArrowException) as error:  # the other roots go on
             stats.append((root, None))
             errors.append(catalog.assets.sparkSession.createDataFrame([(root, str(error)[:1000])], "path string, error string"))
             continue
-        catalog = found.catalog
+        # Written, so that the plans of many roots don't pile up.
+        place = scratch_folder(catalog.assets.sparkSession, "catalog")
+        catalog = Catalog(*(written(getattr(found.catalog, name), f"{place}/{name}") for name in TABLES))
         stats.append((root, found.stats))
         errors.append(found.errors)
     none = catalog.assets.sparkSession.createDataFrame([], "path string, error string")
