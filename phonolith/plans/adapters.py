@@ -69,7 +69,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     own = F.when(F.col("toxic") == 1, F.array(2 - F.col("quality"), F.lit(3))).otherwise(F.array(2 - F.col("quality")))
     links = labels.select(F.col("doc_id").alias("asset_id"), F.explode(own.cast("array<bigint>")).alias("tag_id")).distinct()
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("asset_id"), F.col("embedding").alias("vector"), F.lit(MODEL_ID).alias("model_id"), F.lit(0).cast("long").alias("created_at"))
-    peaks = vectors.select("asset_id", F.slice("vector", 1, 8).alias("peaks"))
+    peaks = vectors.select("asset_id", F.col("vector").alias("peaks"))
     return Catalog(assets(spark, sf_dir), spark.createDataFrame(TAGS, "id long, name string"), links, vectors, peaks)
 
 

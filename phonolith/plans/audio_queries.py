@@ -549,15 +549,15 @@ add(
 
 
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = signals(spark, sf_dir).select("asset_id", F.transform(F.slice("samples", 100, 10), lambda v: N.envelope(v, -v / 2)).alias("levels"))
+    x = signals(spark, sf_dir).select("asset_id", F.transform("samples", lambda v: N.envelope(v, -v / 2)).alias("levels"))
     return x.select("asset_id", F.round(N.envelope_at(F.col("levels"), F.lit(0.37)), 4).alias("level"))
 
 
 add(
     "peak_envelope",
     envelopes,
-    """WITH e AS (SELECT asset_id, frame - 99 AS k, least(1, abs(CAST(sample AS DOUBLE))) AS v FROM waves WHERE frame BETWEEN 99 AND 108)
-    SELECT a.asset_id, round(a.v + (b.v - a.v) * (0.37e0 * 9 - 3), 4) AS level FROM e a JOIN e b ON a.asset_id = b.asset_id AND a.k = 3 AND b.k = 4""",
+    """WITH e AS (SELECT asset_id, row_number() OVER (PARTITION BY asset_id ORDER BY frame) - 1 AS k, 0.37e0 * (count(*) OVER (PARTITION BY asset_id) - 1) AS at, count(*) OVER (PARTITION BY asset_id) AS n, least(1, abs(CAST(sample AS DOUBLE))) AS v FROM waves)
+    SELECT a.asset_id, round(a.v + (b.v - a.v) * (a.at - a.k), 4) AS level FROM e a JOIN e b ON a.asset_id = b.asset_id AND a.k = CAST(floor(a.at) AS BIGINT) AND b.k = least(a.k + 1, a.n - 1)""",
 )
 
 # --- files, ingest, snapshots, settings ------------------------------------------------------
@@ -701,12 +701,12 @@ add(
 
 
 def stored_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = waves(spark, sf_dir).where("frame IN (100, 200)").groupBy("asset_id").agg(F.array_sort(F.collect_list("sample")).alias("peaks"))
+    old = signals(spark, sf_dir).select("asset_id", F.array_sort("samples").alias("peaks"))
     new = old.where("asset_id % 2 = 0").withColumn("peaks", F.array(F.lit(0.25).cast("float")))
     return writes.update_peaks(old, new).select("asset_id", F.size("peaks").alias("n"), F.round(F.element_at("peaks", -1).cast("double"), 4).alias("last"))
 
 
-add("peaks_update", stored_peaks, "SELECT asset_id, CAST(CASE WHEN asset_id % 2 = 0 THEN 1 ELSE 2 END AS INTEGER) AS n, round(CASE WHEN asset_id % 2 = 0 THEN 0.25e0 ELSE CAST(max(sample) AS DOUBLE) END, 4) AS last FROM waves WHERE frame IN (100, 200) GROUP BY asset_id")
+add("peaks_update", stored_peaks, "SELECT asset_id, CAST(CASE WHEN asset_id % 2 = 0 THEN 1 ELSE count(*) END AS INTEGER) AS n, round(CASE WHEN asset_id % 2 = 0 THEN 0.25e0 ELSE CAST(max(sample) AS DOUBLE) END, 4) AS last FROM waves GROUP BY asset_id")
 
 # --- streams ----------------------------------------------------------------------------------
 

@@ -16,7 +16,7 @@ from phonolith.operators.filters import filtered, tagged_any
 from phonolith.plans.adapters import ASSET_TAGS_SQL, ASSETS_SQL, EMBEDDINGS_SQL, MODEL_ID, SAMPLES_SQL, TAGS_SQL, assets, catalog, query_vector, samples, table
 from phonolith.schema import SearchMode, SearchQuery, SortDirection, SortField
 from phonolith.sources import files
-from phonolith.sources.scratch import scratch_folder
+from phonolith.sources.scratch import scratch_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -366,7 +366,7 @@ add("peak_levels", lambda s, d: table(s, d, "events").select("event_id", F.round
 
 # --- signals ----------------------------------------------------------------------------------------
 
-add("signal_peaks", lambda s, d: signal.peaks(samples(s, d), 8).select("asset_id", "bucket", F.round("low", 6).alias("low"), F.round("high", 6).alias("high")), "WITH z AS (SELECT asset_id, count(*) AS n, greatest(1, count(*) // 8) AS chunk FROM samples GROUP BY asset_id), b AS (SELECT asset_id, least(frame // chunk, 7) AS bucket, min(greatest(-1, least(1, sample))) AS low, max(greatest(-1, least(1, sample))) AS high FROM samples JOIN z USING (asset_id) GROUP BY ALL), a AS (SELECT asset_id, unnest(range(0, 8)) AS bucket FROM z) SELECT asset_id, CAST(bucket AS INTEGER) AS bucket, round(coalesce(low, 0), 6) AS low, round(coalesce(high, 0), 6) AS high FROM a LEFT JOIN b USING (asset_id, bucket)", "s")
+add("signal_peaks", lambda s, d: signal.peaks(written(samples(s, d), scratch_folder(s, "samples")), 8).select("asset_id", "bucket", F.round("low", 6).alias("low"), F.round("high", 6).alias("high")), "WITH z AS (SELECT asset_id, count(*) AS n, greatest(1, count(*) // 8) AS chunk FROM samples GROUP BY asset_id), b AS (SELECT asset_id, least(frame // chunk, 7) AS bucket, min(greatest(-1, least(1, sample))) AS low, max(greatest(-1, least(1, sample))) AS high FROM samples JOIN z USING (asset_id) GROUP BY ALL), a AS (SELECT asset_id, unnest(range(0, 8)) AS bucket FROM z) SELECT asset_id, CAST(bucket AS INTEGER) AS bucket, round(coalesce(low, 0), 6) AS low, round(coalesce(high, 0), 6) AS high FROM a LEFT JOIN b USING (asset_id, bucket)", "s")
 add("signal_rms_peak", lambda s, d: signal.levels(samples(s, d)).select("asset_id", F.round("peak", 6).alias("peak"), F.round("rms", 6).alias("rms")), "SELECT asset_id, round(max(abs(sample)), 6) AS peak, round(sqrt(avg(sample * sample)), 6) AS rms FROM samples GROUP BY asset_id", "s")
 add("signal_normalize", lambda s, d: signal.normalized(samples(s, d), 0.5).select("asset_id", "frame", F.round("sample", 6).alias("sample")), "SELECT asset_id, frame, round(sample * (0.5e0 / max(abs(sample)) OVER (PARTITION BY asset_id)), 6) AS sample FROM samples", "s")
 add("signal_silence_bounds", lambda s, d: signal.silence_bounds(samples(s, d), 100, -7.0, 20, 32), "WITH p AS (SELECT asset_id, frame, max(abs(sample)) OVER (PARTITION BY asset_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS level FROM samples), g AS (SELECT asset_id, min(frame) FILTER (level >= pow(10, -0.35e0)) AS a, max(frame) FILTER (level >= pow(10, -0.35e0)) AS b, count(*) AS n FROM p GROUP BY asset_id) SELECT asset_id, CASE WHEN a >= 2 THEN a ELSE 0 END AS first, CASE WHEN a IS NULL THEN 0 WHEN n - b - 1 >= 2 THEN b + 1 ELSE n END AS last_exclusive FROM g", "s")

@@ -67,16 +67,26 @@ def test_peaks():
         K.peak_pairs(x, 0)
 
 
-def test_silence():
-    lead = np.concatenate([np.zeros(4800), np.full(48000, 0.99)])
-    a, b = K.silence_bounds(lead, 48000, -60, 10, 4)
-    assert a > 0 and b == len(lead)
-    tail = np.concatenate([np.full(24000, 0.99), np.zeros(4800)])
-    a, b = K.silence_bounds(tail, 48000, -60, 10, 4)
-    assert a == 0 and b < len(tail)
-    assert K.silence_bounds(np.concatenate([np.zeros(480), np.full(4800, 0.9)]), 48000, -60, 20, 4) == (0, 5280)
-    assert K.silence_bounds(np.zeros(10000), 48000, -60, 10, 4) == (0, 0)
-    assert len(K.trim(np.zeros((10, 1)), 0, 0)) == 10
+def test_silence_bounds_equal_their_definition():
+    """An edge goes where no window's peak reaches the threshold, if its run is long enough."""
+    rng = np.random.default_rng(8)
+    for case in range(60):
+        rate, window_ms, least_ms = int(rng.choice([8000, 11025, 32000])), float(rng.choice([1, 2, 5])), float(rng.choice([1, 20]))
+        parts = [rng.uniform(-1e-4, 1e-4, rng.integers(0, 900)), rng.uniform(-0.8, 0.8, rng.integers(0, 700)), rng.uniform(-1e-4, 1e-4, rng.integers(0, 900))]
+        x = np.concatenate(parts)
+        if not len(x):
+            continue
+        half = max(1, round(window_ms / 1000 * rate) // 2)
+        loud = np.array([np.abs(x[max(0, i - half) : i + half + 1]).max() >= 10 ** (-50 / 20) for i in range(len(x))])
+        a, b = K.silence_bounds(x, rate, -50, least_ms, window_ms)
+        if not loud.any():
+            assert (a, b) == (0, 0)
+            continue
+        first, last, least = int(np.argmax(loud)), len(x) - int(np.argmax(loud[::-1])), int(np.ceil(least_ms / 1000 * rate))
+        # The window's size is rounded: one frame either way.
+        assert abs(a - (first if first >= least else 0)) <= 1 or abs(first - least) <= 1
+        assert abs(b - (last if len(x) - last >= least else len(x))) <= 1 or abs(len(x) - last - least) <= 1
+    assert len(K.trim(np.ones((7, 2)), 0, 0)) == 7
 
 
 def test_sliding_peak_equals_brute_force():

@@ -178,17 +178,42 @@ def test_parsed_paths(spark):
     assert {(r["path"], r["publisher"], r["category"], r["filename"], r["extension"]) for r in got} == {p[1:] for p in PATHS}
 
 
-def test_labels_and_clips(spark):
-    one = lambda *c: tuple(spark.range(1).select(*[x.alias(f"c{i}") for i, x in enumerate(c)]).first())
+def one(spark, *columns):
+    return tuple(spark.range(1).select(*[x.alias(f"c{i}") for i, x in enumerate(columns)]).first())
+
+
+def test_labels_at_their_boundaries(spark):
+    """A label's unit changes at exactly a minute, an hour, and each power of 1024; tenths never carry into the seconds."""
     ms = lambda v: S.duration_label(F.lit(v).cast("long"))
-    assert one(ms(None), ms(0), ms(500), ms(2500), ms(125000), ms(3661000)) == ("—", "0:00.0", "0:00.5", "0:02.5", "2:05.0", "1:01:01.0")
-    assert one(*[S.size_label(F.lit(v).cast("long")) for v in (500, 1536, 5242880, 1073741824)]) == ("500 B", "1.5 KB", "5.0 MB", "1.0 GB")
-    assert one(*[S.rate_label(F.lit(v)) for v in (44100, 48000, 96000, 22050, 8000, 500)]) == ("44.1 kHz", "48 kHz", "96 kHz", "22.05 kHz", "8.0 kHz", "500 Hz")
+    assert one(spark, ms(None), ms(49), ms(50), ms(949), ms(950), ms(59_999)) == ("—", "0:00.0", "0:00.1", "0:00.9", "0:00.9", "0:59.9")
+    assert one(spark, ms(60_000), ms(3_599_000), ms(3_600_000), ms(36_061_260)) == ("1:00.0", "59:59.0", "1:00:00.0", "10:01:01.3")
+    size = lambda v: S.size_label(F.lit(v).cast("long"))
+    assert one(spark, size(0), size(1023), size(1024), size(1075), size(1024**2 - 1)) == ("0 B", "1023 B", "1.0 KB", "1.0 KB", "1024.0 KB")
+    assert one(spark, size(1024**2), size(1024**3 - 1), size(1024**3), size(7 * 1024**4)) == ("1.0 MB", "1024.0 MB", "1.0 GB", "7168.0 GB")
+    rate = lambda v: S.rate_label(F.lit(v))
+    assert one(spark, rate(999), rate(1000), rate(11025), rate(22050), rate(44099), rate(192000)) == ("999 Hz", "1.0 kHz", "11.0 kHz", "22.05 kHz", "44.1 kHz", "192.0 kHz")
+
+
+def test_clips_keep_the_shortest_length(spark):
+    """0.05 s is a clip, less is none; the start gives way where the end is cut."""
     clip = lambda a, b, d: N.clamped_clip(F.lit(a), F.lit(b), F.lit(d))
-    assert one(clip(0.0, 10.0, 0.0), clip(10.0, 20.0, 60.0), clip(0.0, 100.0, 60.0), clip(22.0, 89.0, 5.0))[1:3] == ((10.0, 20.0), (0.0, 60.0))
-    defer = lambda a, b: N.defer_clamp(F.lit(20.0), F.lit(a), F.lit(b))
-    assert one(defer(8.0, 60.0), defer(60.0, 60.0), defer(59.96, 60.0), defer(8.0, 0.0)) == (True, False, False, False)
-    assert one(S.clip_name(F.lit("My Track.flac"), F.lit(1.0), F.lit(2.5)), S.full_name(F.lit("a:b...wav")), S.full_name(F.lit(" .wav"))) == ("My Track_1.000-2.500s.wav", "a_b.wav", "clip.wav")
-    assert S.unique_name("a.wav", {"a.wav", "a_2.wav"}) == "a_3.wav"
-    level = lambda v: N.nearest_peak_level(F.lit(v))
-    assert one(level(0.97), level(0.5), N.linear_to_db(F.lit(0.0)), N.trim_preset(F.lit(-48.0), F.lit(5.0), F.lit(3.0))) == (0, -6, -96.0, "tight")
+    near = lambda row, want: row is not None and max(abs(row[0] - want[0]), abs(row[1] - want[1])) < 1e-9
+    kept = one(spark, clip(1.5, 2.25, 3.0), clip(2.0, 7.0, 3.0), clip(2.9, 7.0, 3.0), clip(4.0, 9.0, 1.0), clip(0.0, 0.0625, 0.0625))
+    assert all(near(row, want) for row, want in zip(kept, [(1.5, 2.25), (2.0, 3.0), (2.9, 3.0), (0.95, 1.0), (0.0, 0.0625)]))
+    assert one(spark, clip(1.0, 2.0, -1.0), clip(1.0, 2.0, 0.0)) == (None, None)
+    defer = lambda end, buffer, full: N.defer_clamp(F.lit(end), F.lit(buffer), F.lit(full))
+    assert one(spark, defer(5.0, 4.0, 4.2), defer(4.0, 4.0, 9.0), defer(4.01, 4.0, 9.0), defer(5.0, 4.0, 4.04), defer(5.0, 0.0, 9.0)) == (True, False, True, False, False)
+
+
+def test_export_names(spark):
+    names = one(spark, S.clip_name(F.lit("takes/dawn <2>.aiff"), F.lit(0.0), F.lit(12.3456)), S.full_name(F.lit("q?*|.b.ogg")), S.full_name(F.lit("...")), S.full_name(F.lit("x" * 130 + ".wav")))
+    assert names[:2] == ("dawn _2__0.000-12.346s.wav", "q___.b.wav") and names[3] == "x" * 120 + ".wav"
+    assert S.unique_name("b.wav", set()) == "b.wav" and S.unique_name("b.wav", {"b.wav", "b_3.wav"}) == "b_2.wav"
+
+
+def test_levels_and_presets(spark):
+    level = lambda db: N.nearest_peak_level(F.lit(10 ** (db / 20)))
+    assert one(spark, *map(level, (-40.0, -12.0, -8.0, -4.0, -2.5, -0.9, 6.0))) == (-12, -12, -6, -3, -3, -1, 0)
+    assert one(spark, N.linear_to_db(F.lit(-1.0)), N.linear_to_db(F.lit(1.0)), N.linear_to_db(F.lit(float("inf")))) == (-96.0, 0.0, -96.0)
+    preset = lambda *v: N.trim_preset(*[F.lit(float(x)) for x in v])
+    assert one(spark, preset(-60, 15, 4.009), preset(-60, 15, 4.02), preset(-72, 40, 6), preset(-48, 5, 4)) == ("balanced", "custom", "loose", "custom")
