@@ -28,6 +28,8 @@ tables give no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
+import pickle
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -54,6 +56,10 @@ HOT_BYTES = 64
 HELD = 3_000_000
 HELD_WORDS = 300_000
 WAITING = 1_000_000
+#: Grams are dealt into 2**BUCKET_BITS buckets, words into WORD_BUCKETS. STIR makes a gram's high bits depend on all, UNSTIR undoes it.
+BUCKET_BITS, WORD_BUCKETS = 12, 512
+STIR = np.uint64(0x9E3779B97F4A7C15)
+UNSTIR = np.uint64(pow(int(STIR), -1, 1 << 64))
 #: Rows of sums that are passed on together.
 PASSED = 200_000
 #: Bytes of texts that are scored or counted together.
@@ -89,21 +95,56 @@ def _batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[p
             yield batch, first, held
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers as eight planes of bytes, so that what small ones have in common compresses."""
+    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def packed_grams(codes: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+    """(bucket, grams, counts) of distinct grams: stirred, rising and as differences in each bucket."""
+    stirred = codes.astype(np.uint64) * STIR
+    order = np.argsort(stirred)
+    stirred, n = stirred[order], n[order]
+    edges = np.searchsorted(stirred >> np.uint64(64 - BUCKET_BITS), np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint64))
+    for bucket in np.flatnonzero(np.diff(edges)):
+        rows = slice(edges[bucket], edges[bucket + 1])
+        yield int(bucket), _planes(np.diff(stirred[rows], prepend=np.uint64(0))), _planes(n[rows])
+
+
+def unpacked_grams(grams: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return (np.cumsum(_from_planes(grams), dtype=np.uint64) * UNSTIR).astype(np.int64), _from_planes(n).astype(np.int64)
+
+
+def packed_words(tokens: Counter) -> Iterator[tuple[int, bytes, bytes]]:
+    """The same of words; their buckets follow on those of the grams."""
+    parts: dict[int, list[bytes]] = {}
+    for word in tokens:
+        parts.setdefault((1 << BUCKET_BITS) + zlib.crc32(word) % WORD_BUCKETS, []).append(word)
+    for bucket, words in parts.items():
+        yield bucket, pickle.dumps(words), _planes(np.array([tokens[w] for w in words], np.int64))
+
+
 def counts(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> DataFrame:
-    """(word binary, gram long, n): training counts; one of word and gram is null, the end is the empty word."""
+    """(word binary, gram long, n): training counts; one of word and gram is null, the end is the empty word.
+
+    Tasks pass their sums on as one row for each bucket of grams or words, and add
+    up one bucket at a time, so that neither rows nor a task's memory grow with
+    the number of different grams that a task finds.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens: Counter = Counter()
         sums, waiting, total = (np.zeros(0, np.int64), np.zeros(0, np.int64)), [], 0
 
-        def words_passed():
-            n = len(tokens)
-            return pa.RecordBatch.from_arrays([pa.array(list(tokens), pa.binary()), pa.nulls(n, pa.int64()), pa.array(list(tokens.values()), pa.int64())], names=["word", "gram", "n"])
-
-        def grams_passed():
-            for at in range(0, len(sums[0]), PASSED):
-                codes, n = (x[at : at + PASSED] for x in sums)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(codes), pa.binary()), pa.array(codes), pa.array(n)], names=["word", "gram", "n"])
+        def passed(packed: Iterator[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+            rows = list(packed)
+            for at in range(0, len(rows), 512):
+                bucket, what, n = zip(*rows[at : at + 512])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(what, pa.binary()), pa.array(n, pa.binary())], names=["bucket", "what", "n"])
 
         def summed():
             return counted(*(np.concatenate([sums[k], *[w[k] for w in waiting]]) for k in (0, 1)))
@@ -113,22 +154,59 @@ def counts(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> DataF
                 tokens.update(words)
             tokens[b""] += len(texts)
             if len(tokens) > HELD_WORDS:
-                yield words_passed()
+                yield from passed(packed_words(tokens))
                 tokens.clear()
             waiting.append(counted(grams_of([b" ".join(w) for w in texts], order)[0]))
             total += len(waiting[-1][0])
             if total > WAITING:
                 sums, waiting, total = summed(), [], 0
                 if len(sums[0]) > HELD:
-                    yield from grams_passed()
+                    yield from passed(packed_grams(*sums))
                     sums = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        sums = summed()
-        yield words_passed()
-        yield from grams_passed()
-
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word binary, gram long, n long")
-    # Tasks have summed already; dealing the rows out first keeps Spark from doing it again before the shuffle.
-    return rows.repartition("word", "gram").groupBy("word", "gram").agg(F.sum("n").alias("n"))
+        sums, waiting = summed(), []
+        yield from passed(packed_words(tokens))
+        yield from passed(packed_grams(*sums))
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bucket, waiting, size = None, None, [], 0
+
+        def added() -> None:
+            nonlocal held, waiting, size
+            if bucket >> BUCKET_BITS:
+                held = Counter() if held is None else held
+                for words, n in waiting:
+                    for word, m in zip(pickle.loads(words), _from_planes(n).tolist()):
+                        held[word] += m
+            else:
+                parts = [unpacked_grams(*w) for w in waiting]
+                parts = parts if held is None else [held, *parts]
+                held = counted(*(np.concatenate([p[k] for p in parts]) for k in (0, 1)))
+            waiting, size = [], 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if bucket is None:
+                return
+            added()
+            words = bool(bucket >> BUCKET_BITS)
+            names, n = (pa.array(list(held), pa.binary()), np.array(list(held.values()), np.int64)) if words else held
+            for at in range(0, len(n), PASSED):
+                own = names[at : at + PASSED]
+                columns = [own, pa.nulls(len(own), pa.int64())] if words else [pa.nulls(len(own), pa.binary()), pa.array(own)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n[at : at + PASSED])], names=["word", "gram", "n"])
+
+        for batch in batches:
+            for i, b in enumerate(batch.column(0).to_pylist()):
+                if b != bucket:
+                    yield from done()
+                    bucket, held = b, None
+                waiting.append((batch.column(1)[i].as_py(), batch.column(2)[i].as_py()))
+                size += len(waiting[-1][1]) // 8
+                if size > WAITING:
+                    added()
+        yield from done()
+
+    packed = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "bucket int, what binary, n binary")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merged, "word binary, gram long, n long")
 
 
 # --- the trie --------------------------------------------------------------------

@@ -118,3 +118,19 @@ def test_the_query_holds_out_by_crc_and_beats_unigrams(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0) for r in rows)
     held = [r for r in rows if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_packed_counts_come_back(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    codes = np.unique(rng.integers(0, 1 << 56, 5000))
+    n = rng.integers(1, 1 << 40, len(codes))
+    back = [L.unpacked_grams(g, m) for _, g, m in L.packed_grams(codes, n)]
+    found = dict(zip(np.concatenate([b[0] for b in back]).tolist(), np.concatenate([b[1] for b in back]).tolist()))
+    assert found == dict(zip(codes.tolist(), n.tolist()))
+    # Tasks that pass their sums on all the time, and add up in small steps, count the same.
+    docs = spark.createDataFrame([(t,) for t in [*corpus() * 3, None, "", "nul\x00byte"]], "text string").repartition(5)
+    plain = Counter((r["word"] and bytes(r["word"]), r["gram"], r["n"]) for r in L.counts(docs).collect())
+    for name, value in (("HELD", 1), ("HELD_WORDS", 1), ("WAITING", 10), ("BATCH_BYTES", 20)):
+        monkeypatch.setattr(L, name, value)
+    assert Counter((r["word"] and bytes(r["word"]), r["gram"], r["n"]) for r in L.counts(docs).collect()) == plain
+    assert max(Counter((w, g) for w, g, _ in plain).values()) == 1
