@@ -13,6 +13,7 @@ from phonolith.functions import numbers as N
 from phonolith.functions import text as S
 from phonolith.operators import audio, browse, search, signal, text_index, vector_index, writes
 from phonolith.operators.filters import filtered, tagged_any
+from phonolith.operators.paging import page_at
 from phonolith.plans.adapters import ASSET_TAGS_SQL, ASSETS_SQL, EMBEDDINGS_SQL, MODEL_ID, SAMPLES_SQL, TAGS_SQL, assets, catalog, query_vector, samples, table
 from phonolith.schema import SearchMode, SearchQuery, SortDirection, SortField
 from phonolith.sources import files
@@ -171,6 +172,17 @@ for _field, _column in SORTS.items():
         _q = SearchQuery(sort_by=_field, sort_dir=_dir, offset=25, limit=40)
         add(f"sort_{_field.value}_{_dir.value}", lexical(_q, "filename", "duration_ms"), f"SELECT id, filename, duration_ms FROM assets ORDER BY {_column} {_dir.value} NULLS LAST, id LIMIT 40 OFFSET 25")
 
+
+
+def deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page that begins after two thirds of all hits."""
+    q = SearchQuery("ing", sort_by=SortField.NAME, sort_dir=SortDirection.ASC)
+    found = search.lexical_candidates(catalog(spark, sf_dir), q)
+    return page_at(found, search.lexical_order(q), found.count() * 2 // 3, 50).select("id", "filename", F.round("score", 6).alias("score"))
+
+
+add("page_deep", deep_page, f"{bm25_sql(['ing'])}, p AS (SELECT *, row_number() OVER (ORDER BY filename, id) AS nth, count(*) OVER () AS n FROM hits) SELECT id, filename, round(bm25, 6) AS score FROM p WHERE nth > n * 2 // 3 AND nth <= n * 2 // 3 + 50")
+
 # --- vectors ------------------------------------------------------------------------------
 
 COS = "list_sum(list_transform(list_zip(v, q.w), lambda p: p[1] * p[2])) / (sqrt(list_sum(list_transform(v, lambda x: x * x))) * sqrt(list_sum(list_transform(q.w, lambda x: x * x))))"
