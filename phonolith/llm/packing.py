@@ -34,7 +34,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -104,9 +104,15 @@ class ChunkMemo(dict):
         from public_tokenizers import PATTERN
 
         super().__init__()
-        ranks = byte_ranks(tokenizer_json)
-        self.plain = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.single = tiktoken.Encoding("single", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.file = tokenizer_json
+        self.plain = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=byte_ranks(tokenizer_json), special_tokens={}).encode_ordinary
+
+    @cached_property
+    def single(self):
+        """Encodes a text as one pre-token; made when a text needs it."""
+        import tiktoken
+
+        return tiktoken.Encoding("single", pat_str=r"(?s:.+)", mergeable_ranks=byte_ranks(self.file), special_tokens={}).encode_ordinary
 
     def __missing__(self, chunk: str) -> bytes:
         found = np.array(self.plain(" " + chunk), dtype="<u4").tobytes()
