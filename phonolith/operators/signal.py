@@ -10,6 +10,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -124,3 +126,29 @@ def chunks(samples: DataFrame, rate: int, seconds: float = 2.0) -> DataFrame:
     """(asset_id, chunk, first_frame, n_frames, peak) of fixed-size chunks; the last may be shorter."""
     size = max(1, int(rate * seconds))
     return samples.groupBy("asset_id", F.floor(F.col("frame") / size).cast("long").alias("chunk")).agg(F.min("frame").alias("first_frame"), F.count("*").alias("n_frames"), F.max(F.abs("sample")).alias("peak"))
+
+
+def autocorrelation(samples: DataFrame, max_lag: int, block: int = BLOCK_FRAMES) -> DataFrame:
+    """(asset_id, lag, value): sums of the products of frames that are lag apart, from 0 to max_lag (at most the last frame), of one channel.
+
+    Overlap-save: a task multiplies the spectra of one block of frames and of the same
+    block with max_lag frames after it; the blocks' sums add up, so a signal of any
+    length is many tasks' work. Frames count up from 0 by 1.
+    """
+    size = max(block, max_lag, 1)
+    width = 1 << (size + max_lag).bit_length()
+    place = lambda frame: F.floor(frame / size).cast("long")
+    blocks = F.sequence(F.greatest(F.lit(0), place(F.col("frame") - max_lag)), place(F.col("frame")))
+    spread = samples.select("asset_id", "frame", F.col("sample").cast("double").alias("sample"), F.explode(blocks).alias("_block"))
+
+    def run(rows: pa.Table) -> pa.Table:
+        at = rows.column("frame").to_numpy() - rows.column("_block")[0].as_py() * size
+        both = np.zeros(size + max_lag)
+        both[at] = rows.column("sample").to_numpy()
+        lags = min(max_lag, int(at.max()))
+        found = np.fft.irfft(np.conj(np.fft.rfft(both[:size], width)) * np.fft.rfft(both, width), width)[: lags + 1]
+        return pa.table({"asset_id": pa.array([rows.column("asset_id")[0].as_py()] * (lags + 1), pa.int64()), "lag": np.arange(lags + 1), "value": found})
+
+    # A block's frames with those after it are one group.
+    parts = spread.groupBy("asset_id", "_block").applyInArrow(run, "asset_id long, lag long, value double")
+    return parts.groupBy("asset_id", "lag").agg(F.sum("value").alias("value"))

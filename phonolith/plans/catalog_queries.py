@@ -378,6 +378,12 @@ add("peak_levels", lambda s, d: table(s, d, "events").select("event_id", F.round
 
 # --- signals ----------------------------------------------------------------------------------------
 
+add(
+    "signal_autocorr_blocks",
+    lambda s, d: signal.autocorrelation(samples(s, d), 24, block=32).select("asset_id", "lag", (F.round("value", 8) + 0.0).alias("value")),
+    "SELECT a.asset_id, b.frame - a.frame AS lag, round(sum(a.sample * b.sample), 8) + 0e0 AS value FROM samples a JOIN samples b ON a.asset_id = b.asset_id AND b.frame BETWEEN a.frame AND a.frame + 24 GROUP BY a.asset_id, b.frame - a.frame",
+    "s",
+)
 add("signal_peaks", lambda s, d: signal.peaks(written(samples(s, d), scratch_folder(s, "samples")), 8).select("asset_id", "bucket", F.round("low", 6).alias("low"), F.round("high", 6).alias("high")), "WITH z AS (SELECT asset_id, count(*) AS n, greatest(1, count(*) // 8) AS chunk FROM samples GROUP BY asset_id), b AS (SELECT asset_id, least(frame // chunk, 7) AS bucket, min(greatest(-1, least(1, sample))) AS low, max(greatest(-1, least(1, sample))) AS high FROM samples JOIN z USING (asset_id) GROUP BY ALL), a AS (SELECT asset_id, unnest(range(0, 8)) AS bucket FROM z) SELECT asset_id, CAST(bucket AS INTEGER) AS bucket, round(coalesce(low, 0), 6) AS low, round(coalesce(high, 0), 6) AS high FROM a LEFT JOIN b USING (asset_id, bucket)", "s")
 add("signal_rms_peak", lambda s, d: signal.levels(samples(s, d)).select("asset_id", F.round("peak", 6).alias("peak"), F.round("rms", 6).alias("rms")), "SELECT asset_id, round(max(abs(sample)), 6) AS peak, round(sqrt(avg(sample * sample)), 6) AS rms FROM samples GROUP BY asset_id", "s")
 add("signal_normalize", lambda s, d: signal.normalized(samples(s, d), 0.5).select("asset_id", "frame", F.round("sample", 6).alias("sample")), "SELECT asset_id, frame, round(sample * (0.5e0 / max(abs(sample)) OVER (PARTITION BY asset_id)), 6) AS sample FROM samples", "s")

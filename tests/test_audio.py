@@ -272,3 +272,17 @@ def test_settings(tmp_path):
         (tmp_path / "c.toml").write_text(wrong)
         with pytest.raises(config.ValidationError):
             config.load_settings(path)
+
+
+@pytest.mark.parametrize("block,lags", [(64, 10), (64, 999), (7, 30), (4096, 999)])
+def test_autocorrelation_in_blocks_equals_one_array(spark, block, lags):
+    rng = np.random.default_rng(4)
+    signals = {1: rng.normal(size=1000), 2: sine(50, 1000, 0.3), 3: np.ones(1)}
+    rows = [(i, k, float(v)) for i, x in signals.items() for k, v in enumerate(x)]
+    found = signal.autocorrelation(spark.createDataFrame(rows, "asset_id long, frame long, sample double").repartition(4), lags, block).collect()
+    assert len(found) == sum(min(lags, len(x) - 1) + 1 for x in signals.values())
+    for i, x in signals.items():
+        own = {r["lag"]: r["value"] for r in found if r["asset_id"] == i}
+        direct = [x[: len(x) - k] @ x[k:] for k in range(len(own))]
+        assert np.allclose([own[k] for k in range(len(own))], direct, atol=1e-9)
+        assert np.allclose(np.array(direct) / direct[0], K.autocorrelation(x)[: len(own)], atol=1e-4)
