@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+import time
 from collections.abc import Callable
 from contextlib import contextmanager
 
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from phonolith.schema import EXTENSIONS
+from phonolith.sources import files
+from phonolith.sources.scratch import scratch_folder, written
 
 
 def new_files(spark: SparkSession, root: str) -> DataFrame:
@@ -35,6 +38,43 @@ def watch(spark: SparkSession, root: str, checkpoint: str, changed: Callable[[in
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
 
 
+class Debounce:
+    """What changed in a folder since the last event, told once it has been quiet for some seconds.
+
+    ``look`` lists the folder (in tasks) and compares it with the listing before;
+    an event compares with the listing of the last event, so a file that came and
+    went in one burst is no news, and deletions are.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, changed: Callable[[dict[str, int]], None], quiet: float = 3.0, clock: Callable[[], float] = time.monotonic):
+        self.spark, self.root, self.changed, self.quiet, self.clock = spark, root, changed, quiet, clock
+        self.told = self.before = self._listed()
+        self.moved: float | None = None
+
+    def _listed(self) -> DataFrame:
+        return written(files.list_tree(self.spark, self.root).select("path", "modified_at"), scratch_folder(self.spark, "listing"))
+
+    def _counts(self, now: DataFrame, then: DataFrame) -> dict[str, int]:
+        news = files.difference(now, then).where("status <> 'unchanged'").groupBy("status").agg(F.count("*").alias("n"))
+        return {r["status"]: r["n"] for r in news.collect()}  # three numbers at most
+
+    def look(self) -> None:
+        now = self._listed()
+        if self._counts(now, self.before):
+            self.before, self.moved = now, self.clock()
+        elif self.moved is not None and self.clock() - self.moved >= self.quiet:
+            news, self.told, self.moved = self._counts(now, self.told), now, None
+            if news:
+                self.changed(news)
+
+
+def watch_debounced(spark: SparkSession, root: str, checkpoint: str, changed: Callable[[dict[str, int]], None], quiet: float = 3.0, every: str = "1 second") -> StreamingQuery:
+    """Call changed({new, changed, missing: how many}) once after each burst, when nothing has moved for quiet seconds."""
+    state = Debounce(spark, root, changed, quiet)
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(lambda batch, nth: state.look()).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def chunked(samples: DataFrame, rate: int, seconds: float = 2.0) -> DataFrame:
     """Fixed-size chunks of a stream (or table) of (asset_id, frame, sample); use output mode update or complete."""
     size = max(1, int(rate * seconds))

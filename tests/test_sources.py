@@ -3,6 +3,7 @@
 import os
 import struct
 import threading
+import time
 from dataclasses import replace
 
 import pytest
@@ -10,6 +11,7 @@ from phonolith.operators import writes
 from phonolith.plans.adapters import catalog
 from phonolith.plans.audio_queries import pcm_wav
 from phonolith.sources import codecs, control, files, ingest, snapshots
+from phonolith.streaming import watch
 from pyspark.sql import functions as F
 
 import numpy as np
@@ -131,3 +133,48 @@ def test_leases(spark, tmp_path):
     assert snapshots.commit(cat, base, 0, second) == 1
     second.release(spark)
     assert snapshots.lease(spark, base, 60, now=1062).fence == 3
+
+
+def test_a_burst_is_one_event_and_a_deletion_is_one(spark, tree):
+    told, now = [], [0.0]
+    state = watch.Debounce(spark, tree, told.append, quiet=3.0, clock=lambda: now[0])
+
+    def tick(seconds):
+        now[0] += seconds
+        state.look()
+
+    def write(name):
+        with open(os.path.join(tree, name), "wb") as out:
+            out.write(b"RIFF")
+
+    tick(5)
+    for name in ("n1.wav", "n2.wav", "n3.wav"):
+        write(name)
+        tick(2)
+    os.remove(os.path.join(tree, "n3.wav"))
+    os.utime(os.path.join(tree, "top.wav"), (5, 5))
+    tick(2)
+    tick(2)
+    assert told == []
+    tick(2)
+    assert told == [{"new": 2, "changed": 1}]
+    os.remove(os.path.join(tree, "n1.wav"))
+    tick(1)
+    tick(3)
+    tick(9)
+    assert told == [{"new": 2, "changed": 1}, {"missing": 1}]
+
+
+def test_a_stream_tells_of_a_burst(spark, tree, tmp_path):
+    told = []
+    query = watch.watch_debounced(spark, tree, f"{tmp_path}/checkpoint", told.append, quiet=0.5, every="200 milliseconds")
+    try:
+        for i in range(4):
+            with open(os.path.join(tree, f"burst {i}.wav"), "wb") as out:
+                out.write(b"RIFF")
+        until = time.monotonic() + 90
+        while not told and time.monotonic() < until:
+            time.sleep(0.2)
+    finally:
+        query.stop()
+    assert told and sum(t["new"] for t in told) == 4
