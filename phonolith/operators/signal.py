@@ -108,8 +108,13 @@ def amdf(samples: DataFrame, lag: int) -> DataFrame:
     return lagged(samples, lag, F.abs(F.col("sample") - F.col("later")), "amdf")
 
 
-def autocorrelation(samples: DataFrame, lag: int) -> DataFrame:
-    """r[lag] / r[0]; null for a silent signal."""
+def autocorrelation(samples: DataFrame, lag: int, block: int | None = None) -> DataFrame:
+    """One lag, or all lags up to it over blocks of so many frames: autocorrelation_at, autocorrelation_sums."""
+    return autocorrelation_at(samples, lag) if block is None else autocorrelation_sums(samples, lag, block)
+
+
+def autocorrelation_at(samples: DataFrame, lag: int) -> DataFrame:
+    """(asset_id, autocorrelation): r[lag] / r[0]; null for a silent signal."""
     later = beside(samples, lambda w: F.lead("sample", lag).over(w), "later", 0, lag)
     sums = later.groupBy("asset_id").agg(F.sum(F.col("sample") * F.coalesce("later", F.lit(0.0))).alias("r"), F.sum(F.col("sample") * F.col("sample")).alias("r0"))
     return sums.select("asset_id", F.when(F.col("r0") > 0, F.col("r") / F.col("r0")).alias("autocorrelation"))
@@ -128,7 +133,7 @@ def chunks(samples: DataFrame, rate: int, seconds: float = 2.0) -> DataFrame:
     return samples.groupBy("asset_id", F.floor(F.col("frame") / size).cast("long").alias("chunk")).agg(F.min("frame").alias("first_frame"), F.count("*").alias("n_frames"), F.max(F.abs("sample")).alias("peak"))
 
 
-def autocorrelation(samples: DataFrame, max_lag: int, block: int = BLOCK_FRAMES) -> DataFrame:
+def autocorrelation_sums(samples: DataFrame, max_lag: int, block: int = BLOCK_FRAMES) -> DataFrame:
     """(asset_id, lag, value): sums of the products of frames that are lag apart, from 0 to max_lag (at most the last frame), of one channel.
 
     Overlap-save: a task multiplies the spectra of one block of frames and of the same

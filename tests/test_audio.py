@@ -286,3 +286,15 @@ def test_autocorrelation_in_blocks_equals_one_array(spark, block, lags):
         direct = [x[: len(x) - k] @ x[k:] for k in range(len(own))]
         assert np.allclose([own[k] for k in range(len(own))], direct, atol=1e-9)
         assert np.allclose(np.array(direct) / direct[0], K.autocorrelation(x)[: len(own)], atol=1e-4)
+
+
+def test_autocorrelation_at_one_lag_and_at_all_lags(spark):
+    rows = spark.createDataFrame([(1, i, v) for i, v in enumerate([1.0, 2.0, -1.0, 3.0])] + [(2, 0, 0.0), (2, 1, 0.0)], "asset_id long, frame long, sample double")
+    assert sorted(map(tuple, signal.autocorrelation(rows, 2).collect())) == [(1, pytest.approx(5 / 15)), (2, None)]
+    assert [round(r["value"], 9) for r in signal.autocorrelation(rows, 2, 2).where("asset_id = 1").orderBy("lag").collect()] == [15.0, -3.0, 5.0]
+
+
+def test_the_query_of_one_lag_has_the_columns_of_its_sql(spark):
+    from phonolith.plans import catalog_queries
+
+    assert catalog_queries.QUERIES["signal_autocorr_lag"](spark, "/root/testdata/sf0.001").columns == ["asset_id", "r"]
