@@ -109,7 +109,8 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
     asked = fps.select("fp", F.explode(F.concat(*[ball(i) for i in range(SEGMENTS)])).alias("key"))
     differing = F.bit_count(F.col("fp").bitwiseXOR(F.col("other")))
-    met = asked.join(shelf, (asked["key"] == shelf["key"]) & (F.col("other").isNull() | ((differing <= DISTANCE) & (F.col("fp") != F.col("other")))))
+    # Spark's estimates leave the explosion out and would have the driver broadcast 34 rows of each fingerprint.
+    met = asked.join(shelf.hint("merge"), (asked["key"] == shelf["key"]) & (F.col("other").isNull() | ((differing <= DISTANCE) & (F.col("fp") != F.col("other")))))
     met = staged(met.select("fp", "other").distinct(), "links")
     release(sizes)
     crowd = met.where(F.col("other").isNull()).select("fp")

@@ -100,3 +100,15 @@ def test_keep_one_keeps_columns_and_one_of_each(spark):
     assert len(got) == 3 and {tuple(r) for r in got} == {(3, "x y z w", None, 2), (9, "something else entirely here", "r", 4), (None, None, None, 5)}
     assert simhash.keep_one(docs.limit(0)).columns == docs.columns
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_looked_up_segments_are_never_broadcast(spark, monkeypatch, tmp_path):
+    """Estimates leave out that a fingerprint looks up 34 segments, so its rows would all go through the driver."""
+    plans, write = [], simhash.staged
+    monkeypatch.setattr(simhash, "staged", lambda df, name: (plans.append(df._jdf.queryExecution().sparkPlan().toString()), write(df, name))[1])
+    rng = random.Random(3)
+    spark.createDataFrame([(rng.getrandbits(62),) for _ in range(300)], "fp long").write.parquet(f"{tmp_path}/fps")
+    simhash.links(spark.read.parquet(f"{tmp_path}/fps")).count()
+    # The join that verifies distances; below it the small counts of full segments may be broadcast.
+    found = [next(line for line in p.splitlines() if "Join" in line) for p in plans if "bit_count" in p]
+    assert found and all("SortMergeJoin" in line for line in found)
