@@ -375,7 +375,8 @@ def large_key_links(docs: DataFrame, distinct: DataFrame, live: DataFrame, text_
         found = block_links(one, two) if len(one) and len(two) else []
         return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
 
-    out = staged(blocks.join(sets, "fp").groupBy("token", "i", "j").applyInArrow(run, "u long, v long"), "block-links")
+    # Spark's estimates leave out how often a row was exploded; without the hint the driver might broadcast all blocks.
+    out = staged(blocks.join(sets.hint("merge"), "fp").groupBy("token", "i", "j").applyInArrow(run, "u long, v long"), "block-links")
     release(hot, ruled, marked, wanted, sets)
     return out
 
