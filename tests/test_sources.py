@@ -178,3 +178,11 @@ def test_a_stream_tells_of_a_burst(spark, tree, tmp_path):
     finally:
         query.stop()
     assert told and sum(t["new"] for t in told) == 4
+
+
+def test_a_late_writer_is_refused_before_it_writes(spark, tmp_path):
+    cat, base = catalog(spark, SF), f"file://{tmp_path}"
+    snapshots.commit(cat, base, 0)
+    with pytest.raises(snapshots.Conflict):
+        snapshots.commit(cat, base, 0)
+    assert len([p for p in tmp_path.iterdir() if p.name.startswith("snapshot-")]) == 1
