@@ -103,17 +103,58 @@ class HashingProvider:
     through the same two members.
     """
 
+    #: Bytes of remembered words' vectors, and hashes of parts; what is full starts afresh. Longer words are not kept.
+    WORDS_BYTES, PARTS, LONG, CHUNK = 64 << 20, 200_000, 64, 4096
+
     def __init__(self, dim: int = 384, model_id: str = MODEL_ID):
         self.dim, self.model_id = dim, model_id
+        self._parts: dict[str, tuple[int, float]] = {}
+        self._rows: dict[str, int] = {}
+        self._vectors: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return {"dim": self.dim, "model_id": self.model_id}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(**state)
+
+    def _vector(self, word: str) -> np.ndarray:
+        v = np.zeros(self.dim, np.float32)
+        for part in {word, *(word[i : i + 3] for i in range(len(word) - 2))}:
+            if (found := self._parts.get(part)) is None:
+                h = int.from_bytes(hashlib.blake2b(part.encode(), digest_size=8).digest(), "little")
+                found = h % self.dim, 1.0 if h >> 63 else -1.0
+                if len(part) <= self.LONG:
+                    if len(self._parts) >= self.PARTS:
+                        self._parts.clear()
+                    self._parts[part] = found
+            v[found[0]] += found[1]
+        return v
+
+    def _sum(self, words: list[str]) -> np.ndarray:
+        """The words' vectors added up; whole numbers, so their order does not matter."""
+        if self._vectors is None:
+            self._vectors = np.zeros((max(self.CHUNK, self.WORDS_BYTES // (4 * self.dim)), self.dim), np.float32)
+        v, rows = np.zeros(self.dim, np.float32), self._rows
+        for at in range(0, len(words), self.CHUNK):
+            if len(rows) + self.CHUNK > len(self._vectors):
+                rows.clear()
+            own = []
+            for word in words[at : at + self.CHUNK]:
+                if (row := rows.get(word)) is None:
+                    if len(word) > self.LONG:
+                        v += self._vector(word)
+                        continue
+                    row = rows[word] = len(rows)
+                    self._vectors[row] = self._vector(word)
+                own.append(row)
+            v += self._vectors[own].sum(axis=0)
+        return v
 
     def embed(self, texts: list[str]) -> list[list[float]]:
         out = []
         for text in texts:
-            v = np.zeros(self.dim, np.float32)
-            for word in text.lower().split():
-                for part in {word, *(word[i : i + 3] for i in range(len(word) - 2))}:
-                    h = int.from_bytes(hashlib.blake2b(part.encode(), digest_size=8).digest(), "little")
-                    v[h % self.dim] += 1.0 if h >> 63 else -1.0
+            v = self._sum(text.lower().split())
             norm = float(np.linalg.norm(v))
             out.append((v / norm if norm > 1e-8 else v).tolist())
         return out

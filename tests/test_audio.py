@@ -298,3 +298,30 @@ def test_the_query_of_one_lag_has_the_columns_of_its_sql(spark):
     from phonolith.plans import catalog_queries
 
     assert catalog_queries.QUERIES["signal_autocorr_lag"](spark, "/root/testdata/sf0.001").columns == ["asset_id", "r"]
+
+
+def test_hashed_words_are_remembered_and_the_sums_stay_the_same(monkeypatch):
+    import hashlib
+    import pickle
+
+    from phonolith.operators import audio
+
+    def plain(text, dim):
+        v = np.zeros(dim, np.float32)
+        for word in text.lower().split():
+            for part in {word, *(word[i : i + 3] for i in range(len(word) - 2))}:
+                h = int.from_bytes(hashlib.blake2b(part.encode(), digest_size=8).digest(), "little")
+                v[h % dim] += 1.0 if h >> 63 else -1.0
+        norm = float(np.linalg.norm(v))
+        return (v / norm if norm > 1e-8 else v).tolist()
+
+    texts = ["the cat the CAT aa", "", "x" * 500 + " the", " ".join(f"w{i % 37}" for i in range(300))]
+    for words_bytes, chunk in ((64 << 20, 4096), (4 * 16 * 20, 16)):
+        monkeypatch.setattr(audio.HashingProvider, "WORDS_BYTES", words_bytes)
+        monkeypatch.setattr(audio.HashingProvider, "CHUNK", chunk)
+        provider = pickle.loads(pickle.dumps(audio.HashingProvider(16)))
+        assert provider.embed(texts) == [plain(t, 16) for t in texts]
+    asked = []
+    monkeypatch.setattr(audio.hashlib, "blake2b", lambda data, digest_size, real=hashlib.blake2b: (asked.append(data), real(data, digest_size=digest_size))[1])
+    audio.HashingProvider(16).embed(["the the the", "the"])
+    assert len(asked) == 1
