@@ -10,7 +10,9 @@ therefore has three tables, all written below one folder:
 * ``postings`` (bucket, word, segment, block, ids, tfs, lengths, and the row's
   ``n``, ``most``, ``shortest``, ``longest``): a word's assets, in blocks of
   ``BLOCK`` ids, in folders by the word's bucket. Ids are offsets in their block
-  in rising order, so Parquet stores their differences (its second format).
+  in rising order, so Parquet stores their differences (its second format). Tasks
+  pack what they read, so a block has a row for each slice of texts with its ids,
+  and what is shuffled is about the index itself, once.
 * ``live`` (id, segment, length): which segment's postings hold for an asset.
 
 Counts of assets and of occurrences follow from the postings, so BM25 is exactly
@@ -24,11 +26,14 @@ when many postings are stale.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import add, and_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +49,8 @@ BUCKET_ASSETS = 500_000
 MAX_BUCKETS = 4096
 #: Blocks that the first round of a top-k search reads; each further one reads twice as many.
 FIRST_BLOCKS = 8
+#: Bytes of text whose words a task packs at once.
+SLICE_BYTES = 16 << 20
 #: Rounding of a bound.
 SLACK = 1e-12
 POSTINGS = "word string, segment string, block long, n int, most int, shortest int, longest int, ids array<int>, tfs array<int>, lengths array<int>, bucket int"
@@ -66,44 +73,78 @@ def _bucket(column: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
 
 
-def _written(rows: DataFrame, keys: list[str], path: str) -> None:
-    rows.repartition(*keys[:1]).sortWithinPartitions(*keys).write.mode("append").options(**_FORMAT).partitionBy("bucket").parquet(path)
+def _written(rows: DataFrame, keys: list[str], path: str, buckets: int, more: Sequence[Column] = ()) -> None:
+    """Rows in folders by bucket; several tasks write to a folder, as many in all as a shuffle has, and sort a part each. More columns are made after the shuffle."""
+    parts = -(-2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // buckets)
+    dealt = F.pmod(F.xxhash64(*keys[1:]), F.lit(parts))
+    rows.repartition("bucket", dealt).sortWithinPartitions(*keys).select(*keys, *more).write.mode("append").options(**_FORMAT).partitionBy("bucket").parquet(path)
 
 
 def text_length() -> Column:
     return reduce(add, [F.greatest(F.lit(0), F.coalesce(F.length(c), F.lit(0)) - (TOKEN_CHARS - 1)) for c in TEXT_COLUMNS])
 
 
-def asset_words(assets: DataFrame) -> DataFrame:
-    """(id, length, word, tf) for each different word of an asset that a token can lie in."""
-    words = F.flatten(F.array(*[F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), "[ \\t\\n\\x0B\\f\\r]+") for c in TEXT_COLUMNS]))
-    rows = assets.select("id", text_length().alias("length"), F.explode(words).alias("word")).where(F.length("word") >= TOKEN_CHARS)
-    return rows.groupBy("id", "word").agg(F.first("length").alias("length"), F.count("*").alias("tf"))
+def _packed(words: pa.Array, ids: np.ndarray, lengths: np.ndarray, block: int) -> pa.RecordBatch:
+    """The postings (word, block, entries) of texts, given as lists of words; entries are the ids, then the counts, then the lengths."""
+    flat, of = pc.list_flatten(words), pc.list_parent_indices(words).to_numpy()
+    long = pc.greater_equal(pc.utf8_length(flat), TOKEN_CHARS)
+    flat, of = flat.filter(long).dictionary_encode(), of[long.to_numpy(zero_copy_only=False)]
+    # Texts in the order of their ids, so that entries of one word and block follow each other in that order.
+    order = np.argsort(ids, kind="stable")
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    keys, tfs = np.unique(flat.indices.to_numpy().astype(np.int64) * len(ids) + place[of], return_counts=True)
+    word, row = keys // max(1, len(ids)), order[keys % max(1, len(ids))]
+    places, lengths = np.floor_divide(ids[row], block), lengths[row]
+    first = np.flatnonzero(np.r_[True, (np.diff(word) != 0) | (np.diff(places) != 0)][: len(word)])
+    own = np.r_[first, len(word)]
+    # Where an entry's three numbers stand in its row.
+    at, n = 3 * np.repeat(first, np.diff(own)) + np.arange(len(word)) - np.repeat(first, np.diff(own)), np.repeat(np.diff(own), np.diff(own))
+    entries = np.empty(3 * len(word), np.int32)
+    entries[at], entries[at + n], entries[at + 2 * n] = ids[row] - places * block, tfs, lengths
+    columns = [flat.dictionary.take(pa.array(word[first])), pa.array(places[first]), pa.ListArray.from_arrays(pa.array((3 * own).astype(np.int32)), pa.array(entries))]
+    return pa.RecordBatch.from_arrays(columns, names=["word", "block", "entries"])
+
+
+def packed_postings(assets: DataFrame, block: int) -> DataFrame:
+    """The postings of each slice of the texts that a task reads, for all words that a token can lie in."""
+    text = F.concat_ws(" ", *[F.lower(F.coalesce(F.col(c), F.lit(""))) for c in TEXT_COLUMNS])
+    rows = assets.where(F.col("id").isNotNull()).select(F.col("id").cast("long").alias("id"), text_length().cast("long").alias("length"), text.alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(pc.binary_length(batch.column(2)).to_numpy())
+            at = 0
+            while at < batch.num_rows:
+                upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+                part = batch.slice(at, upto - at)
+                words = pc.split_pattern_regex(part.column(2), "[ \\t\\n\\x0B\\f\\r]+")
+                found = _packed(words, part.column(0).to_numpy(), part.column(1).to_numpy(), block)
+                # Rows of many entries: Spark takes them in smaller batches.
+                for first in range(0, found.num_rows, 65_536):
+                    yield found.slice(first, 65_536)
+                at = upto
+
+    return rows.mapInArrow(run, "word string, block long, entries array<int>")
+
+
+def unpacked() -> list[Column]:
+    """The columns of a posting row and its facts, of its packed entries."""
+    n = (F.size("entries") / 3).cast("int")
+    part = lambda i: F.slice("entries", n * i + 1, n)
+    facts = [n.alias("n"), F.array_max(part(1)).alias("most"), F.array_min(part(2)).alias("shortest"), F.array_max(part(2)).alias("longest")]
+    return [*facts, part(0).alias("ids"), part(1).alias("tfs"), part(2).alias("lengths")]
 
 
 def _append(assets: DataFrame, folder: str, buckets: int, block: int, segment: str) -> None:
-    entry = F.struct((F.col("id") % block).cast("int").alias("id"), F.col("tf").cast("int").alias("tf"), F.col("length").cast("int").alias("length"))
-    # At most one entry for each id of a block.
-    grouped = asset_words(assets).groupBy("word", F.floor(F.col("id") / block).alias("block")).agg(F.sort_array(F.collect_list(entry)).alias("own"))
-    postings = grouped.select(
-        _bucket(F.col("word"), buckets).alias("bucket"),
-        "word",
-        F.lit(segment).alias("segment"),
-        "block",
-        F.size("own").alias("n"),
-        F.array_max("own.tf").alias("most"),
-        F.array_min("own.length").alias("shortest"),
-        F.array_max("own.length").alias("longest"),
-        F.col("own.id").alias("ids"),
-        F.col("own.tf").alias("tfs"),
-        F.col("own.length").alias("lengths"),
-    )
-    _written(postings, ["bucket", "word", "block"], f"{folder}/postings")
+    bucket = lambda c: _bucket(F.col(c), buckets).alias("bucket")
+    postings = packed_postings(assets, block).select(bucket("word"), "word", "block", "entries")
+    _written(postings, ["bucket", "word", "block"], f"{folder}/postings", buckets, [F.lit(segment).alias("segment"), *unpacked()])
     # The new segment's words only; a word that another segment has as well is there twice.
     own = assets.sparkSession.read.schema(POSTINGS).parquet(f"{folder}/postings").where(F.col("segment") == segment).select("word").distinct()
     starts = F.sequence(F.lit(1), F.length("word") - (TOKEN_CHARS - 1))
     grams = own.select("word", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substr(F.col("word"), i, F.lit(TOKEN_CHARS))))).alias("gram"))
-    _written(grams.select(_bucket(F.col("gram"), buckets).alias("bucket"), "gram", "word"), ["bucket", "gram", "word"], f"{folder}/grams")
+    _written(grams.select(bucket("gram"), "gram", "word"), ["bucket", "gram", "word"], f"{folder}/grams", buckets)
 
 
 def _read(spark: SparkSession, folder: str, live: str, buckets: int, block: int, exact: bool) -> TextIndex:
@@ -166,13 +207,14 @@ def matched_postings(index: TextIndex, tokens: Sequence[str]) -> DataFrame | Non
 
 
 def hits_of(index: TextIndex, postings: DataFrame) -> DataFrame:
-    """(token, id, tf, length) of matched postings."""
+    """(token, id, tf, length) of matched postings; whole arrays are shuffled by block, and entries added up where they arrive."""
+    dealt = postings.select("token", "occ", "segment", "block", "ids", "tfs", "lengths").repartition("token", "block")
     entries = F.inline(F.arrays_zip("ids", "tfs", "lengths"))
-    rows = postings.select("token", "occ", "segment", "block", entries)
-    rows = rows.select("token", "segment", (F.col("block") * index.block + F.col("ids")).alias("id"), (F.col("tfs") * F.col("occ")).alias("tf"), F.col("lengths").cast("long").alias("length"))
+    rows = dealt.select("token", "block", "occ", "segment", entries)
+    rows = rows.select("token", "block", "segment", (F.col("block") * index.block + F.col("ids")).alias("id"), (F.col("tfs") * F.col("occ")).alias("tf"), F.col("lengths").cast("long").alias("length"))
     if not index.exact:
         rows = rows.join(index.live.select("id", "segment"), ["id", "segment"], "left_semi")
-    return rows.groupBy("token", "id").agg(F.sum("tf").alias("tf"), F.first("length").alias("length"))
+    return rows.groupBy("token", "block", "id").agg(F.sum("tf").alias("tf"), F.first("length").alias("length")).drop("block")
 
 
 @dataclass(frozen=True)
@@ -249,7 +291,9 @@ class TopHits:
 
 def block_bounds(index: TextIndex, postings: DataFrame, tokens: Sequence[str], w: Weights, best: bool) -> list[tuple[int, float]]:
     """(block, the best or least score that an asset in it can have), best first; from the rows' facts, without their entries."""
-    facts = postings.groupBy("block", "token").agg(F.sum(F.col("most") * F.col("occ")).alias("most"), F.min("shortest").alias("shortest"), F.max("longest").alias("longest"))
+    # A word's entry for an asset is in one of its rows, so the largest row counts.
+    own = postings.groupBy("block", "token", "word").agg(F.max(F.col("most") * F.col("occ")).alias("most"), F.min("shortest").alias("shortest"), F.max("longest").alias("longest"))
+    facts = own.groupBy("block", "token").agg(F.sum("most").alias("most"), F.min("shortest").alias("shortest"), F.max("longest").alias("longest"))
     of = lambda i, c: F.max(F.when(F.col("token") == i, F.col(c)))
     one = F.lit(1)
     part = [w.part(i, of(i, "most"), of(i, "shortest")) if best else w.part(i, F.when(of(i, "most").isNotNull(), one), of(i, "longest")) for i in range(len(tokens))]

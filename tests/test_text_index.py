@@ -97,3 +97,32 @@ def test_no_assets(whole, tmp_path):
     index = text_index.built(none.assets, f"file://{tmp_path}")
     assert text_index.indexed_search(index, none, SearchQuery("the")).page.collect() == []
     assert text_index.top_hits(index, none, SearchQuery("the")).page.collect() == []
+
+
+def test_packed_postings_are_the_words_of_each_asset(whole, monkeypatch):
+    """Also where a task cuts its texts into slices, within blocks."""
+    monkeypatch.setattr(text_index, "SLICE_BYTES", 2000)
+    found = {}
+    for r in text_index.packed_postings(whole.assets, 32).select("word", "block", *text_index.unpacked()).collect():
+        assert r["n"] == len(r["ids"]) and r["most"] == max(r["tfs"]) and (r["shortest"], r["longest"]) == (min(r["lengths"]), max(r["lengths"])) and r["ids"] == sorted(r["ids"])
+        for i, tf, length in zip(r["ids"], r["tfs"], r["lengths"]):
+            found[r["block"] * 32 + i, r["word"]] = (tf, length)
+    wanted = {}
+    for r in whole.assets.collect():
+        length = sum(max(0, len(r[c] or "") - 2) for c in text_index.TEXT_COLUMNS)
+        for word in re.split(r"[ \t\n\x0b\f\r]+", " ".join((r[c] or "").lower() for c in text_index.TEXT_COLUMNS)):
+            if len(word) >= 3:
+                wanted[r["id"], word] = (wanted.get((r["id"], word), (0, 0))[0] + 1, length)
+    assert found == wanted
+
+
+def test_no_row_of_an_asset_and_word_is_shuffled_and_folders_have_several_tasks(whole, spark, tmp_path, monkeypatch):
+    plans = []
+    monkeypatch.setattr(text_index, "_written", lambda rows, keys, path, *rest, write=text_index._written: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), write(rows, keys, path, *rest)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = text_index.built(whole.assets, f"file://{tmp_path}", buckets=1, block=256)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert "Exchange" not in plans[0]
+    assert len(index.postings.inputFiles()) > 1
